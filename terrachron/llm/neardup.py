@@ -7,15 +7,17 @@ values of its set. Steps, each a DataFrame job:
    set and its sketch. Rows with equal sets form one class; only its first row goes on.
 2. Inverted lists over retained values. Two sets with a Jaccard of 0.75 share about
    three quarters of the k smallest values of their union, and each shared one of
-   those lies in both sketches; fewer than ``floor_share`` x k shared values has a
-   chance under 1e-11. So a document is listed only under its rarest
-   k - floor_share x k + 1 retained values: two documents that share enough values
-   meet in at least one list, and values of passages that many documents share are
-   hardly ever listed.
-3. Lists become pairs without pairing whole groups: first every member with one hub
-   of its list, in a few linear rounds; then, once components are known, only members
-   outside a list's largest component with members of other components. No pair that
-   could join two components is left out, so components are complete.
+   those lies in both sketches; a share far below that has a chance under 1e-11. So a
+   document is listed only under its rarest values, as many as it takes to meet every
+   document that shares enough with it: values of passages that many documents share
+   are seldom listed. Lists with the same members count once.
+3. Short lists become pairs. Documents in longer lists are indexed again by up to 1024
+   values, where the bound is much closer: documents that merely share a passage no
+   longer meet. What is left are groups of near copies. Every member's exact overlap
+   with one hub of its list is taken, a linear number of pairs. Once components are
+   known, only members outside a list's largest component meet members of other
+   components, and only where their overlaps with the hub still allow a link. No pair
+   that could join two components is left out, so components are complete.
 4. The union-sketch estimate drops pairs; the rest is verified on full sets, which are
    built again from the texts of the documents concerned.
 """
@@ -23,7 +25,7 @@ values of its set. Steps, each a DataFrame job:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,12 @@ from terrachron.llm.words import WordHashes, shingle_set, word_hashes
 from terrachron.plans.components import components
 from terrachron.plans.tables import drop, written
 
-SKETCH = 96
-FLOOR_SHARE = 0.40625
+#: Retained values, and the share of them below which the union estimate rules a pair out.
+SKETCH, FLOOR_SHARE = 96, 0.40625
+#: Values that are indexed, the share of them that linked documents have in common, and the longest list whose pairs are all taken.
+INDEXED, INDEX_SHARE, SHORT = 64, 0.3125, 16
+#: The same for documents that stand in longer lists.
+WIDE, WIDE_SHARE = 1024, 0.65
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -72,44 +78,74 @@ def _pass(size: int, k: int | None, at_once: int = 500):
 _SCHEMA = "uid long, doc_id long, n long, fp binary, values array<long>"
 
 
-def _least_overlap(k: int):
-    """Retained values that a document must share with any document linked to it."""
-    return F.greatest(F.lit(1), F.floor(F.least(F.col("n"), F.lit(k)) * F.lit(FLOOR_SHARE)))
+def _least_overlap(k: int, share: float):
+    """Of its k smallest values, those that a document must share with any document linked to it.
+
+    Where a document and all that can be linked to it have at most k values, exactly
+    three quarters of its set; else ``share`` of k, which holds but for one pair in 10^11.
+    """
+    n = F.col("n")
+    return F.greatest(F.lit(1), F.when(n <= F.floor(F.lit(k) * 0.75), F.ceil(n * 0.75)).otherwise(F.floor(F.least(n, F.lit(k)) * F.lit(share))))
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, k: int, share: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= 75 * union (``share``)."""
-    of = lambda c: rows.select(F.col("uid").alias(c), F.col("values").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+def _lists_of(rows: DataFrame, k: int, share: float) -> DataFrame:
+    """(uid, n, values) -> (v, uid, n, own, all): each document under its rarest retained values; lists of one member and repeated lists go.
+
+    ``own``: retained values that no other document has; ``all``: members of the list.
+    """
+    post = rows.select("uid", "n", F.explode(F.slice("values", 1, k)).alias("v"))
+    shared = post.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    met = post.join(shared, "v")
+    per = Window.partitionBy("uid")
+    met = met.withColumn("rank", F.row_number().over(per.orderBy("df", "v"))).withColumn("met", F.count("*").over(per))
+    lists = written(met.where(F.col("rank") <= F.col("met") - _least_overlap(k, share) + 1).select("v", "uid", "n", (F.least("n", F.lit(k)) - F.col("met")).alias("own")), "neardup-lists")
+    same = lists.groupBy("v").agg(F.count("*").alias("all"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y")).where("all > 1")
+    return lists.join(same.groupBy("all", "x", "y").agg(F.min("v").alias("v")).select("v", "all"), "v")
+
+
+def _sized(na: str, nb: str, share: tuple[int, int]):
+    return (F.col(na) * share[1] >= F.col(nb) * share[0]) & (F.col(nb) * share[1] >= F.col(na) * share[0])
+
+
+def _full_sets(ends: DataFrame, docs: DataFrame, size: int, tag: str) -> DataFrame:
+    """ends (uid, doc_id, fp) -> written (uid, n, values): whole sets, built again from the texts concerned."""
+    texts = docs.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").select(F.lit(0).cast("long").alias("uid"), "doc_id", "text")
+    full = texts.mapInArrow(_pass(size, None), _SCHEMA).drop("uid").join(ends, ["doc_id", "fp"])
+    return written(full.select("uid", "n", "values"), tag)
+
+
+def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b) -> (a, b, i, na, nb): exact sizes of intersections of whole sets."""
+    of = lambda c: full.select(F.col("uid").alias(c), F.col("values").alias(f"s{c}"))
+    q = pairs.join(of("a"), "a").join(of("b"), "b")
+    return q.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+
+
+def _enough(i, na, nb, share: tuple[int, int]):
+    return i * share[1] >= (na + nb - i) * share[0]
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, k: int, share: tuple[int, int], full_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets have 100 * intersection >= 75 * union (``share``); ``full_of`` gives the whole sets of their ends."""
+    of = lambda c: sketches.select(F.col("uid").alias(c), F.slice("values", 1, k).alias(f"s{c}"))
     p = pairs.join(of("a"), "a").join(of("b"), "b")
-    num, den = share
-    p = p.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     p = written(p.where(both >= F.floor(F.size(union) * F.lit(FLOOR_SHARE))).select("a", "b"), "neardup-pairs")
-    ends = written(p.select("a").union(p.select(F.col("b"))).distinct().join(rows.select(F.col("uid").alias("a"), "doc_id", "fp"), "a"), "neardup-ends")
-    texts = docs.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").select(F.lit(0).cast("long").alias("uid"), "doc_id", "text")
-    full = texts.mapInArrow(_pass(size, None), _SCHEMA).select("doc_id", "fp", "values")
-    full = written(full.join(ends.select(F.col("a").alias("uid"), "doc_id", "fp"), ["doc_id", "fp"]).select("uid", "values"), "neardup-sets")
-    q = p.join(full.select(F.col("uid").alias("a"), F.col("values").alias("sa")), "a").join(full.select(F.col("uid").alias("b"), F.col("values").alias("sb")), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    q = q.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-    out = written(q.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b").distinct(), "neardup-links")
-    for used in (p, ends, full):
-        drop(used)
+    out = written(_overlaps(p, full_of(p)).where(_enough(F.col("i"), F.col("na"), F.col("nb"), share)).select("a", "b").distinct(), "neardup-links")
+    drop(p)
     return out
 
 
-def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
     """Lists with each member's component so far; lists that lie in one component are done and go."""
-    if links is None:
-        return lists.withColumn("label", F.col("uid"))
     labels = components(links, "neardup-cc").select(F.col("node").alias("uid"), "label")
     out = lists.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     open_ = out.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("v")
     return out.join(open_, "v", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (75, 100), k: int = SKETCH, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (75, 100), k: int = SKETCH) -> DataFrame:
     """(doc_id long, text string, ...) -> doc_id, n_shingles, component_id, kept: one row per input row.
 
     Words are split at ASCII white space after lower-casing A-Z. Texts that are null
@@ -120,57 +156,55 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (75
     Further columns are ignored, whatever their names. No rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(_pass(size, k), _SCHEMA), "neardup-rows")
-    real = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(real.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("lead")), "neardup-classes")
-    leads = real.join(classes.select(F.col("lead").alias("uid")), "uid", "left_semi")
-
-    post = leads.select("uid", "n", F.explode("values").alias("v"))
-    shared = post.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    met = post.join(shared, "v")
-    per = Window.partitionBy("uid")
-    met = met.withColumn("rank", F.row_number().over(per.orderBy("df", "v"))).withColumn("met", F.count("*").over(per))
-    lists = met.where(F.col("rank") <= F.col("met") - _least_overlap(k) + 1).select("v", "uid")
-    lists = written(lists, "neardup-lists")
-
-    links, tested, made = None, None, 0
-    for turn in range(rounds + 1):
-        at = _labelled(lists, links)
-        by_label = at.groupBy("v", "label").agg(F.count("*").alias("c"), F.min_by("uid", F.xxhash64("uid", F.lit(turn))).alias("hub"))
-        top = by_label.groupBy("v").agg(F.max(F.struct("c", F.col("label").alias("main"), "hub")).alias("m"), F.sum("c").alias("all")).select("v", "m.c", "m.main", "m.hub", "all").where("all > 1")
-        top = written(top, "neardup-top")
-        work, size_ = top.agg(F.sum((F.col("all") - F.col("c")) * F.col("all")), F.sum("all")).first()
-        if not work:
-            break
-        last = turn == rounds or work <= 2 * size_
-        at = at.join(top, "v")
-        if last:
-            rest = at.where(F.col("label") != F.col("main")).select("v", F.col("uid").alias("x"), F.col("label").alias("lx"))
-            pairs = rest.join(at.select("v", "uid", "label", "main"), "v").where((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("uid"))))
-            pairs = pairs.select(F.least("x", "uid").alias("a"), F.greatest("x", "uid").alias("b"))
-        else:
-            pairs = at.where(F.col("label") != F.col("main")).select(F.least("hub", "uid").alias("a"), F.greatest("hub", "uid").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "neardup-cand")
-        drop(top)
-        found = _linked(pairs, leads, docs, size, k, share)
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        now = links.count()
-        if last:
-            break
-        if turn and now == made:
-            rounds = turn + 1
-        made = now
+    sketched = written(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(_pass(size, k), _SCHEMA), "neardup-sketched")
+    rows = written(sketched.select("uid", "doc_id", "n", "fp"), "neardup-rows")
+    classes = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("lead")), "neardup-classes")
+    leads = written(sketched.select("uid", "n", "values").join(classes.select(F.col("lead").alias("uid")), "uid", "left_semi"), "neardup-leads")
+    drop(sketched)
+
+    lists = written(_lists_of(leads, INDEXED, INDEX_SHARE), "neardup-lists")
+    few = lists.where(F.col("all") <= SHORT)
+    pairs = few.select("v", F.col("uid").alias("a"), F.col("n").alias("na")).join(few.select("v", F.col("uid").alias("b"), F.col("n").alias("nb")), "v")
+    pairs = written(pairs.where((F.col("a") < F.col("b")) & _sized("na", "nb", share)).select("a", "b").distinct(), "neardup-cand")
+    made = []
+
+    def full_of(p: DataFrame) -> DataFrame:
+        ends = written(p.select(F.col("a").alias("uid")).union(p.select("b")).distinct().join(rows.select("uid", "doc_id", "fp"), "uid"), "neardup-ends")
+        made.append(_full_sets(ends, docs, size, "neardup-sets"))
+        return made[0]
+
+    links, tested = _linked(pairs, leads, k, share, full_of), pairs
+    drop(made[0])
+
+    wide = lists.where(F.col("all") > SHORT).select("uid").distinct().join(rows.select("uid", "doc_id", "fp"), "uid")
+    full = _full_sets(written(wide, "neardup-wide"), docs, size, "neardup-full")
+    full = full.dropDuplicates(["uid"])
+    lists = written(_lists_of(full, WIDE, WIDE_SHARE), "neardup-lists")
+    # the hub of a list: the member with the smallest part of its own
+    hubs = lists.groupBy("v").agg(F.min_by("uid", F.struct(F.col("own") / F.col("n"), F.xxhash64("uid"))).alias("hub"))
+    lists = written(lists.join(hubs, "v"), "neardup-hubs")
+    star = written(_overlaps(lists.select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), full), "neardup-star")
+    links = links.union(star.where((F.col("a") != F.col("b")) & _enough(F.col("i"), F.col("na"), F.col("nb"), share)).select("a", "b"))
+
+    at = _labelled(lists, links).join(star.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "i"), ["hub", "uid"])
+    at = at.select("v", "uid", "label", "n", "i", (F.col("n") - F.col("i") - F.col("own")).alias("out"))
+    main = at.groupBy("v", "label").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    at = at.join(main, "v")
+    # a pair is taken in the first of the lists that both stand in
+    at = written(at.join(at.groupBy("uid").agg(F.array_sort(F.collect_set("v")).alias("vs")), "uid"), "neardup-open")
+    # what two members have in common lies in the hub or outside it; outside, what is a member's own isn't shared
+    side = lambda p: at.select("v", "main", *[F.col(c).alias(p + c) for c in ("uid", "label", "n", "i", "out", "vs")])
+    most = F.least("x_i", "y_i") + F.least("x_out", "y_out")
+    first = F.array_min(F.array_intersect("x_vs", "y_vs")) == F.col("v")
+    cross = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("y_main")) | (F.col("x_uid") < F.col("y_uid")))
+    pairs = side("x_").where(F.col("x_label") != F.col("main")).drop("main").join(side("y_").withColumnRenamed("main", "y_main"), "v").where(cross & _sized("x_n", "y_n", share) & _enough(most, F.col("x_n"), F.col("y_n"), share) & first)
+    pairs = pairs.select(F.least("x_uid", "y_uid").alias("a"), F.greatest("x_uid", "y_uid").alias("b")).distinct()
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "neardup-cand")
+    links = written(links.union(_linked(pairs, full, k, share, lambda _: full)), "neardup-all-links")
     out = rows.select("uid", "doc_id", "n", "fp").join(classes, "fp", "left")
-    if links is None:
-        low = F.col("rep")
-    else:
-        labels = components(links, "neardup-cc").withColumnRenamed("node", "lead").join(classes.select("lead", "rep"), "lead")
-        least = labels.groupBy("label").agg(F.min("rep").alias("low"))
-        out = out.join(labels.select("lead", "label").join(least, "label").select("lead", "low"), "lead", "left")
-        low = F.coalesce("low", "rep")
+    labels = components(links, "neardup-cc").withColumnRenamed("node", "lead").join(classes.select("lead", "rep"), "lead")
+    least = labels.groupBy("label").agg(F.min("rep").alias("low"))
+    out = out.join(labels.select("lead", "label").join(least, "label").select("lead", "low"), "lead", "left")
+    low = F.coalesce("low", "rep")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), low).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -115,8 +115,9 @@ def brute_components(rows, size=5):
     return sorted(((ids[i] if ids[i] is not None else -1), len(sets[i]), -1 if low[i] is None else low[i], low[i] == ids[i] or ids[i] is None) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_near_duplicates(spark, rounds):
+@pytest.mark.parametrize("short", [0, 16])
+def test_near_duplicates(spark, monkeypatch, short):
+    monkeypatch.setattr(neardup, "SHORT", short)
     rng = random.Random(3)
     word = lambda: "w%d" % rng.randrange(5000)
     passage = [word() for _ in range(60)]
@@ -134,7 +135,7 @@ def test_near_duplicates(spark, rounds):
         own[i] = own[90 - i] = word()
         rows.append((500 + i, " ".join(own)))
     docs = odd_docs(spark, rows)
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in neardup.near_duplicates(docs, rounds=rounds).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
     assert got == brute_components(rows)
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
