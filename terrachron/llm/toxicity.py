@@ -3,7 +3,7 @@
 Expressions are whole words and word beginnings (a word's first ``least`` to ``most``
 bytes; a closing space marks a whole word), counted once per text. Each class has a
 Kneser-Ney model of them: absolute discounting, and the discounted mass falls back on
-counts that both classes share. An expression whose class counts are too rare or too
+counts that both classes share, taken over all documents, labelled or not. An expression whose class counts are too rare or too
 alike to tell the classes apart (likelihood-ratio statistic under ``evidence``) is smoothed into the
 shared counts altogether: there its likelihood is the same under both classes. A
 word takes its longest expression that is not. A text's toxic and ordinary
@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +107,29 @@ def _counts(least: int, most: int):
     return run
 
 
+def _shared(terms: Broadcast, least: int, most: int):
+    """Arrow batches (text) -> (term, n): texts that hold each of ``terms``, and all texts as the empty term; one row a term and task."""
+
+    class Held(dict):
+        def __missing__(self, word: bytes) -> tuple:
+            if len(self) > 300_000:
+                self.clear()
+            whole = word + b" "
+            self[word] = held = tuple(t for t in (whole[:j] for j in range(least, min(len(whole), most) + 1)) if t in terms.value)
+            return held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, held = Counter(), Held()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words = set().union(*(set(piece.split()) for piece in normal(text)))
+                c.update({t for w in words for t in held[w]})
+                c[b""] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["term", "n"])
+
+    return run
+
+
 def _features(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(model)
@@ -164,8 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, discount: flo
     both = F.col("c0") + F.col("c1")
     part = lambda k: F.when(F.col(f"c{k}") > 0, F.col(f"c{k}") * F.log(F.col(f"c{k}") * (n[0] + n[1]) / (both * n[k]))).otherwise(0.0)
     told = c.where(both >= 4).withColumn("g", 2 * (part(0) + part(1))).where(F.col("g") >= evidence_least).orderBy(F.desc("g"), "term").limit(most_terms).collect()
+    # shared backoff counts: all documents, labelled or not
+    known_terms = frozenset(bytes(r.term) for r in told)
+    everywhere = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_shared(docs.sparkSession.sparkContext.broadcast(known_terms), least, most), "term binary, n long")
+    spread = {bytes(r.term): r.n for r in everywhere.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most ``most_terms`` + 1 rows
+    per_text = (s0 + s1) / (n[0] + n[1])
     for r in told:
-        shared = (r.c0 + r.c1) / (s0 + s1)
+        shared = spread[bytes(r.term)] / spread[b""] / per_text
         ordinary, toxic = ((max(x - discount, 0.0) + discount * t * shared) / s for x, t, s in ((r.c0, t0, s0), (r.c1, t1, s1)))
         model.terms[bytes(r.term)] = float(np.log(toxic / ordinary))
     seen = np.array([tuple(r) for r in own.mapInArrow(_features(model), "x double, z double, label int").collect()], float).reshape(-1, 3)
