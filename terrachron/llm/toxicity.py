@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrachron.llm.words import pieces
+from terrachron.llm.words import KEEP, pieces
 from terrachron.plans.tables import drop, written
 
 #: Digits, a-z and bytes of other scripts stay; all else separates words.
@@ -52,7 +52,7 @@ class _Words(dict):
         self.model = model
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 300_000:
+        if len(self) > KEEP:
             self.clear()
         terms, whole, value = self.model.terms, word + b" ", 0.0
         for j in range(min(len(whole), self.model.most), self.model.least - 1, -1):
@@ -99,7 +99,7 @@ def _counts(least: int, most: int):
                         whole = w + b" "
                         terms.update(whole[:j] for j in range(least, min(len(whole), most) + 1))
                 c[label].update(terms)
-                if len(c[0]) + len(c[1]) > 400_000:
+                if len(c[0]) + len(c[1]) > 200_000:
                     yield flush(c)
                     c = (Counter(), Counter())
         yield flush(c)
@@ -112,7 +112,7 @@ def _shared(terms: Broadcast, least: int, most: int):
 
     class Held(dict):
         def __missing__(self, word: bytes) -> tuple:
-            if len(self) > 300_000:
+            if len(self) > KEEP:
                 self.clear()
             whole = word + b" "
             self[word] = held = tuple(t for t in (whole[:j] for j in range(least, min(len(whole), most) + 1)) if t in terms.value)

@@ -7,14 +7,15 @@ import xxhash
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _CHUNK = 4 << 20
-_KEEP = 300_000
+#: Words that a memo holds at most; some 30 MB.
+KEEP = 120_000
 
 
 class WordHashes(dict):
     """word bytes -> 64-bit hash; emptied when it holds too many words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _KEEP:
+        if len(self) > KEEP:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
