@@ -20,32 +20,33 @@ def normalised(raw: DataFrame) -> DataFrame:
     """
     j = F.from_json("value", _RAW, {"mode": "PERMISSIVE"})
     keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
-    d = raw.withColumn("j", j).withColumn("keys", keys)
-    has = lambda k: F.array_contains("keys", k)
-    num = lambda k: F.col(f"j.{k}").try_cast("double")
+    # a generator keeps its parsed record in one place: no filter is pushed below it, so each line is parsed once
+    d = raw.select("*", F.inline(F.array(F.struct(j.alias("_j"), keys.alias("_keys"), F.try_parse_json("value").isNotNull().alias("_json")))))
+    has = lambda k: F.array_contains("_keys", k)
+    num = lambda k: F.col(f"_j.{k}").try_cast("double")
     real = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-    t = F.col("j.timestamp")
+    t = F.col("_j.timestamp")
     iso = t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:?\d\d)$")
     epoch = t.rlike(r"^-?\d{1,11}(\.\d+)?$")
     ts = F.when(iso, F.try_to_timestamp(F.regexp_replace(t, r"([+-]\d\d)(\d\d)$", "$1:$2"))).when(epoch, F.timestamp_micros(F.round(t.try_cast("double") * 1e6).cast("long")))
     optional = lambda k, default: F.when(has(k), num(k)).otherwise(F.lit(default))
     conf, unc, dur = optional("confidence", 1.0), optional("uncertainty_m", 0.0), optional("duration_s", 0.0)
     bad = lambda c: F.coalesce(~c, F.lit(True))
-    empty = lambda k: F.coalesce(F.col(f"j.{k}") == "", F.lit(True))
-    is_object = F.coalesce(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"), F.lit(False))
+    empty = lambda k: F.coalesce(F.col(f"_j.{k}") == "", F.lit(True))
+    is_object = F.coalesce(F.col("_json") & F.trim("value").startswith("{"), F.lit(False))
     reason = (
-        F.when(F.try_parse_json("value").isNull(), "not JSON").when(~is_object, "record is not an object")
+        F.when(~F.col("_json"), "not JSON").when(~is_object, "record is not an object")
         .when(bad(real(num("lat")) & real(num("lon"))), "bad coordinates: missing or not a number").when(bad(num("lat").between(-90, 90) & num("lon").between(-180, 180)), "bad coordinates: out of range")
         .when(ts.isNull(), "bad timestamp: missing, unreadable or without time zone")
         .when(empty("entity_id") | empty("event_type") | empty("source_id"), "missing entity_id, event_type or source_id")
         .when(bad(real(conf) & conf.between(0, 1)), "bad confidence").when(bad(real(unc) & (unc >= 0)), "bad uncertainty_m").when(bad(real(dur) & (dur >= 0)), "bad duration_s")
-        .when(has("attributes") & bad(F.col("j.attributes").startswith("{")), "attributes is not an object").when(has("inputs") & F.col("j.inputs").isNull(), "inputs is not a list")
+        .when(has("attributes") & bad(F.col("_j.attributes").startswith("{")), "attributes is not an object").when(has("inputs") & F.col("_j.inputs").isNull(), "inputs is not a list")
     )
-    said = F.sha1(F.to_json(F.array(F.col("j.entity_id"), F.col("j.event_type"), num("lat").cast("string"), num("lon").cast("string"), F.unix_micros(ts).cast("string"), F.col("j.source_id"))))
-    ident = F.when(empty("observation_id"), said).otherwise(F.col("j.observation_id"))
+    said = F.sha1(F.to_json(F.array(F.col("_j.entity_id"), F.col("_j.event_type"), num("lat").cast("string"), num("lon").cast("string"), F.unix_micros(ts).cast("string"), F.col("_j.source_id"))))
+    ident = F.when(empty("observation_id"), said).otherwise(F.col("_j.observation_id"))
     own = {
-        "observation_id": ident, "entity_id": F.col("j.entity_id"), "event_type": F.col("j.event_type"), "lat": num("lat"), "lon": num("lon"), "ts": ts, "duration_s": dur, "source_id": F.col("j.source_id"), "processing_model": F.col("j.processing_model"),
-        "inputs": F.coalesce(F.col("j.inputs"), F.array().cast("array<string>")), "confidence": conf, "uncertainty_m": unc, "attributes": F.coalesce("j.attributes", F.lit("{}")), "parent_observation": F.col("j.parent_observation"),
+        "observation_id": ident, "entity_id": F.col("_j.entity_id"), "event_type": F.col("_j.event_type"), "lat": num("lat"), "lon": num("lon"), "ts": ts, "duration_s": dur, "source_id": F.col("_j.source_id"), "processing_model": F.col("_j.processing_model"),
+        "inputs": F.coalesce(F.col("_j.inputs"), F.array().cast("array<string>")), "confidence": conf, "uncertainty_m": unc, "attributes": F.coalesce("_j.attributes", F.lit("{}")), "parent_observation": F.col("_j.parent_observation"),
     }
     return d.select(*raw.columns, reason.alias("reason"), *[v.alias(k) for k, v in own.items()])
 
