@@ -118,7 +118,7 @@ def benchmark_searchers(benchmark: DataFrame, window: int = 10, block_bytes: int
 def _pass(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [scan(t, sent.value) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            x = [scan(t.as_py(), sent.value) for t in b.column(2).cast(pa.binary())]
             spans = pa.array([[{"lo": lo, "hi": hi} for lo, hi in s] for _, s, _ in x], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _, _ in x], pa.int64()), spans, pa.array([sorted(i) for _, _, i in x], pa.list_(pa.string()))], ["uid", "doc_id", "n_words", "spans", "items"])
 
@@ -154,7 +154,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10
 
         def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not scan(t, sent.value)[1] for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not scan(t.as_py(), sent.value)[1] for t in b.column(at).cast(pa.binary())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -92,9 +92,9 @@ def _counts(least: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = (Counter(), Counter())
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 terms = set()
-                for piece in normal(text):
+                for piece in normal(text.as_py()):
                     for w in set(piece.split()):
                         whole = w + b" "
                         terms.update(whole[:j] for j in range(least, min(len(whole), most) + 1))
@@ -121,8 +121,8 @@ def _shared(terms: Broadcast, least: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, held = Counter(), Held()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                words = set().union(*(set(piece.split()) for piece in normal(text)))
+            for text in b.column(0):
+                words = set().union(*(set(piece.split()) for piece in normal(text.as_py())))
                 c.update({t for w in words for t in held[w]})
                 c[b""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["term", "n"])
@@ -134,7 +134,7 @@ def _features(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(model)
         for b in batches:
-            x = [evidence(t, words) for t in b.column(0).to_pylist()]
+            x = [evidence(t.as_py(), words) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([s for _, s in x], pa.float64()), b.column(1)], ["x", "z", "label"])
 
     return run
@@ -217,7 +217,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
         own = sent.value
         words = _Words(own)
         for b in batches:
-            s = [score(evidence(t, words), own.curve) for t in b.column(1).to_pylist()]
+            s = [score(evidence(t.as_py(), words), own.curve) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -233,7 +233,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
         own = sent.value
         words = _Words(own)
         for b in batches:
-            keep = [score(evidence(t, words), own.curve) < 0.5 for t in b.column(at).to_pylist()]
+            keep = [score(evidence(t.as_py(), words), own.curve) < 0.5 for t in b.column(at)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
