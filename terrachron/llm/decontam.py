@@ -15,9 +15,12 @@ broadcast is bounded however large the benchmark is.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -25,55 +28,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrachron.llm.words import pieces
-from terrachron.plans.tables import written
+from terrachron.plans.tables import drop, written
 
 #: The words of the contract: A-Z to lower case; 0-9, a-z and bytes of other scripts stay; the rest of ASCII separates words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 class WuManber:
-    """Searcher for test strings (tuples of words) of one length."""
-
-    def __init__(self, strings: dict[tuple, list[str]]):
-        self.length = m = len(next(iter(strings)))
-        self.block = b = min(2, m)
-        self.far = m - b + 1
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(dict)
-        for words, items in strings.items():
-            for end in range(b, m + 1):
-                key = words[end - b : end]
-                self.shift[key] = min(self.shift.get(key, self.far), m - end)
-            self.buckets[words[m - b :]].setdefault(words[0], []).append((words, items))
+    """Searcher for windows of one length, which stand in one list of words.
+
+    Shifts are kept by a hash of the block; blocks that collide take the smaller shift,
+    which is safe. Positions of windows are sorted by a hash of suffix block and first
+    word; ``marks`` says which hashes occur. Per window some 50 bytes are kept.
+    """
+
+    def __init__(self, known: list[bytes], windows: list[tuple[int, str]], length: int):
+        """``windows``: (first word's place in ``known``, item)."""
+        self.length, self.known = length, known
+        self.block = b = min(2, length)
+        self.far = min(length - b + 1, 255)
+        size = 1 << max(10, (8 * len(known)).bit_length())
+        self.mask = mask = size - 1
+        self.shift, self.marks = bytearray([self.far]) * size, bytearray(size)
+        self.names = sorted({item for _, item in windows})
+        number = {item: i for i, item in enumerate(self.names)}
+        shift, keyed = self.shift, []
+        for at, item in windows:
+            for end in range(at + b, at + length + 1):
+                h = crc32(known[end - 1], crc32(known[end - 2])) if b == 2 else crc32(known[end - 1])
+                shift[h & mask] = min(shift[h & mask], at + length - end)
+            key = crc32(known[at], h)
+            self.marks[key & mask] = 1
+            keyed.append((key, at, number[item]))
+        keyed.sort()
+        self.keys, self.places, self.owners = (array(kind, [x[i] for x in keyed]) for i, kind in enumerate("IQQ"))
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
         """(start, items) of every occurrence, by start."""
-        m, b, far, shift, buckets, n = self.length, self.block, self.far, self.shift, self.buckets, len(words)
-        i, one = m - 1, b == 1
+        m, shift, marks, mask, keys, known, n = self.length, self.shift, self.marks, self.mask, self.keys, self.known, len(words)
+        i, one = m - 1, self.block == 1
         while i < n:
-            key = (words[i],) if one else (words[i - 1], words[i])
-            jump = shift.get(key, far)
+            h = crc32(words[i]) if one else crc32(words[i], crc32(words[i - 1]))
+            jump = shift[h & mask]
             if jump:
                 i += jump
                 continue
             start = i - m + 1
-            for string, items in buckets[key].get(words[start], ()):
-                if tuple(words[start : i + 1]) == string:
-                    yield start, items
+            key = crc32(words[start], h)
+            if marks[key & mask]:
+                lo, here = bisect_left(keys, key), words[start : i + 1]
+                same = [self.names[self.owners[x]] for x in range(lo, bisect_right(keys, key, lo)) if known[self.places[x] : self.places[x] + m] == here]
+                if same:
+                    yield start, same
             i += 1
 
 
 def searchers(items: list[tuple[str, str | None]], window: int = 10) -> list[WuManber]:
     """One searcher for each window length; an item without words has no window."""
-    by_length: dict[int, dict[tuple, list[str]]] = defaultdict(dict)
+    by_length: dict[int, tuple[list[bytes], list[tuple[int, str]]]] = defaultdict(lambda: ([], []))
+    interned: dict[bytes, bytes] = {}
     for item, text in items:
-        words = tuple((text or "").encode().translate(TABLE).split())
+        words = [interned.setdefault(w, w) for w in (text or "").encode().translate(TABLE).split()]
         size = min(window, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            known = by_length[size].setdefault(words[i : i + size], [])
-            if item not in known:
-                known.append(item)
-    return [WuManber(x) for _, x in sorted(by_length.items())]
+        known, windows = by_length[size]
+        once = {tuple(words[i : i + size]): i for i in range(len(words) - size, -1, -1)} if size else {}
+        windows += [(len(known) + i, item) for i in once.values()]
+        known += words
+    return [WuManber(known, windows, size) for size, (known, windows) in sorted(by_length.items()) if size]
 
 
 def scan(data: bytes | None, found_by: list[WuManber]) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -148,15 +169,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in which no window of the benchmark occurs."""
-    at = docs.columns.index(text)
-    for sent in benchmark_searchers(benchmark, window, block_bytes):
+    """The rows of ``docs``, all columns as they are, in which no window of the benchmark occurs.
+
+    Of several benchmark blocks each has its own pass over the rows that are left, so a task holds one searcher set.
+    """
+    at, parts, before = docs.columns.index(text), benchmark_searchers(benchmark, window, block_bytes), None
+    for sent in parts:
 
         def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([not scan(t.as_py(), sent.value)[1] for t in b.column(at).cast(pa.binary())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if len(parts) > 1:
+            docs = written(docs, "decontam-left")
+            if before is not None:
+                drop(before)
+            before = docs
     return docs
 
 

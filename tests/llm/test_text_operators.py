@@ -89,6 +89,15 @@ def test_decontamination(spark, block):
     assert decontam.contamination(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [8 << 20, 40])
+def test_without_contaminated(spark, block):
+    docs = odd_docs(spark, ODD + [(10, "x Alpha, beta gamma y"), (11, "alpha beta y"), (12, " ".join(f"w{i}" for i in range(30)))])
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, " ".join(f"w{i}" for i in range(9, 20))), (3, None)], "item_id long, text string")
+    left = decontam.without_contaminated(docs, bench, block_bytes=block)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in left.collect()) == sorted(r.doc_id or 0 for r in docs.collect() if r.doc_id not in (10, 12))
+
+
 def test_long_text_in_pieces(monkeypatch):
     import terrachron.llm.words as words
 
