@@ -82,7 +82,7 @@ class Ids:
     """Token ids of a text under the byte-level BPE vocabulary, then id 0.
 
     tiktoken runs the same merges from the same vocabulary about four times as fast as
-    the tokenizers library (equal ids: tests/llm/test_packing.py); a text that
+    the tokenizers library (equal ids: tests/llm/test_other_operators.py); a text that
     holds the string of a special token goes through tokenizers itself.
     """
 
