@@ -91,7 +91,7 @@ def _least_overlap(k: int, share: float):
 def _lists_of(rows: DataFrame, k: int, share: float) -> DataFrame:
     """(uid, n, values) -> (v, uid, n, own, all): each document under its rarest retained values; lists of one member and repeated lists go.
 
-    ``own``: retained values that no other document has; ``all``: members of the list.
+    ``own``: retained values that no other document retains; ``all``: members of the list.
     """
     post = rows.select("uid", "n", F.explode(F.slice("values", 1, k)).alias("v"))
     shared = post.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
@@ -181,20 +181,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (75
     full = full.dropDuplicates(["uid"])
     lists = written(_lists_of(full, WIDE, WIDE_SHARE), "neardup-lists")
     # the hub of a list: the member with the smallest part of its own
-    hubs = lists.groupBy("v").agg(F.min_by("uid", F.struct(F.col("own") / F.col("n"), F.xxhash64("uid"))).alias("hub"))
+    hubs = lists.groupBy("v").agg(F.min_by(F.struct(F.col("uid").alias("hub"), F.col("n").alias("hub_n")), F.struct(F.col("own") / F.col("n"), F.xxhash64("uid"))).alias("h")).select("v", "h.*")
     lists = written(lists.join(hubs, "v"), "neardup-hubs")
     star = written(_overlaps(lists.select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), full), "neardup-star")
     links = links.union(star.where((F.col("a") != F.col("b")) & _enough(F.col("i"), F.col("na"), F.col("nb"), share)).select("a", "b"))
 
     at = _labelled(lists, links).join(star.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "i"), ["hub", "uid"])
-    at = at.select("v", "uid", "label", "n", "i", (F.col("n") - F.col("i") - F.col("own")).alias("out"))
+    # a value that the hub has but doesn't retain may seem a member's own
+    at = at.select("v", "uid", "label", "n", "i", F.when(F.col("hub_n") <= WIDE, F.col("own")).otherwise(0).alias("own"))
     main = at.groupBy("v", "label").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     at = at.join(main, "v")
     # a pair is taken in the first of the lists that both stand in
     at = written(at.join(at.groupBy("uid").agg(F.array_sort(F.collect_set("v")).alias("vs")), "uid"), "neardup-open")
-    # what two members have in common lies in the hub or outside it; outside, what is a member's own isn't shared
-    side = lambda p: at.select("v", "main", *[F.col(c).alias(p + c) for c in ("uid", "label", "n", "i", "out", "vs")])
-    most = F.least("x_i", "y_i") + F.least("x_out", "y_out")
+    # what two members have in common lies in the hub or outside it; outside, what is a member's own isn't shared with one that retains its whole set
+    side = lambda p: at.select("v", "main", *[F.col(c).alias(p + c) for c in ("uid", "label", "n", "i", "own", "vs")])
+    out_of = lambda p, q: F.col(p + "n") - F.col(p + "i") - F.when(F.col(q + "n") <= WIDE, F.col(p + "own")).otherwise(0)
+    most = F.least("x_i", "y_i") + F.least(out_of("x_", "y_"), out_of("y_", "x_"))
     first = F.array_min(F.array_intersect("x_vs", "y_vs")) == F.col("v")
     cross = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("y_main")) | (F.col("x_uid") < F.col("y_uid")))
     pairs = side("x_").where(F.col("x_label") != F.col("main")).drop("main").join(side("y_").withColumnRenamed("main", "y_main"), "v").where(cross & _sized("x_n", "y_n", share) & _enough(most, F.col("x_n"), F.col("y_n"), share) & first)

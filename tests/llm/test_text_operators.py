@@ -149,6 +149,17 @@ def test_near_duplicates(spark, monkeypatch, short):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_more_shingles_than_are_indexed(spark):
+    words = lambda p, n: [f"{p}{i}" for i in range(n)]
+    core, pool = words("c", 1104), words("p", 380)
+    rows = [(1, " ".join(core))]
+    rows += [(100 + i, " ".join(core + words(f"y{i}x", 345 + 2 * i))) for i in range(20)]
+    rows += [(200 + i, " ".join(core + pool[: 375 - i % 3] + [f"h{i % 7}"])) for i in range(20)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd_docs(spark, rows)).collect())
+    want = brute_components(rows)
+    assert got == want and 1 < sum(c == 1 for _, _, c, _ in want) < 21
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rng = random.Random(4)
