@@ -33,11 +33,21 @@ FURTHER = [
     ("opaque", r"(?<![A-Za-z0-9_-])((?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,})", 1, 20),
 ]
 KINDS = [k for k, *_ in BASE + FURTHER]
+#: A key with its header fields, base64 body (the value; lines may end in a written-out \\n) and footer; a body without a footer goes on as long as its lines are long.
+_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\\rn]{0,8}[A-Z][A-Za-z]*-[A-Za-z-]+: ?[^\r\n\\]{0,200}){0,6}"
+    r"([A-Za-z0-9+/=\s\\]++(?=-----END )|\s{0,8}[A-Za-z0-9+/=\\]{20,}+(?:\s{1,8}[A-Za-z0-9+/=\\]{40,}+){0,400})"
+    r"(?:-----END [A-Z ]*PRIVATE KEY-----)?"
+)
+#: What texts are searched for: FURTHER has only a key's header, which holds no secret.
+SEARCHED = [(k, _PEM if k == "private_key" else p, g, n) for k, p, g, n in BASE + FURTHER]
 
 
 def _found(text: Column, kind: str, pattern: str, group: int) -> Column:
     """Struct of the lengths between matches, of matches and of values, value hashes, and whether values look random."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if kind == "private_key":  # a copy with other line ends is the same key
+        values = F.transform(values, lambda v: F.regexp_replace(v, r"\\[rn]|[\s\\]", ""))
     random = lambda v: (F.size(F.array_distinct(F.split(v, ""))) >= 8) & v.rlike("[0-9]")
     return F.when(
         text.rlike(pattern),
@@ -53,7 +63,7 @@ def _found(text: Column, kind: str, pattern: str, group: int) -> Column:
 def candidates(rows: DataFrame) -> DataFrame:
     """(uid, text, repo, owner, ...) -> the same without text, with ``found``: one struct per kind that occurs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = F.array_compact(F.array(*[_found(text, k, p, g) for k, p, g, _ in BASE + FURTHER]))
+    found = F.array_compact(F.array(*[_found(text, k, p, g) for k, p, g, _ in SEARCHED]))
     return rows.select(*[c for c in rows.columns if c != "text"], found.alias("found"))
 
 
@@ -109,7 +119,7 @@ def redacted(docs: DataFrame, repo: Column, owner: Column, most_owners: int = 1,
 
     A column n_chars, if there is one, follows the new text. Only documents with a candidate are shuffled.
     """
-    any_ = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").rlike(p) for _, p, _, _ in BASE + FURTHER]), F.lit(False))
+    any_ = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").rlike(p) for _, p, _, _ in SEARCHED]), F.lit(False))
     some = written(docs.where(any_).select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner")), "secrets-rows")
     found = candidates(some.select("uid", F.col("row.text").alias("text"), "repo", "owner"))
     per = spans_of(found, most_owners).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))

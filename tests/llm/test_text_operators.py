@@ -54,6 +54,30 @@ def test_ownership_parts_copied_from_own(spark):
     assert all(got[i].spans == "" for i in range(9))
 
 
+def test_private_keys_with_their_bodies(spark):
+    rng = random.Random(5)
+    body = lambda n: "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=n))
+    lines = lambda s, end="\n": end.join(s[i : i + 64] for i in range(0, len(s), 64))
+    pem = lambda s, end="\n", head="": f"-----BEGIN RSA PRIVATE KEY-----{end}{head}{lines(s, end)}{end}-----END RSA PRIVATE KEY-----"
+    own, example, cut = body(1590) + "==", body(800), body(640)
+    keys = {
+        20: pem(own),
+        21: pem(body(300), "\r\n", "Proc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0123ABCD\r\n\r\n"),
+        22: pem(body(300), "\\n"),
+        23: "-----BEGIN PRIVATE KEY-----\n" + lines(cut),
+        24: pem(body(20_000)),
+    }
+    shared = [pem(example), pem(example, "\r\n"), pem(example, "\\n")]
+    docs = odd_docs(spark, [(i, f"é {shared[i % 3]} y") for i in range(9)] + [(i, f"é {k} and words") for i, k in keys.items()] + [(30, "-----BEGIN PRIVATE KEY----- begins a key")])
+    got = {r.doc_id: r.spans.split(",") for r in secrets.secret_spans(docs, F.concat("source", "lang"), F.col("source")).collect()}
+    for i, key in keys.items():
+        assert [s for s in got[i] if s.startswith("private_key")] == [f"private_key:2:{2 + len(key)}"]
+    assert not any(s.startswith("private_key") for i in [*range(9), 30] for s in got[i])
+    text = {r.doc_id: r.text for r in secrets.redacted(docs, F.concat("source", "lang"), F.col("source")).collect()}
+    assert all(text[i] == "é [SECRET] and words" for i in keys)
+    assert text[30] == "-----BEGIN PRIVATE KEY----- begins a key"
+
+
 def test_redaction(spark):
     docs = odd_docs(spark, ODD + [(7, f"é password={KEY} and {KEY}!"), (8, "plain")])
     out = secrets.redacted(docs, F.col("source"), F.col("source"))
