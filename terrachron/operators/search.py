@@ -108,24 +108,31 @@ def history_before(obs: DataFrame, entity: str, event_type: str, lookback: timed
     return out.withColumn("offset_minutes", (F.unix_micros("ts") - F.unix_micros("anchor")) / 6e7).drop("anchor")
 
 
-def lineage(obs: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+def lineage(obs: DataFrame, start: DataFrame) -> DataFrame:
     """``start`` (observation_id) -> origin, observation_id, depth: the chain of parents, the start itself at 0.
 
-    One equi-join per generation. A chain ends at a missing parent or where it meets
-    itself: a cycle of n has n rows.
+    Pointer doubling: the ancestors 1, 2, 4, ... generations up are joined to the rows
+    found so far, so a chain of any length takes a logarithmic number of equi-joins. A
+    chain ends at a missing parent or where it meets itself: a cycle of n has n rows.
     """
-    parents = obs.select(F.col("observation_id").alias("id"), "parent_observation")
-    now = start.select(F.col("observation_id").alias("origin"), F.col("observation_id").alias("id")).join(parents, "id").select("origin", "id", F.lit(0).alias("depth"), "parent_observation", F.array("id").alias("path"))
     from terrachron.plans.tables import written
 
-    out = now = written(now, "lineage")
-    for _ in range(most):
-        nxt = now.where(F.col("parent_observation").isNotNull() & ~F.array_contains("path", F.col("parent_observation"))).select("origin", F.col("parent_observation").alias("id"), (F.col("depth") + 1).alias("depth"), "path")
-        nxt = written(nxt.join(parents, "id").select("origin", "id", "depth", "parent_observation", F.concat("path", F.array("id")).alias("path")), "lineage")
+    ids = obs.select(F.col("observation_id").alias("id")).distinct()
+    parents = obs.select(F.col("observation_id").alias("id"), F.col("parent_observation").alias("up")).where("up IS NOT NULL")
+    jumps = [written(parents.join(ids.withColumnRenamed("id", "up"), "up", "left_semi").select("id", "up").distinct(), "lineage-up")]
+    most = jumps[0].count()  # a chain that doesn't repeat has at most one step a row
+    while 2 ** len(jumps) <= most:
+        at_ = jumps[-1]
+        nxt = written(at_.select("id", F.col("up").alias("mid")).join(at_.select(F.col("id").alias("mid"), "up"), "mid").select("id", "up").distinct(), "lineage-up")
         if nxt.isEmpty():
             break
-        out, now = out.union(nxt), nxt
-    return out.select("origin", F.col("id").alias("observation_id"), "depth")
+        jumps.append(nxt)
+    out = start.select(F.col("observation_id").alias("id")).join(ids, "id", "left_semi").distinct().select(F.col("id").alias("origin"), "id", F.lit(0).cast("long").alias("depth"))
+    for k in reversed(range(len(jumps))):
+        further = out.join(jumps[k], "id").select("origin", F.col("up").alias("id"), (F.col("depth") + 2**k).alias("depth"))
+        # in a cycle an ancestor is met again at a larger depth
+        out = written(out.union(further).groupBy("origin", "id").agg(F.min("depth").alias("depth")), "lineage")
+    return out.select("origin", F.col("id").alias("observation_id"), F.col("depth").cast("int").alias("depth"))
 
 
 def evidence(obs: DataFrame) -> DataFrame:

@@ -80,6 +80,15 @@ def test_lineage_cycle_and_missing_parent(spark):
         search.get(obs, "none")
 
 
+def test_lineage_of_a_long_chain_and_a_tail_into_a_cycle(spark):
+    n = 1100
+    parents = [None, *(f"o{i:04d}" for i in range(n - 1)), f"o{n + 3:04d}", f"o{n:04d}", f"o{n + 1:04d}", f"o{n + 2:04d}", f"o{n + 1:04d}"]
+    obs = world(spark, [("e", "p", 0, 0, i, "s", 1.0, 1.0, p) for i, p in enumerate(parents)])
+    of = lambda i: {(r.observation_id, r.depth) for r in search.lineage(obs, obs.where(F.col("observation_id") == f"o{i:04d}")).collect()}
+    assert of(n - 1) == {(f"o{n - 1 - d:04d}", d) for d in range(n)}
+    assert of(n + 4) == {(f"o{i:04d}", d) for d, i in enumerate([n + 4, n + 1, n, n + 3, n + 2])}
+
+
 @pytest.mark.parametrize("centre", [(40.7, -74.0), (0.0, 180.0), (89.99, 0.0)])
 def test_neighbours_equal_brute_force(spark, centre):
     rng = random.Random(2)
