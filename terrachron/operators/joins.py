@@ -31,6 +31,10 @@ def _keys(radius_m: float, window_s: float, most_lat: float) -> tuple:
     return lambda df: df.withColumn("row", row).withColumn("tick", tick).withColumn("column", column), around
 
 
+def _largest(df: DataFrame, column: str) -> float:
+    return df.agg(F.max(F.abs(column))).first()[0] or 0.0
+
+
 def neighbour_pairs(obs: DataFrame, radius_m: float, window: timedelta, other_entities: bool = True) -> DataFrame:
     """Pairs of observations at most ``radius_m`` and ``window`` apart, each once: a_/b_ id, entity, ts; a's id is the smaller.
 
@@ -38,8 +42,7 @@ def neighbour_pairs(obs: DataFrame, radius_m: float, window: timedelta, other_en
     at the antimeridian and near a pole all longitudes are one column.
     """
     own = obs.select(F.col("observation_id").alias("id"), F.col("entity_id").alias("entity"), "ts", "lat", "lon")
-    most = own.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    place, around = _keys(radius_m, window.total_seconds(), most)
+    place, around = _keys(radius_m, window.total_seconds(), _largest(own, "lat"))
     side = lambda df, p: df.select("row", "column", "tick", *[F.col(c).alias(p + c) for c in ("id", "entity", "ts", "lat", "lon")])
     pairs = side(place(own), "a_").join(side(around(own), "b_"), ["row", "column", "tick"])
     apart = F.abs(F.unix_micros("a_ts") - F.unix_micros("b_ts")) <= round(window.total_seconds() * 1e6)
@@ -55,7 +58,7 @@ def nearby_entities(obs: DataFrame, entity: str, t: datetime, radius_m: float, w
     w = F.expr(f"INTERVAL {window.total_seconds()} SECONDS")
     close = obs.where(F.col("ts").between(at(t) - w - w, at(t) + w + w)).select(F.col("observation_id").alias("id"), F.col("entity_id").alias("entity"), "ts", "lat", "lon")
     own = close.where((F.col("entity") == entity) & F.col("ts").between(at(t) - w, at(t) + w))
-    place, around = _keys(radius_m, window.total_seconds(), 89.9)
+    place, around = _keys(radius_m, window.total_seconds(), _largest(close, "lat"))
     side = lambda df, p: df.select("row", "column", "tick", *[F.col(c).alias(p + c) for c in ("id", "ts", "lat", "lon", "entity")])
     pairs = side(place(close.where(F.col("entity") != entity)), "o_").join(side(around(own), "e_"), ["row", "column", "tick"])
     d = geo.haversine_m(F.col("e_lat"), F.col("e_lon"), F.col("o_lat"), F.col("o_lon"))
@@ -71,11 +74,12 @@ def inside(obs: DataFrame, regions: dict[str, geo.Ring]) -> DataFrame:
 
 
 def batch_radius(obs: DataFrame, queries: DataFrame, most_radius_m: float) -> DataFrame:
-    """queries (qi, lat, lon, radius_m up to ``most_radius_m``) -> qi, n for all queries in one pass, those without a hit included.
+    """queries (qi, lat, lon, radius_m) -> qi, n for all queries in one pass, those without a hit included.
 
-    Both sides meet on cells of the largest radius; counts are combined before they shuffle.
+    Both sides meet on cells of ``most_radius_m`` or, where it is more, the largest radius asked for,
+    wide enough at the largest latitude of both; counts are combined before they shuffle.
     """
-    place, around = _keys(most_radius_m, 1.0, 85.0)
+    place, around = _keys(max(most_radius_m, _largest(queries, "radius_m")), 1.0, max(_largest(obs, "lat"), _largest(queries, "lat")))
     zero = F.lit("1970-01-01").cast("timestamp")
     points = place(obs.select("lat", "lon", zero.alias("ts"))).select("row", "column", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     asked = around(queries.withColumn("ts", zero)).where("tick = 0")

@@ -89,6 +89,18 @@ def test_lineage_of_a_long_chain_and_a_tail_into_a_cycle(spark):
     assert of(n + 4) == {(f"o{i:04d}", d) for d, i in enumerate([n + 4, n + 1, n, n + 3, n + 2])}
 
 
+def test_circles_near_a_pole_and_wider_than_named(spark):
+    rng = random.Random(6)
+    rows = [(f"e{i % 9}", "p", rng.choice([1, -1]) * rng.uniform(87.9, 88.1), rng.uniform(-2, 2), i % 3) for i in range(300)] + [("e0", "p", 89.97, 10 * i, 0) for i in range(36)]
+    obs = world(spark, rows)
+    asked = [(i, rows[7 * i][2], rows[7 * i][3], r) for i, r in enumerate([900.0, 1000.0, 5000.0, 20_000.0] * 10)]
+    got = {r.qi: r.n for r in joins.batch_radius(obs, spark.createDataFrame(asked, "qi long, lat double, lon double, radius_m double"), 1000.0).collect()}
+    assert got == {i: sum(hav(a, b, x[2], x[3]) <= r for x in rows) for i, a, b, r in asked}
+    polar = [("own", "p", 89.99, 10 * i, 0) for i in range(36)] + [(f"e{i}", "p", 89.96 + i / 1000, (37 * i) % 360 - 180, 0) for i in range(39)]
+    near = {r.entity_id for r in joins.nearby_entities(world(spark, polar), "own", T0, 1500.0, timedelta(minutes=1)).collect()}
+    assert near == {o[0] for o in polar[36:] if any(hav(e[2], e[3], o[2], o[3]) <= 1500 for e in polar[:36])}
+
+
 @pytest.mark.parametrize("centre", [(40.7, -74.0), (0.0, 180.0), (89.99, 0.0)])
 def test_neighbours_equal_brute_force(spark, centre):
     rng = random.Random(2)
