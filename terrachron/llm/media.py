@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrachron.plans.tables import written
+
 _ROWS = 4096
 
 
@@ -162,25 +164,50 @@ def stored_text(text: str | None) -> tuple[int, bytes]:
     return len(raw), write_pgm(np.frombuffer(padded, np.uint8).reshape(-1, 64))
 
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+def store_media(docs: DataFrame, side: int = 32, at_once: int = 200) -> DataFrame:
+    """(doc_id, text) -> a written table doc_id, n_bytes, media (grey map), tile (NPY of side x side x 1 uint8), dhash; null text is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string())
+        for whole in batches:
+            for at in range(0, whole.num_rows, at_once):
+                b, rows = whole.slice(at, at_once), []
+                for text in b.column(1):
+                    n, media = stored_text(text.as_py())
+                    p = read_netpbm(media)
+                    rows.append((n, media, npy_tile(np.rint(area_resize(p, side, side)).astype(np.uint8)), difference_hash(p)))
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "media", "tile", "dhash"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(own.mapInArrow(run, "doc_id long, n_bytes long, media binary, tile binary, dhash string"), "media")
 
-    The payload is read back from the stored grey map; ``feature`` is its difference
-    hash. Null text is empty: one row of 64 zero samples.
-    """
+
+def read_media(stored: DataFrame) -> DataFrame:
+    """Output of :func:`store_media` -> as :func:`text_media`; the payload is read from the stored grey map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
         for b in batches:
             rows = []
-            for text in b.column(1):
-                n, media = stored_text(text.as_py())
-                pixels = read_netpbm(media)
-                payload = pixels.tobytes()
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(pixels)))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+            for data in b.column(2):
+                media = data.as_py()
+                payload = read_netpbm(media).tobytes()
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), b.column(3)],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            )
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media", "dhash").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def text_media(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    Grey maps, tiles and difference hashes are stored first; all columns come from the
+    table that is read back. ``feature`` is the stored difference hash. Null text is
+    empty: one row of 64 zero samples.
+    """
+    return read_media(store_media(docs))

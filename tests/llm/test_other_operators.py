@@ -48,6 +48,24 @@ def test_text_media(spark):
     assert [bool(r.error) for r in sorted(out, key=lambda r: r.id)] == [False, True, True]
 
 
+def test_text_media_come_from_stored_tiles(spark, monkeypatch):
+    texts = [None, "", "a", "é" * 40, "some words " * 500]
+    made = []
+    keep = lambda df, tag: made.append(written(df, tag)) or made[-1]
+    from terrachron.plans.tables import written
+
+    monkeypatch.setattr(media, "written", keep, raising=False)
+    got = {r.doc_id: r for r in media.text_media(spark.createDataFrame([(i, t, "u", "l", "s") for i, t in enumerate(texts)], DOCS)).collect()}
+    assert len(made) == 1 and made[0].count() == len(texts)
+    for r in made[0].collect():
+        n, data = media.stored_text(texts[r.doc_id])
+        pixels = media.read_netpbm(data)
+        assert (r.n_bytes, bytes(r.media), r.dhash) == (n, data, media.difference_hash(pixels)) and got[r.doc_id].feature == r.dhash
+        assert got[r.doc_id].media_sha256 == hashlib.sha256(r.media).hexdigest()
+        tile = np.load(__import__("io").BytesIO(r.tile))
+        assert tile.dtype == np.uint8 and (tile == np.rint(media.area_resize(pixels, 32, 32))).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=20))
 def test_best_fit_places_all_without_overlap(histogram):
