@@ -1,158 +1,186 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 7).
 
-Expressions are whole words and word beginnings (a word's first ``least`` to ``most``
-bytes; a closing space marks a whole word), counted once per text. Each class has a
-Kneser-Ney model of them: absolute discounting, and the discounted mass falls back on
-counts that both classes share, taken over all documents, labelled or not. An expression whose class counts are too rare or too
-alike to tell the classes apart (likelihood-ratio statistic under ``evidence``) is smoothed into the
-shared counts altogether: there its likelihood is the same under both classes. A
-word takes its longest expression that is not. A text's toxic and ordinary
-log-likelihoods are compared per word and mapped to a probability by a logistic curve.
-
-Labels enter only through the fit: ``per_class`` labelled rows of each class (a bounded
-sample, chosen by a hash of the id) with the held-out fold left out. Expressions are
-counted and tested on the executors; the driver receives those with evidence, at most
-``most_terms`` of them (the strongest), and two numbers per sampled row.
+A text is lower-cased, everything but letters and digits becomes one space, and each
+class has a Kneser-Ney model of its bytes in contexts of up to four bytes, across word
+ends: expressions are runs of five bytes. Order 5 has the class's counts, orders 4 and 3
+its continuation counts (in how many different contexts of the class an expression
+stands), and both classes back off to one order-2 model of continuation counts over all
+documents, labelled or not. What absolute discounting takes from rare expressions goes to the shorter
+ones, so at every context the probabilities of a class add up to 1. A text's toxic and
+ordinary log-likelihoods are compared per byte, and a logistic curve makes a
+probability of the difference.
+
+Labels enter only through the fit: a bounded sample of labelled rows of each class
+(``per_class`` rows, chosen by a hash of the id, and of those at most ``most_bytes`` of text), the held-out
+fold left out. Only the sample's expression counts come to the driver; there are no more of them than
+``most_bytes`` a class. The curve is fitted on log-likelihoods of rows by models that did
+not count them (``folds`` parts of the sample).
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrachron.llm.words import KEEP, pieces
+from terrachron.llm.words import pieces
 from terrachron.plans.tables import drop, written
 
 #: Digits, a-z and bytes of other scripts stay; all else separates words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bytes of an expression; orders up to SHARED are common to both classes; parts of a natural logarithm that scores are added up in.
+ORDER, SHARED, UNIT = 5, 2, 1e6
+#: A text of fewer bytes is compared as if it had so many: a word or two are little evidence.
+LEAST = 64
+_AT_ONCE = 1 << 21
 
 
-@dataclass
-class Model:
-    """What the executors need: a log ratio for each expression with evidence, and the logistic curve."""
-
-    terms: dict[bytes, float] = field(default_factory=dict)
-    curve: tuple[float, float, float] = (-20.0, 0.0, 0.0)
-    least: int = 3
-    most: int = 14
-
-
-class _Words(dict):
-    """word -> log ratio of its longest expression in the model."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) > KEEP:
-            self.clear()
-        terms, whole, value = self.model.terms, word + b" ", 0.0
-        for j in range(min(len(whole), self.model.most), self.model.least - 1, -1):
-            if whole[:j] in terms:
-                value = terms[whole[:j]]
-                break
-        self[word] = value
-        return value
-
-
-def normal(text: str | None) -> Iterator[bytes]:
-    """The text in lower case, words set apart by spaces, in pieces."""
-    return pieces((text or "").lower().encode().translate(TABLE), b" ")
-
-
-def evidence(text: str | None, words: _Words) -> tuple[float, float]:
-    """A text's log-likelihood ratio per word, and the logarithm of its sum."""
-    total, n = 0.0, 0
-    for piece in normal(text):
-        found = piece.split()
-        total += sum(map(words.__getitem__, found))
-        n += len(found)
-    return total / max(n, 1), float(np.log1p(max(total, 0.0)))
-
-
-def score(x: tuple[float, float], curve: tuple[float, float, float]) -> float:
-    return float(1.0 / (1.0 + np.exp(-np.clip(curve[0] + curve[1] * x[0] + curve[2] * x[1], -30, 30))))
-
-
-def _counts(least: int, most: int):
-    """Arrow batches (text, label) -> (term, c0, c1): texts of each class that hold the expression."""
-
-    def flush(c: tuple[Counter, Counter]) -> pa.RecordBatch:
-        terms = list(c[0].keys() | c[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), *(pa.array([x[t] for t in terms], pa.int64()) for x in c)], ["term", "c0", "c1"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = (Counter(), Counter())
-        for b in batches:
-            for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                terms = set()
-                for piece in normal(text.as_py()):
-                    for w in set(piece.split()):
-                        whole = w + b" "
-                        terms.update(whole[:j] for j in range(least, min(len(whole), most) + 1))
-                c[label].update(terms)
-                if len(c[0]) + len(c[1]) > 200_000:
-                    yield flush(c)
-                    c = (Counter(), Counter())
-        yield flush(c)
-
-    return run
-
-
-def _shared(terms: Broadcast, least: int, most: int):
-    """Arrow batches (text) -> (term, n): texts that hold each of ``terms``, and all texts as the empty term; one row a term and task."""
-
-    class Held(dict):
-        def __missing__(self, word: bytes) -> tuple:
-            if len(self) > KEEP:
-                self.clear()
-            whole = word + b" "
-            self[word] = held = tuple(t for t in (whole[:j] for j in range(least, min(len(whole), most) + 1)) if t in terms.value)
-            return held
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, held = Counter(), Held()
-        for b in batches:
-            for text in b.column(0):
-                words = set().union(*(set(piece.split()) for piece in normal(text.as_py())))
-                c.update({t for w in words for t in held[w]})
-                c[b""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["term", "n"])
-
-    return run
+def normal(raw: bytes | None) -> bytes:
+    """Words in lower case with one space between; bytes that aren't UTF-8 are read as U+FFFD."""
+    lower = (raw or b"").decode("utf-8", "replace").lower().encode().translate(TABLE)
+    return b" ".join(filter(None, (b" ".join(p.split()) for p in pieces(lower, b" "))))
 
 
-def _features(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(model)
-        for b in batches:
-            x = [evidence(t.as_py(), words) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([s for _, s in x], pa.float64()), b.column(1)], ["x", "z", "label"])
+def blocks(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Normal texts -> (expressions as numbers, text numbers, first, past last) of about 2 MB each.
 
-    return run
+    A text is read with four spaces before it and one after it; a longer one comes in
+    several stretches, each with the four bytes before it, so every byte is counted once.
+    """
+    held, rows, size = [], [], 0
+
+    def flush() -> tuple:
+        a = np.frombuffer(b"".join(held), np.uint8)
+        g = np.zeros(max(len(a) - ORDER + 1, 0), np.int64)
+        for k in range(ORDER):
+            g = g << 8 | a[k : k + len(g)]
+        ends = np.cumsum([len(h) for h in held])
+        return g, np.array(rows), np.concatenate([[0], ends[:-1]]), ends - ORDER + 1
+
+    for row, text in enumerate(texts):
+        padded = b" " * (ORDER - 1) + text + b" "
+        for start in range(0, len(padded) - ORDER + 1, _AT_ONCE):
+            held.append(padded[start : start + _AT_ONCE + ORDER - 1])
+            rows.append(row)
+            size += len(held[-1])
+            if size >= _AT_ONCE:
+                yield flush()
+                held, rows, size = [], [], 0
+    if held:
+        yield flush()
+
+
+def _level(keys: np.ndarray, counts: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Expressions of one order with their counts -> (expressions, discounted shares, contexts, masses that the contexts hand down)."""
+    contexts, at = np.unique(keys >> 8, return_inverse=True)
+    total = np.bincount(at, counts, len(contexts))
+    return keys, np.maximum(counts - discount, 0) / total[at], contexts, np.bincount(at, np.minimum(counts, discount), len(contexts)) / total
+
+
+def shared_table(trigrams: np.ndarray, discount: float) -> np.ndarray:
+    """Distinct runs of three bytes in all documents -> the order-2 model, dense: 65,536 probabilities of a byte after a byte."""
+    pairs, n = np.unique(trigrams & 0xFFFF, return_counts=True)
+    single, m = np.unique(pairs & 0xFF, return_counts=True)
+    low = np.full(256, 1 / 256)
+    if len(pairs):
+        low *= np.minimum(m, discount).sum() / m.sum()
+        low[single] += np.maximum(m - discount, 0) / m.sum()
+    table = np.tile(low, (256, 1))
+    keys, share, contexts, mass = _level(pairs, n.astype(float), discount)
+    table[contexts] *= mass[:, None]
+    table.reshape(-1)[keys] += share
+    return table.reshape(-1)
+
+
+def class_levels(keys: np.ndarray, counts: np.ndarray, discount: float) -> list[tuple]:
+    """Counted expressions of a class -> its levels from order SHARED + 1 up to ORDER."""
+    levels = []
+    for order in range(ORDER, SHARED, -1):
+        levels.append(_level(keys, counts, discount))
+        keys, n = np.unique(keys & (1 << 8 * (order - 1)) - 1, return_counts=True)
+        counts = n.astype(float)
+    return levels[::-1]
+
+
+def _find(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, missing: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(asked), missing)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], missing)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+@dataclass
+class Model:
+    """What the executors need: the shared table, both classes' levels, and the curve (intercept, slope)."""
+
+    shared: np.ndarray = field(default_factory=lambda: np.full(1 << 16, 1 / 256))
+    classes: tuple[list, list] = ([], [])
+    curve: tuple[float, float] = (-20.0, 0.0)
+    empty: float = 0.0
+
+    def probability(self, asked: np.ndarray, label: int) -> np.ndarray:
+        """Of each expression's last byte after its first four, under a class."""
+        p = self.shared[asked & 0xFFFF]
+        for order, (keys, share, contexts, mass) in enumerate(self.classes[label], SHARED + 1):
+            q = asked & (1 << 8 * order) - 1
+            p = _find(keys, share, q, 0.0) + _find(contexts, mass, q >> 8, 1.0) * p
+        return p
+
+    def differences(self, texts: list[bytes]) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of normal texts, per byte. Sums are of whole numbers, so equal texts have equal results."""
+        total, n = np.zeros(len(texts), np.int64), np.array([len(t) + 1 for t in texts])
+        for grams, rows, lo, hi in blocks(texts):
+            kinds, at = np.unique(grams, return_inverse=True)
+            each = np.rint((np.log(self.probability(kinds, 1)) - np.log(self.probability(kinds, 0))) * UNIT).astype(np.int64)
+            sums = np.concatenate([[0], np.cumsum(each[at])])
+            np.add.at(total, rows, sums[hi] - sums[lo])
+        return total / UNIT / np.maximum(n, LEAST)
+
+    def scores(self, raw: pa.Array) -> np.ndarray:
+        texts = [normal(t.as_py()) for t in raw]
+        z = self.curve[0] + self.curve[1] * self.differences(texts)
+        return np.where([len(t) > 0 for t in texts], 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.empty)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (text, part) -> (gram, part, n)."""
+    for b in batches:
+        part = np.array(b.column(1))
+        for grams, rows, lo, hi in blocks(map(normal, (t.as_py() for t in b.column(0)))):
+            for p in np.unique(part[rows]):
+                own = np.concatenate([grams[x:y] for x, y, r in zip(lo, hi, rows, strict=True) if part[r] == p])
+                keys, n = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), p, np.int32)), pa.array(n)], ["gram", "part", "n"])
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (text) -> the distinct runs of three bytes, once a task (16 MB of marks)."""
+    seen = np.zeros(1 << 24, bool)
+    for b in batches:
+        for grams, _, lo, hi in blocks(map(normal, (t.as_py() for t in b.column(0)))):
+            inside = np.zeros(len(grams) + 1, np.int8)
+            np.add.at(inside, lo, 1)
+            np.add.at(inside, hi, -1)
+            seen[grams[np.cumsum(inside[:-1]) > 0] & 0xFFFFFF] = True
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], ["gram"])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Newton's method with a small ridge."""
-    scale = np.maximum(np.abs(x).max(axis=0, initial=1e-9), 1e-9)
+    scale = max(np.abs(x).max(initial=0.0), 1e-9)
     a = np.column_stack([np.ones(len(x)), x / scale])
-    b = np.zeros(3)
-    for _ in range(40):
+    b, ridge = np.zeros(2), np.array([1e-6, 1e-2])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        w = weight * p * (1 - p)
-        step = np.linalg.solve((a * w[:, None]).T @ a + np.diag([1e-6, 1e-2, 1e-2]), a.T @ (weight * (y - p)) - np.array([1e-6, 1e-2, 1e-2]) * b)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (weight * (y - p)) - ridge * b)
         b = b + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return float(b[0]), float(b[1] / scale[0]), float(b[2] / scale[1])
+    return float(b[0]), float(b[1] / scale)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -160,80 +188,101 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, discount: float = 0.75, evidence_least: float = 25.0, most_terms: int = 20_000, least: int = 3, most: int = 14) -> Model:
-    """docs (doc_id, text), labels (doc_id, toxic) -> Model.
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
-    Labels other than 0 and 1 and null ids are no labels; of several labels of a
-    doc_id the larger holds. Equal texts count once. Without labelled rows of both
-    classes every score is close to 0.
-    """
+
+def _sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int, folds: int) -> tuple[DataFrame | None, dict[int, int]]:
+    """(written table text, label, fold; labelled rows by class)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     known = known.where(~held_out(F.col("doc_id")))
     share = dict(known.groupBy("label").count().collect())
     if set(share) != {0, 1}:
-        return Model()
-    picked = None
-    for c in (0, 1):
-        some = known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = some if picked is None else picked.union(some)
+        return None, share
+    some = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     # broadcast: at most 2 * per_class rows of two numbers
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    own = written(own.groupBy("text").agg(F.max("label").alias("label")), "toxicity-fit")
-    n = dict(own.groupBy("label").count().collect())
+    own = _texts(docs).join(F.broadcast(some[0].union(some[1])), "doc_id").groupBy("text").agg(F.max("label").alias("label"))
+    own = own.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))).withColumn("h", F.xxhash64("text"))
+    by = Window.partitionBy("label").orderBy(F.greatest("size", F.lit(most_bytes // 16)), "h", "text")  # at most per_class rows; very long texts last
+    own = own.withColumn("to", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("to") <= most_bytes)
+    return written(own.select("text", "label", F.pmod("h", F.lit(folds)).cast("int").alias("fold")), "toxicity-fit"), share
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_bytes: int = 16 << 20, discount: float = 0.75, folds: int = 3) -> Model:
+    """docs (doc_id, text), labels (doc_id, toxic) -> Model.
+
+    Labels other than 0 and 1 and null ids are no labels; of several labels of a
+    doc_id, or of equal texts, the larger holds. Equal texts count once, null texts and
+    texts without words say nothing. Without labelled rows of both classes every score is close to 0.
+    """
+    own, share = _sample(docs, labels, per_class, most_bytes, folds)
+    n = dict(own.groupBy("label").count().collect()) if own is not None else {}
     if set(n) != {0, 1}:
         return Model()
-    model = Model(least=least, most=most)
-    c = written(own.mapInArrow(_counts(least, most), "term binary, c0 long, c1 long").groupBy("term").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "toxicity-counts")
-    s0, s1, t0, t1 = c.agg(F.sum("c0"), F.sum("c1"), F.count_if(F.col("c0") > 0), F.count_if(F.col("c1") > 0)).first()
-    both = F.col("c0") + F.col("c1")
-    part = lambda k: F.when(F.col(f"c{k}") > 0, F.col(f"c{k}") * F.log(F.col(f"c{k}") * (n[0] + n[1]) / (both * n[k]))).otherwise(0.0)
-    told = c.where(both >= 4).withColumn("g", 2 * (part(0) + part(1))).where(F.col("g") >= evidence_least).orderBy(F.desc("g"), "term").limit(most_terms).collect()
-    # shared backoff counts: all documents, labelled or not
-    known_terms = frozenset(bytes(r.term) for r in told)
-    everywhere = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_shared(docs.sparkSession.sparkContext.broadcast(known_terms), least, most), "term binary, n long")
-    spread = {bytes(r.term): r.n for r in everywhere.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most ``most_terms`` + 1 rows
-    per_text = (s0 + s1) / (n[0] + n[1])
-    for r in told:
-        shared = spread[bytes(r.term)] / spread[b""] / per_text
-        ordinary, toxic = ((max(x - discount, 0.0) + discount * t * shared) / s for x, t, s in ((r.c0, t0, s0), (r.c1, t1, s1)))
-        model.terms[bytes(r.term)] = float(np.log(toxic / ordinary))
-    seen = np.array([tuple(r) for r in own.mapInArrow(_features(model), "x double, z double, label int").collect()], float).reshape(-1, 3)
-    weight = np.where(seen[:, 2] == 1, share[1] / n[1], share[0] / n[0])
-    model.curve = _logistic(seen[:, :2], seen[:, 2], weight / weight.mean())
-    for used in (own, c):
-        drop(used)
-    return model
+    everywhere = _texts(docs).select("text").mapInArrow(_trigrams, "gram long").distinct().toPandas()["gram"].to_numpy(np.int64)  # at most 165^3 rows
+    shared = shared_table(everywhere, discount)
+    cells = own.select("text", (F.col("label") * folds + F.col("fold")).alias("part")).mapInArrow(_counts, "gram long, part int, n long").groupBy("gram", "part").agg(F.sum("n").alias("n")).toPandas()
+    cells = cells.astype({"gram": np.int64, "part": np.int64, "n": np.float64})
+
+    def model(left_out: int | None) -> Model:
+        used = cells if left_out is None else cells[cells["part"] % folds != left_out]
+        both = []
+        for c in (0, 1):
+            sums = used[used["part"] // folds == c].groupby("gram", sort=True)["n"].sum()
+            both.append(class_levels(sums.index.to_numpy(np.int64), sums.to_numpy(np.float64), discount))
+        return Model(shared, tuple(both))
+
+    sent = docs.sparkSession.sparkContext.broadcast([model(f) for f in range(folds)])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold, x = np.array(b.column(2)), np.zeros(b.num_rows)
+            texts = [normal(t.as_py()) for t in b.column(0)]
+            for f in range(folds):
+                rows = np.flatnonzero(fold == f)
+                x[rows] = sent.value[f].differences([texts[r] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(x), b.column(1)], ["x", "label"])
+
+    seen = own.mapInArrow(apart, "x double, label int").toPandas()  # at most 2 * per_class rows
+    sent.destroy()
+    out = model(None)
+    y = seen["label"].to_numpy(float)
+    # between the labelled shares and equal shares: a missed toxic text costs more than its rarity says, a wrong label not as much
+    weight = np.where(y == 1, share[1] ** 0.5 / n[1], share[0] ** 0.5 / n[0])
+    out.curve = logistic(seen["x"].to_numpy(float), y, weight / weight.mean())
+    out.empty = min(share[1] / (share[0] + share[1]), 0.49)
+    drop(own)
+    return out
 
 
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row's doc_id, held_out, score, predicted, from its whole text (null: empty).
+    """Every row's doc_id, held_out, score, predicted, from its whole text.
 
-    The score depends on the text alone, so equal texts have equal scores. The model
-    is broadcast: at most ``most_terms`` short expressions.
+    Null and empty texts, and texts without words, score as the labelled share of toxic
+    rows (under 0.5). The score depends on the text alone, so equal texts and repeated rows have equal
+    scores. Bytes that are not UTF-8 are read as U+FFFD. Other columns are ignored. The
+    model is broadcast; it grows with the fit's sample alone.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        words = _Words(own)
         for b in batches:
-            s = [score(evidence(t.as_py(), words), own.curve) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(b.column(1)))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = _texts(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, with a score under 0.5."""
+    """The rows of ``docs``, all columns as they are whatever their names, with a score under 0.5.
+
+    Rows with a null or empty text stay; repeated rows all stay or all go; no rows give no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        words = _Words(own)
         for b in batches:
-            keep = [score(evidence(t.as_py(), words), own.curve) < 0.5 for t in b.column(at)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            yield b.filter(pa.array(sent.value.scores(b.column(at).cast(pa.binary())) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

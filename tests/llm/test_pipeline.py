@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+import xxhash
 from test_text_operators import brute_components, brute_contamination
 from tokenizers import Tokenizer
 
@@ -43,41 +44,67 @@ def fixture_rows():
     return docs, labels, [(1, item), (2, None), (3, "!")]
 
 
-def expressions(text, least=3, most=14):
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
-    return [[(w + " ").encode()[:j] for j in range(least, min(len(w.encode()) + 1, most) + 1)] for w in words]
+def told(text):
+    return b" ".join(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower().encode()))
 
 
-def brute_not_toxic(docs, labels):
+def runs(text, n=5):
+    padded = b" " * (n - 1) + told(text) + b" "
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+
+class Plain:
+    """Kneser-Ney by its definition: counts of order 5, continuation counts below, two shared orders."""
+
+    def __init__(self, texts, everywhere, discount=0.75):
+        top, at = Counter(g for t in texts for g in runs(t)), {}
+        for n in (5, 4, 3):
+            at[n] = top
+            top = Counter(g[1:] for g in top)
+        low = {g[-3:] for t in everywhere for g in runs(t)}
+        for n in (2, 1):
+            low = Counter(g[1:] for g in low)
+            at[n] = low
+        self.discount, self.at, self.totals = discount, at, {}
+        for n, counts in at.items():
+            self.totals[n] = defaultdict(lambda: [0, 0])
+            for g, c in counts.items():
+                own = self.totals[n][g[:-1]]
+                own[0] += c
+                own[1] += min(c, discount)
+
+    def probability(self, g):
+        if not g:
+            return 1 / 256
+        lower = self.probability(g[1:])
+        total, handed = self.totals[len(g)].get(g[:-1], (0, 0))
+        return (max(self.at[len(g)][g] - self.discount, 0) + handed * lower) / total if total else lower
+
+
+def brute_scores(docs, labels, folds=3):
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
     known = {i: toxic for i, _, toxic in labels if fold(i)}
     texts = {}
     for i, t, *_ in docs:
         if i in known:
             texts[t] = max(texts.get(t, 0), known[i])
-    n, share = Counter(texts.values()), Counter(known.values())
-    counts = defaultdict(lambda: [0, 0])
-    for t, label in texts.items():
-        for e in {e for w in expressions(t) for e in w}:
-            counts[e][label] += 1
-    total, kinds = [sum(c[k] for c in counts.values()) for k in (0, 1)], [sum(c[k] > 0 for c in counts.values()) for k in (0, 1)]
-    everywhere = Counter(e for _, t, *_ in docs for e in {e for w in expressions(t) for e in w})
-    terms = {}
-    for e, c in counts.items():
-        if sum(c) >= 4 and 2 * sum(c[k] * math.log(c[k] * (n[0] + n[1]) / (sum(c) * n[k])) for k in (0, 1) if c[k]) >= 25:
-            shared = everywhere[e] / len(docs) / (sum(total) / (n[0] + n[1]))
-            p = [(max(c[k] - 0.75, 0) + 0.75 * kinds[k] * shared) / total[k] for k in (0, 1)]
-            terms[e] = math.log(p[1] / p[0])
-
-    def features(t):
-        words = expressions(t)
-        x = sum(next((terms[e] for e in reversed(w) if e in terms), 0.0) for w in words)
-        return x / max(len(words), 1), math.log1p(max(x, 0.0))
-
-    seen = np.array([(*features(t), label) for t, label in sorted(texts.items(), key=str)])
-    weight = np.where(seen[:, 2] == 1, share[1] / n[1], share[0] / n[0])
-    curve = toxicity._logistic(seen[:, :2], seen[:, 2], weight / weight.mean())
-    return [d for d in docs if curve[0] + sum(a * b for a, b in zip(curve[1:], features(d[1]), strict=True)) < 0]
+    share, everywhere = Counter(known.values()), [t for _, t, *_ in docs]
+    part = {t: (xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(t.encode(), 42) >> 63 else 0)) % folds for t in texts}
+
+    def differences(own):
+        m = [Plain([t for t, c in own.items() if c == k], everywhere) for k in (0, 1)]
+        return lambda t: sum(round((math.log(m[1].probability(g)) - math.log(m[0].probability(g))) * 1e6) for g in runs(t)) / 1e6 / max(len(runs(t)), 64)
+
+    apart = [differences({t: c for t, c in texts.items() if part[t] != f}) for f in range(folds)]
+    y = np.array(list(texts.values()), float)
+    weight = np.where(y == 1, share[1] ** 0.5 / y.sum(), share[0] ** 0.5 / (len(y) - y.sum()))
+    a, b = toxicity.logistic(np.array([apart[part[t]](t) for t in texts]), y, weight / weight.mean())
+    of = differences(texts)
+    return [1 / (1 + math.exp(-a - b * of(t))) if told(t) else share[1] / (share[0] + share[1]) for _, t, *_ in docs]
+
+
+def brute_not_toxic(docs, labels):
+    return [d for d, s in zip(docs, brute_scores(docs, labels), strict=True) if s < 0.5]
 
 
 def brute_near_duplicates(docs):
@@ -174,6 +201,33 @@ def test_every_stage_equals_brute_force(spark, tables):
     assert len(places) == best_fit_sequences([r.length for r in packed])
 
 
+def test_toxicity_scores_equal_the_definition(spark, tables):
+    sf, docs, labels, _ = tables
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    got = toxicity.toxicity_scores(now, toxicity.fit(now, spark.read.parquet(f"{sf}/labels.parquet"))).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = sorted(((d[0], s) for d, s in zip(docs, brute_scores(docs, labels), strict=True)), key=key)
+    got = sorted(((r.doc_id, r.score) for r in got), key=key)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-4)
+
+
+def test_probabilities_add_up_to_one():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.choice(list(b"abcde "), 60)) for _ in range(40)]
+    keys, n = np.unique(np.concatenate([g for g, *_ in toxicity.blocks(texts)]), return_counts=True)
+    model = toxicity.Model(toxicity.shared_table(np.unique(keys & 0xFFFFFF), 0.75), ([], toxicity.class_levels(keys, n.astype(float), 0.75)))
+    for context in (b"abcd", b"zzab", b"e a ", b"zzzz"):
+        assert math.isclose(model.probability(int.from_bytes(context, "big") * 256 + np.arange(256), 1).sum(), 1.0)
+
+
+def test_long_texts_are_counted_once_in_stretches(monkeypatch):
+    texts = [b"", b"abc def", b"x" * 41, b"the quick brown fox " * 9]
+    whole = [np.concatenate([g[a:b] for g, r, lo, hi in toxicity.blocks(texts) for a, b, k in zip(lo, hi, r, strict=True) if k == i]).tolist() for i in range(4)]
+    monkeypatch.setattr(toxicity, "_AT_ONCE", 10)
+    assert whole == [np.concatenate([g[a:b] for g, r, lo, hi in toxicity.blocks(texts) for a, b, k in zip(lo, hi, r, strict=True) if k == i]).tolist() for i in range(4)]
+    assert [len(w) for w in whole] == [len(t) + 1 for t in texts]
+
+
 def test_empty_documents(spark, tables, tmp_path):
     sf, *_ = tables
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
