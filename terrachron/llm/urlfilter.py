@@ -2,9 +2,15 @@
 
 DataFrame functions and Spark ML only. Rules decide first: of the rules that fit a
 URL's host and path the longest holds. For the rest a gradient-boosted classifier,
-trained from labelled URLs, decides by length, depth, digit ratio, entropy, parameter
-counts and suffix statistics (how often labelled URLs of the same top-level domain, and
-hosts of the same number of labels, are blocked; smoothed, so an unseen suffix is neutral).
+trained from labelled URLs, decides by length, depth, digit ratio, entropy, hyphens, parameter
+counts and suffix statistics: how often labelled URLs of the same top-level domain are
+blocked, and the same for the last words of the host's labels (``-bets`` of
+``m.free-bets.example.com``), of which the highest counts. Both are smoothed; an unseen suffix is neutral.
+
+No table labels URLs, so :func:`labelled_urls` makes a bounded table by rule: sites are
+named after words that advertising and trap hosts use or machine-made, or after words of ordinary life or
+invented syllables; everything else (scheme, prefix, domain, path, query, fragment) is drawn from one
+distribution for both classes, so a query string says nothing by itself.
 """
 
 from __future__ import annotations
@@ -19,28 +25,18 @@ from pyspark.sql import functions as F
 #: Fixed rules of the contract: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: Labelled URLs the default model is trained from: ordinary addresses, and addresses of link farms, shops and traps.
-ALLOWED = [
-    "https://harbor.example.org/en/12", "https://www.museum.example.org/de/collection/7", "http://notes.example.com/en/484", "https://blog.garden.example.com/fr/93.html",
-    "https://m.library.example.org/es/55?page=2", "https://docs.example.net/en/guide/", "http://news.example.com/en/2024/05/story", "https://wiki.example.org/en/River",
-    "https://school.example.com/en/about", "https://www.choir.example.org/fr/317#top", "https://weather.example.net/de/town/3", "http://maps.example.org/en/42/",
-    "https://kitchen.example.com/es/recipe/19?ref=x", "https://blog.bridge.example.org/de/860", "https://m.station.example.com/en/25#top", "https://archive.example.org/en/letters/1907",
-    "http://river.example.net/fr/66.html", "https://theatre.example.com/en/season", "https://www.chess.example.org/es/game/88", "https://forum.example.com/en/thread/512?page=3",
-    "https://observatory.example.org/en/975", "https://bakery.example.net/fr/", "http://orchard.example.com/de/474.html", "https://blog.valley.example.org/en/671?utm_source=feed",
-    "https://m.tower.example.net/en/30#top", "https://village.example.com/es/533/", "https://www.clinic.example.org/en/hours", "https://ferry.example.com/fr/825?page=2&ref=x",
-    "https://poems.example.org/de/221", "http://castle.example.net/es/904.html", "https://choirbook.example.com/en/18/", "https://blog.mountain.example.org/fr/640#top",
-]
-BLOCKED = [
-    "http://best-casino-win.example.net/en/play-now-8812?bonus=500&aff=77&src=mail&id=93", "http://cheap-pills-4u.example.com/buy/9931274?aff=81&utm_source=x&utm_medium=y", "https://spam-farm.example.org/en/11999?utm_source=feed&sid=88a7f1&click=3", "http://x9z7-k2p4q8.example.net/a/b/c/d/e/f/1827364",
-    "http://free-gift-cards-2024.example.com/claim?id=8273645&token=1a2b3c&r=55&k=9", "http://win-big-jackpot-777.example.org/spin/777/777?ref=4455&cid=66778", "https://click-track.example.net/r?u=9f8e7d6c5b4a&c=112233&s=445566&t=778899", "http://seo-links-4-sale.example.com/link/link/link/88123/99231/77120",
-    "http://q8w7e6r5t4.example.org/en/293847?x=1&y=2&z=3&w=4", "https://crypto-double-100x.example.net/deposit/0x9f3a77b1c2?aff=12&bonus=100", "http://hot-deals-99-off.example.com/p/88271/q/99182?utm_campaign=z&utm_source=a&gclid=7", "http://1234567890.example.net/aaaa/bbbb/cccc/dddd/eeee?id=1&id=2&id=3",
-    "https://casino-bonus-55.example.org/es/34985/?promo=55&aff=9981&sub=22", "http://loan-fast-24h.example.com/apply/0099812?src=88&cid=1123&m=5", "http://z7y6x5w4v3u2.example.net/k/9/8/7/6/5?h=4f5e6d7c", "https://adult-cam-4free.example.org/join/88217364?aff=1&tr=2&sub=3&o=4",
-    "http://download-crack-v9.example.com/get/7712/setup_v9.8.7.6.exe?mirror=3&key=A1B2C3D4", "http://replica-watch-88.example.net/shop/88/77/66/55?sort=1&cat=2&page=3", "https://poker-king-365.example.org/en/29935.html?ref=365&bonus=365&c=1", "http://spam-farm-22.example.com/fr/88123/99120?utm_source=feed&utm_id=88",
-    "http://p4y-d4y-l0an5.example.net/9a8b7c6d?e=1&f=2&g=3", "https://miracle-diet-7days.example.org/order/7/77/777?discount=70&aff=70", "http://kx92-77-ab.example.com/redirect?to=aHR0cDovL2V4&n=9912&c=2", "http://lottery-winner-9000.example.net/prize/900012?claim=9000&id=12&s=1",
-    "https://casino-win-24.example.com/en/7067?page=2&ref=x&aff=44&bonus=7", "http://bulk-mail-5000.example.org/list/5000/9999?pkg=3&r=81", "http://a1b2c3d4e5f6.example.net/z/z/z/z/z/z?q=0011223344", "https://cheap-tickets-000.example.com/t/000111222?promo=000&src=9&cid=8&m=7",
-    "http://slot-machine-88x.example.org/spin?coins=1000&lvl=88&aff=3&k=2", "http://followers-10k.example.net/buy/10000/likes/5000?pkg=gold&r=2&c=3", "https://betting-odds-99.example.com/live/99/88/77?stake=10&aff=55&t=6", "http://get-rich-now-1.example.org/secret/1/2/3/4/5?ref=10001&x=9",
-]
-_FEATURES = ["length", "host_length", "depth", "digits", "entropy", "hyphens", "parameters", "labels", "tld_rate", "labels_rate"]
+#: What names are made of: words of advertising and trap hosts, words of ordinary life, syllables.
+TRAP = (
+    "ads adult affiliate bet bets bonus cams cash casino cheap clicks coupons crack crypto dating deals diet discount escorts farm fast forex free gambling gifts hot jackpot keygen links loans lottery lucky "
+    "meds millions money offers payday pharmacy pills poker porn prize profit promo replica rich sale seo sex sexy slots spam spins track tracker traffic viagra warez win winner x xxx"
+).split()
+ORDINARY = (
+    "archive art bakery band books bridge castle choir church city clinic club college cooking council dance energy family ferry film forest forum garden guide harbor health history hotel house institute journal "
+    "kitchen lake language law library maps market media mill music museum news north notes observatory office park photo poems press radio recipes review river school science south sports stone store studio "
+    "theatre times tower town trail travel university valley village water weather wiki wood work world"
+).split()
+SYLLABLES = "ba be da den el er fo ga hi in ka la le li lo ma mi na no ol on pa ra re ri ro sa se so sta ta te ter ti to tra ur va ve vi wa zen".split()
+_FEATURES = ["length", "host_length", "depth", "digits", "entropy", "hyphens", "parameters", "labels", "tld_rate", "suffix_rate"]
 
 
 def _lower(c: Column) -> Column:
@@ -82,27 +78,45 @@ def lexical(urls: DataFrame) -> DataFrame:
     return urls.withColumns({k: v.cast("double") for k, v in columns.items()} | {"tld": F.substring_index("host", ".", -1)})
 
 
-def labelled_urls(spark: SparkSession, allowed: list[str] = ALLOWED, blocked: list[str] = BLOCKED) -> DataFrame:
-    """url, blocked (1.0 or 0.0) from the lists."""
-    rows = [F.struct(F.lit(u).alias("url"), F.lit(y).alias("blocked")) for y, urls in ((0.0, allowed), (1.0, blocked)) for u in urls]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def labelled_urls(spark: SparkSession, rows: int = 4000, seed: int = 10) -> DataFrame:
+    """``rows`` made URLs: url, blocked (1.0 or 0.0, half each). The same seed gives the same rows."""
+    draw = lambda k, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(n)).cast("int")
+    pick = lambda k, words: F.get(F.array(*map(F.lit, words)), draw(k, len(words)))
+    blocked = F.col("id") % 2 == 1
+    digits = F.when(draw(1, 10) == 0, draw(2, 1000).cast("string")).otherwise("")
+    junk = F.lower(F.hex(F.xxhash64("id", F.lit(seed))))  # machine-made names
+    trap = F.when(draw(3, 8) == 0, F.concat(pick(4, TRAP), digits)).when(draw(3, 8) == 1, F.concat_ws("-", pick(4, TRAP), pick(5, ORDINARY + TRAP), pick(6, TRAP))).when(draw(3, 8) < 4, F.concat(F.substr(junk, F.lit(1), F.lit(4) + draw(22, 4)), F.lit("-"), F.substr(junk, F.lit(9), F.lit(3) + draw(23, 5)))).otherwise(F.concat(pick(4, TRAP + ORDINARY), F.lit("-"), pick(5, TRAP), digits))
+    made = F.concat(pick(7, SYLLABLES), pick(8, SYLLABLES), F.when(draw(9, 3) > 0, pick(10, SYLLABLES)).otherwise(""), F.when(draw(9, 3) > 1, pick(11, SYLLABLES)).otherwise(""))
+    plain = F.when(draw(3, 8) == 0, F.concat_ws("-", pick(4, ORDINARY), pick(5, ORDINARY))).when(draw(3, 8) < 4, F.concat(pick(4, ORDINARY), digits)).otherwise(F.concat(made, digits))
+    host = F.concat(pick(12, ["", "", "www.", "m.", "blog.", "shop."]), F.when(blocked, trap).otherwise(plain), pick(13, [".example.com", ".example.org", ".example.net", ".test", ".invalid"]))
+    number = draw(14, 100_000).cast("string")
+    path = F.concat(pick(15, ["", "/a", "/en", "/fr", "/b/c", "/p/q/r"]), F.lit("/"), number, pick(16, ["", "", "/", ".html", "/page"]))
+    query = F.when(draw(17, 2) == 0, "").otherwise(F.concat(pick(18, ["?id=", "?page=2&ref=", "?utm_source=feed&n=", "?a=1&b=2&c="]), draw(19, 1000).cast("string")))
+    url = F.concat(pick(20, ["http://", "https://"]), host, path, query, pick(21, ["", "", "", "#top"]))
+    return spark.range(rows).select(url.alias("url"), blocked.cast("double").alias("blocked"))
+
+
+def _suffixes(host: Column) -> Column:
+    """The last word of each label, without digits at its end: www.spam-farm22.example.org -> www, farm, example, org."""
+    return F.transform(F.split(host, r"\."), lambda x: F.regexp_replace(F.substring_index(x, "-", -1), "[0-9]+$", ""))
 
 
 @dataclass
 class UrlModel:
-    """A fitted classifier with its suffix statistics (at most ``most_suffixes`` of either kind)."""
+    """A fitted classifier with its suffix statistics."""
 
     trees: GBTClassificationModel
     tld: dict[str, float]
-    labels: dict[float, float]
+    suffix: dict[str, float]
     prior: float
 
     def features(self, urls: DataFrame) -> DataFrame:
-        def rate(key: str, known: dict) -> Column:
-            pairs = [x for k, v in known.items() for x in (F.lit(k), F.lit(v))]
-            return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(key)), F.lit(self.prior)) if pairs else F.lit(self.prior)
+        def rate(known: dict[str, float], key: Column) -> Column:
+            pairs = [F.lit(x) for k, v in known.items() for x in (k, v)]
+            return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(self.prior)) if pairs else F.lit(self.prior)
 
-        own = urls.withColumn("tld_rate", rate("tld", self.tld)).withColumn("labels_rate", rate("labels", self.labels))
+        highest = F.aggregate(_suffixes(F.col("host")), F.lit(0.0), lambda most, x: F.greatest(most, rate(self.suffix, x)))
+        own = urls.withColumn("tld_rate", rate(self.tld, F.col("tld"))).withColumn("suffix_rate", highest)
         return VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(own)
 
     def score(self, urls: DataFrame) -> DataFrame:
@@ -110,22 +124,30 @@ class UrlModel:
         return self.trees.transform(self.features(urls))
 
 
-def fit(labelled: DataFrame, most_rows: int = 50_000, most_suffixes: int = 500, trees: int = 12, depth: int = 3) -> UrlModel:
-    """(url, blocked 0.0 or 1.0) -> UrlModel. Suffix statistics cover all labelled rows; the trees at most ``most_rows`` of them, chosen by a hash of the URL."""
-    rows = lexical(with_parts(labelled.where(F.col("blocked").isin(0.0, 1.0)).select(F.coalesce("url", F.lit("")).alias("url"), F.col("blocked").cast("double").alias("blocked"))))
-    prior = rows.agg(F.avg("blocked")).first()[0]
-    if prior is None:
-        raise ValueError("no labelled URLs")
+def fit(labelled: DataFrame, most_rows: int = 50_000, least_seen: int = 5, trees: int = 12, depth: int = 4) -> UrlModel:
+    """(url, blocked 0.0 or 1.0) -> UrlModel.
 
-    def rates(key: str) -> dict:
-        top = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("blocked").alias("b")).orderBy(F.desc("n"), key).limit(most_suffixes).collect()
-        return {r[key]: (r.b + 10 * prior) / (r.n + 10) for r in top}
-
-    model = UrlModel(None, rates("tld"), rates("labels"), prior)
-    sample = rows.orderBy(F.xxhash64("url"), "url").limit(most_rows).coalesce(1)
-    fit_on = model.features(sample).select("features", "blocked")
-    model.trees = GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(fit_on)
-    return model
+    Statistics and trees come from one bounded sample: at most ``most_rows`` rows, chosen by a
+    hash of the URL. A suffix that fewer than ``least_seen`` of them have is as neutral
+    as an unseen one. Null URLs are empty; rows with another or no label are no labels.
+    """
+    rows = labelled.where(F.col("blocked").isin(0.0, 1.0)).select(F.coalesce("url", F.lit("")).alias("url"), F.col("blocked").cast("double").alias("blocked"))
+    rows = lexical(with_parts(rows.orderBy(F.xxhash64("url"), "url", "blocked").limit(most_rows))).persist()
+    try:
+        prior = rows.agg(F.avg("blocked")).first()[0]
+        if prior is None:
+            raise ValueError("no labelled URLs")
+
+        def rates(keys: Column) -> dict[str, float]:
+            seen = rows.select(F.explode(F.array_distinct(keys)).alias("k"), "blocked").groupBy("k").agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
+            return {r.k: (r.b + 10 * prior) / (r.n + 10) for r in seen.where(F.col("n") >= least_seen).orderBy("k").collect()}
+
+        model = UrlModel(None, rates(F.array("tld")), rates(_suffixes(F.col("host"))), prior)
+        fit_on = model.features(rows.coalesce(1)).select("features", "blocked")
+        model.trees = GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(fit_on)
+        return model
+    finally:
+        rows.unpersist()
 
 
 def judged(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -217,11 +217,62 @@ def test_urls(spark):
         assert not fits or r.verdict == max(fits)[2]
 
 
-def test_url_model_on_held_out_labels(spark):
-    a, b = urlfilter.ALLOWED, urlfilter.BLOCKED
-    model = urlfilter.fit(urlfilter.labelled_urls(spark, a[::2], b[::2]))
-    rest = urlfilter.lexical(urlfilter.with_parts(urlfilter.labelled_urls(spark, a[1::2], b[1::2])))
-    got = model.score(rest).select("blocked", "prediction").collect()
-    assert sum(r.blocked == r.prediction for r in got) >= 0.9 * len(got)
+def plain_features(url, model):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+    host, path = (m[1].translate({i: i + 32 for i in range(65, 91)}), m[2]) if m else ("", "")
+    query = re.search(r"(?s)\?([^#]*)", url)
+    chars = host + path
+    entropy = -sum(chars.count(c) / len(chars) * math.log2(chars.count(c) / len(chars)) for c in sorted(set(chars)))
+    last = [re.sub("[0-9]+$", "", x.rsplit("-", 1)[-1]) for x in host.split(".")]
+    return [
+        len(url), len(host), path.count("/"), len(re.findall("[0-9]", url)) / max(len(url), 1), entropy, host.count("-"), len(query[1].split("&")) if query and query[1] else 0, len(last),
+        model.tld.get(host.rsplit(".", 1)[-1], model.prior), max(model.suffix.get(x, model.prior) for x in last),
+    ]
+
+
+def walk(node, x):
+    while node.numDescendants():
+        split = node.split()
+        node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+    return node.prediction()
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    """Fitted without any site name of the pages table."""
+    names = ("casino-win", "cheap-pills", "free-bets", "spam-farm", "ads-track", "adult-x")
+    rows = urlfilter.labelled_urls(spark)
+    assert rows.count() == 4000 and rows.where("blocked = 1").count() == 2000
+    return urlfilter.fit(rows.where(~F.col("url").rlike("|".join(names))))
+
+
+def test_verdicts_equal_the_trees_walked_in_plain_python(spark, model):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").union(urlfilter.labelled_urls(spark, 300, 77).select(F.monotonically_increasing_id() + 1000, "url"))
+    urls = {r.page_id: r.url for r in pages.collect()}
+    roots, weights = [t._java_obj.rootNode() for t in model.trees.trees], model.trees.treeWeights
+    for r in urlfilter.judged(pages, model).where("rule IS NULL").collect():
+        x = plain_features(urls[r.page_id], model)
+        assert r.verdict == ("block" if sum(w * walk(n, x) for w, n in zip(weights, roots, strict=True)) > 0 else "allow")
+
+
+def test_url_model_on_pages_it_never_saw(spark, model):
+    """Hosts of the table that are named after traps, by a list the fit doesn't know, against all others; with and without a query."""
+    traps = "casino-win|cheap-pills|free-bets|spam-farm|ads-track|adult-x"
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    got = model.score(urlfilter.lexical(urlfilter.with_parts(pages)))
+    for r in got.groupBy(F.col("host").rlike(traps).alias("trap"), F.col("url").contains("?").alias("query")).agg(F.avg("prediction").alias("blocked")).collect():
+        assert r.blocked >= 0.9 if r.trap else r.blocked <= 0.05
+
+
+def test_url_model_on_held_out_labels(spark, model):
+    for seed in (3, 4):
+        got = model.score(urlfilter.lexical(urlfilter.with_parts(urlfilter.labelled_urls(spark, 1000, seed))))
+        right = got.groupBy(F.col("url").contains("?").alias("query"), "blocked").agg(F.avg((F.col("blocked") == F.col("prediction")).cast("double")).alias("right")).collect()
+        assert len(right) == 4 and all(r.right >= 0.9 for r in right)
+    with pytest.raises(ValueError):
+        urlfilter.fit(urlfilter.labelled_urls(spark).limit(0))
+
+
+def test_entropy(spark):
     e = urlfilter.with_parts(spark.createDataFrame([("http://aabb/c",)], "url string"))
     assert math.isclose(urlfilter.lexical(e).first().entropy, 2 * (2 / 6) * math.log2(3) + 2 * (1 / 6) * math.log2(6))
