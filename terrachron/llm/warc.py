@@ -1,7 +1,7 @@
 """WARC archives (operator 5): one gzip member per record, written in parallel, read sequentially.
 
-An archive is a table row per block of about 8 MB of whole gzip members; the table is
-what Spark can write and read in any store. :func:`save_archives` writes the same bytes
+An archive is a table row per block: a warcinfo record and about 8 MB of whole gzip members;
+the table is what Spark can write and read in any store. :func:`save_archives` writes the same bytes
 as .warc.gz files where a folder is mounted on all machines. The reader inflates member
 by member with incremental zlib, frames records by Content-Length and verifies digests.
 """
@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from terrachron.plans.tables import written
 
 _BLOCK = 8 << 20
 _CHUNK = 1 << 16
+#: Repeated digests up to so many are broadcast (about 100 bytes each), so pages needn't be shuffled; more are joined by a shuffle.
+_FEW = 200_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -34,24 +37,27 @@ def _clean(value: str) -> str:
     return re.sub(r"[^\x21-\x7e]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
-    """A gzip member with a response record, or a revisit record (HTTP header only) if ``refers`` is given."""
-    head = HTTP % len(payload)
-    body = head if refers is not None else head + payload
-    fields = [
-        ("WARC-Type", "revisit" if refers is not None else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page is None else page}>"),
-        ("WARC-Target-URI", _clean(url or "about:blank")),
-        ("WARC-Payload-Digest", f"sha256:{digest}"),
-        ("WARC-Block-Digest", f"sha256:{hashlib.sha256(body).hexdigest()}"),
-        ("X-Payload-Length", str(len(payload))),
-        ("Content-Type", "application/http;msgtype=response"),
-        ("Content-Length", str(len(body))),
-    ]
-    if refers is not None:
-        fields[3:3] = [("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+def member(kind: str, date: str, fields: list[tuple[str, str]], body: bytes) -> bytes:
+    """A gzip member with one record: type, a record id of its own, date, further fields, block."""
+    all_ = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), *fields]
+    all_ += [("WARC-Block-Digest", f"sha256:{hashlib.sha256(body).hexdigest()}"), ("Content-Length", str(len(body)))]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + body + b"\r\n\r\n") + packer.flush()
+    return packer.compress(("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in all_) + "\r\n").encode() + body + b"\r\n\r\n") + packer.flush()
+
+
+def warcinfo(date: str) -> bytes:
+    return member("warcinfo", date, [("Content-Type", "application/warc-fields")], b"software: terrachron\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, date: str) -> bytes:
+    """A response record, or a revisit record (HTTP header only) if ``refers`` is given. The page ids stand in fields of our own."""
+    head = HTTP % len(payload)
+    fields = [("WARC-Target-URI", _clean(url or "about:blank")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+    if page is not None:
+        fields.append(("X-Page-ID", str(page)))
+    if refers is None:
+        return member("response", date, fields, head + payload)
+    return member("revisit", date, [*fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-ID", str(refers))], head)
 
 
 def members(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -72,52 +78,74 @@ def members(blocks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (lower-case names) and block; digests are verified."""
+    """Header fields (lower-case names) and block; Content-Length and digests are verified."""
     head, sep, rest = member.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not sep or not lines[0].startswith("WARC/1."):
         raise BadRecord("no WARC header")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    size = int(fields["content-length"])
+    try:
+        size = int(fields["content-length"])
+    except (KeyError, ValueError):
+        raise BadRecord("no Content-Length") from None
     body = rest[:size]
     if len(body) != size or rest[size:] != b"\r\n\r\n":
         raise BadRecord("the block doesn't have its Content-Length")
-    if fields.get("warc-block-digest", "sha256:" + (d := hashlib.sha256(body).hexdigest())) != "sha256:" + (d := hashlib.sha256(body).hexdigest()):
-        raise BadRecord(f"block digest {d} differs")
-    if fields["warc-type"] == "response" and "warc-payload-digest" in fields:
-        payload = body.partition(b"\r\n\r\n")[2]
-        if fields["warc-payload-digest"] != "sha256:" + hashlib.sha256(payload).hexdigest() or int(fields.get("x-payload-length", len(payload))) != len(payload):
-            raise BadRecord("payload digest differs")
+    if "warc-block-digest" in fields and fields["warc-block-digest"] != "sha256:" + hashlib.sha256(body).hexdigest():
+        raise BadRecord("block digest differs")
+    if fields.get("warc-type") == "response" and "warc-payload-digest" in fields and fields["warc-payload-digest"] != "sha256:" + hashlib.sha256(payload_of(body)[0]).hexdigest():
+        raise BadRecord("payload digest differs")
     return fields, body
 
 
+def payload_of(body: bytes) -> tuple[bytes, int]:
+    """(payload, its length by the HTTP header) of a block; a revisit's payload is left out, its length is not."""
+    head, sep, payload = body.partition(b"\r\n\r\n")
+    said = re.search(rb"(?im)^content-length: *(\d+) *\r?$", head)
+    if not sep or not said:
+        raise BadRecord("no HTTP header")
+    return payload, int(said[1])
+
+
 def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, url, html) -> page_id, url, html, digest, refers_to (null: response).
+    """(page_id, url, html) -> page_id, url, html, digest, refers_to (null: response); url and html as bytes.
 
     Of equal payloads of at least ``least`` bytes the smallest page_id is the response;
     rows that repeat that page_id too are responses as well. A null page_id is never
-    referred to; where all ids of equal payloads are null, all are responses. Ids are
-    counted per payload digest before the join, and only repeated digests are joined.
+    referred to; where all ids of equal payloads are null, all are responses. Null html
+    is empty; other columns are ignored. Digests are counted without the html, and only
+    those that repeat meet the pages: broadcast where they are few, else by a shuffle,
+    in which AQE splits a digest that very many pages have.
     """
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    repeated = own.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").cast("binary").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
+    counted = own.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    repeated = written(counted.where("n > 1").select("digest", "first"), "warc-repeated")
+    if repeated.count() <= _FEW:
+        repeated = F.broadcast(repeated)
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     return own.join(repeated, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
 
-def write_archives(rows: DataFrame) -> DataFrame:
-    """Output of :func:`with_revisits` -> a written table (archive, block, data): each task writes archives of its own."""
+def write_archives(rows: DataFrame, date: str | None = None) -> DataFrame:
+    """Output of :func:`with_revisits` -> a written table (archive, block, data): each task writes archives of its own.
+
+    ``date`` (ISO, UTC) is the records' WARC-Date, by default now. Repeated rows and rows
+    with null ids have records of their own; URLs that are null are about:blank, and bytes
+    that can't stand in a header are percent-encoded. No rows make no archive.
+    """
+    when = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, block, out, size = uuid.uuid4().hex, 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([block], pa.int64()), pa.array([b"".join(out)], pa.binary())], ["archive", "block", "data"])
+            data = warcinfo(when) + b"".join(out)
+            return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["archive", "block", "data"])
 
         for b in batches:
             for page, url, html, digest, refers in zip(*(b.column(i) for i in range(5)), strict=True):
-                out.append(record(page.as_py(), url.as_py(), html.as_py().encode(), digest.as_py(), refers.as_py()))
+                out.append(record(page.as_py(), (url.as_py() or b"").decode("utf-8", "replace"), html.as_py(), digest.as_py(), refers.as_py(), when))
                 size += len(out[-1])
                 if size >= _BLOCK:
                     yield flush()
@@ -129,24 +157,26 @@ def write_archives(rows: DataFrame) -> DataFrame:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """(archive, block, data) -> page_id, payload_bytes, payload_digest, record_type, refers_to; a bad record fails the task.
+    """(archive, block, data) -> page_id, payload_bytes, payload_digest, record_type, refers_to: a row per response and revisit.
 
-    A block holds whole members, so blocks are read in parallel.
+    Lengths come from the framed payload, a revisit's from the HTTP header that it keeps.
+    A bad record fails the task; a null block has no records; repeated blocks are read
+    again. A block holds whole members, so blocks are read in parallel.
     """
 
-    def number(urn: str | None) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
-        return int(found[1]) if found else None
+    def row(fields: dict[str, str], body: bytes) -> tuple:
+        payload, size = payload_of(body)
+        if fields["warc-type"] == "response":
+            size = len(payload)
+        number = lambda k: int(fields[k]) if k in fields else None
+        return number("x-page-id"), size, fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"], number("x-refers-to-page-id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         for b in batches:
             for block in b.column(0):
-                rows = []
-                for member in members(iter([block.as_py()])):
-                    f, _ = parse(member)
-                    rows.append((number(f["warc-record-id"]), int(f["x-payload-length"]), f["warc-payload-digest"].removeprefix("sha256:"), f["warc-type"], number(f.get("warc-refers-to"))))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
+                records = map(parse, members(iter([block.as_py() or b""])))
+                cols = list(zip(*(row(*r) for r in records if r[0]["warc-type"] in ("response", "revisit")), strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     return archives.select("data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
