@@ -11,6 +11,7 @@ Ranks come from counts per length and salt bucket, so no window holds all pieces
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -117,8 +118,8 @@ def _pieces(tokenizer: str, ranks: str, length: int):
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 rows = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    ids = ids_of(text or "")
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    ids = ids_of((text.as_py() or b"").decode("utf-8", "replace"))
                     rows += [(doc, k, start, size, zlib.crc32(ids[start : start + size].tobytes())) for k, (start, size) in enumerate(cut(len(ids), length))]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -128,23 +129,30 @@ def _pieces(tokenizer: str, ranks: str, length: int):
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, ranks: str, length: int = 2048) -> DataFrame:
-    """(doc_id, text) -> doc_id, piece, start, length, ids_crc32: one row per piece; null text is empty (one piece, id 0)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text) -> doc_id, piece, start, length, ids_crc32: one row per piece.
+
+    Null text is empty: one piece of one token, id 0. Bytes that are not UTF-8 are read as
+    U+FFFD. Repeated rows and repeated or null ids have pieces of their own; other columns
+    are ignored, whatever their names; no rows give no rows.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return own.mapInArrow(_pieces(tokenizer, ranks, length), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, per_bucket: int | None = None) -> DataFrame:
     """Rows with a ``length`` from 1 to ``capacity`` -> the same rows with sequence_id and offset.
 
     Every row gets one place; places of a sequence are gapless from 0. Equal rows get
-    places of their own. No rows give no rows.
+    places of their own. No rows give no rows. A length is numbered in salt buckets of
+    ``per_bucket`` rows; without it, as many buckets as rows in each for the commonest length.
     """
     pieces = written(pieces.withColumn("_uid", F.monotonically_increasing_id()), "packing-pieces")
     counts = pieces.groupBy("length").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.collect()}  # at most ``capacity`` rows
     if any(not 1 <= x <= capacity for x in histogram):
         raise ValueError(f"a piece is not of 1 to {capacity} tokens")
-    buckets = max(1, -(-max(histogram.values(), default=0) // per_bucket))
+    commonest = max(histogram.values(), default=0)
+    buckets = max(1, -(-commonest // per_bucket) if per_bucket else math.isqrt(commonest))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_uid"), F.lit(buckets)))
     starts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     starts = starts.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_first"))

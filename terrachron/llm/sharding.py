@@ -8,6 +8,8 @@ are made from halves that stay inside a signed long, since SQL arithmetic checks
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,12 +55,12 @@ def jump_hash(key: Column, shards: int) -> Column:
     return done["b"].cast("int")
 
 
-def assigned(docs: DataFrame, shards: int = 40, per_bucket: int = 200_000) -> DataFrame:
+def assigned(docs: DataFrame, shards: int = 40, per_bucket: int | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The key is a hash of doc_id, so equal ids share a shard; null ids share one. Size:
     UTF-8 bytes plus 16 (null text: 16, CRC of nothing). Slots are gapless from 0 in
-    each shard: rows are numbered inside salt buckets of about ``per_bucket`` rows and
+    each shard: rows are numbered inside salt buckets of about ``per_bucket`` rows (the root of the largest shard's count) and
     the counts of earlier buckets are added, so no window holds a whole shard. Equal
     rows take slots of their own.
     """
@@ -67,7 +69,7 @@ def assigned(docs: DataFrame, shards: int = 40, per_bucket: int = 200_000) -> Da
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), jump_hash(key, shards).alias("shard"), jump_hash(key, shards + 1).alias("grown_shard"))
     rows = written(rows, "sharding-rows")
     most = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
-    buckets = max(1, -(-most // per_bucket))
+    buckets = max(1, -(-most // per_bucket) if per_bucket else math.isqrt(most))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))
