@@ -8,8 +8,8 @@ end), and where the shift is zero, the block's bucket of test strings with that
 is compared word by word. Long stretches of ordinary text are skipped nine words at a time.
 
 The benchmark is read in blocks of at most ``block_bytes`` of text, one searcher set and
-one pass over the documents for each; only a searcher set is broadcast, so what is
-broadcast is bounded however large the benchmark is.
+one pass over the documents for each. Of several sets each is built, broadcast, used and
+destroyed before the next, so what the driver and the executors hold is bounded however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -83,12 +83,12 @@ class WuManber:
             i += 1
 
 
-def searchers(items: list[tuple[str, str | None]], window: int = 10) -> list[WuManber]:
+def searchers(items: list[tuple[str, bytes | None]], window: int = 10) -> list[WuManber]:
     """One searcher for each window length; an item without words has no window."""
     by_length: dict[int, tuple[list[bytes], list[tuple[int, str]]]] = defaultdict(lambda: ([], []))
     interned: dict[bytes, bytes] = {}
     for item, text in items:
-        words = [interned.setdefault(w, w) for w in (text or "").encode().translate(TABLE).split()]
+        words = [interned.setdefault(w, w) for w in (text or b"").translate(TABLE).split()]
         size = min(window, len(words))
         known, windows = by_length[size]
         once = {tuple(words[i : i + size]): i for i in range(len(words) - size, -1, -1)} if size else {}
@@ -121,25 +121,26 @@ def scan(data: bytes | None, found_by: list[WuManber]) -> tuple[int, list[tuple[
     return base + len(kept), merged, items
 
 
-def benchmark_searchers(benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> list[Broadcast]:
-    """Broadcast searcher sets, each of at most about ``block_bytes`` of benchmark text.
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = 8 << 20) -> list[DataFrame]:
+    """The items (item, text) in blocks of about ``block_bytes`` of text, each item with the same text once.
 
-    Rows of one item_id may repeat; a null item_id is listed as an empty string.
+    Rows of one item_id may repeat; a null item_id is listed as an empty string; a null text has no window.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).distinct()
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").cast("binary").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    out = []
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        out.append(benchmark.sparkSession.sparkContext.broadcast(searchers([(r.item, r.text) for r in own.collect()], window)))
-    return out
+    return [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
+def sent_searchers(block: DataFrame, window: int) -> Broadcast:
+    """One block's searchers, broadcast."""
+    return block.sparkSession.sparkContext.broadcast(searchers([(r.item, r.text) for r in block.collect()], window))
 
 
 def _pass(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [scan(t.as_py(), sent.value) for t in b.column(2).cast(pa.binary())]
+            x = [scan(t.as_py(), sent.value) for t in b.column(2)]
             spans = pa.array([[{"lo": lo, "hi": hi} for lo, hi in s] for _, s, _ in x], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _, _ in x], pa.int64()), spans, pa.array([sorted(i) for _, _, i in x], pa.list_(pa.string()))], ["uid", "doc_id", "n_words", "spans", "items"])
 
@@ -151,38 +152,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     A document word inside any occurrence of a window is hit; spans are the ranges of hit
     words. Null and empty texts have no words. Rows with equal or null ids each have a
-    result of their own. An empty benchmark hits nothing.
+    result of their own; other columns are ignored. An empty benchmark hits nothing.
+    Texts are compared as bytes, so they need not be valid UTF-8.
     """
-    sent = benchmark_searchers(benchmark, window, block_bytes)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     schema = "uid long, doc_id long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
-    if len(sent) == 1:
-        out = rows.mapInArrow(_pass(sent[0]), schema)
+    if len(blocks) == 1:
+        out = rows.mapInArrow(_pass(sent_searchers(blocks[0], window)), schema)
     else:
-        rows = written(rows, "decontam-rows")
-        parts = reduce(DataFrame.unionAll, [rows.mapInArrow(_pass(s), schema) for s in sent])
-        out = parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        rows, parts = written(rows, "decontam-rows"), []
+        for block in blocks:
+            sent = sent_searchers(block, window)
+            parts.append(written(rows.mapInArrow(_pass(sent), schema), "decontam-part"))
+            sent.destroy()
+        drop(rows)
+        out = reduce(DataFrame.unionAll, parts).groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         start = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end"))
         step = lambda a, s: F.struct((a["hit"] + F.greatest(F.lit(0), s["hi"] - F.greatest(s["lo"], a["end"]))).alias("hit"), F.greatest(s["hi"], a["end"]).alias("end"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"]) if len(sent) == 1 else F.aggregate("spans", start, step)["hit"]
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"]) if len(blocks) == 1 else F.aggregate("spans", start, step)["hit"]
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), "spans", "items")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in which no window of the benchmark occurs.
+    """The rows of ``docs``, all columns as they are whatever their names, in which no window of the benchmark occurs.
 
-    Of several benchmark blocks each has its own pass over the rows that are left, so a task holds one searcher set.
+    Null and empty texts stay; repeated rows all stay or all go; an empty benchmark takes
+    nothing; no rows give no rows. Of several benchmark blocks each has its own pass over
+    the rows that are left.
     """
-    at, parts, before = docs.columns.index(text), benchmark_searchers(benchmark, window, block_bytes), None
-    for sent in parts:
+    at, blocks, before = docs.columns.index(text), benchmark_blocks(benchmark, block_bytes), None
+    for block in blocks:
+        sent = sent_searchers(block, window)
 
         def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([not scan(t.as_py(), sent.value)[1] for t in b.column(at).cast(pa.binary())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-        if len(parts) > 1:
+        if len(blocks) > 1:
             docs = written(docs, "decontam-left")
+            sent.destroy()
             if before is not None:
                 drop(before)
             before = docs
