@@ -14,12 +14,13 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 #: Who holds a document: its source is the owner, and the source's part in one language a repository.
-def _owner() -> Column:
+def owner() -> Column:
     return F.col("source")
 
 
-def _repo() -> Column:
-    return F.concat_ws("/", "source", "lang")
+def repo() -> Column:
+    known = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return F.concat(known("source"), F.lit("/"), known("lang"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_spans(_table(spark, sf_dir, "documents"), _repo(), _owner())
+    return secrets.secret_spans(_table(spark, sf_dir, "documents"), repo(), owner())
 
 
 def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ SQL lacks; tests/llm compares those with plain-Python versions.
 
 from __future__ import annotations
 
-from terrachron.llm import chat, secrets
+from terrachron.llm import chat
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,27 +30,32 @@ def _quoted(pattern: str) -> str:
 
 def _secrets() -> str:
     keys = "|".join([*map(_any_case, ("password", "passwd", "secret", "token")), _any_case("api") + "_?" + _any_case("key")])
-    # the same spans without look-around: (pattern, group)
-    patterns = {k: (p, g) for k, p, g, _ in secrets.BASE + secrets.FURTHER} | {
-        "assign": (rf"""(?:{keys})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1),
-        "opaque": (r"([A-Za-z0-9_-]{20,})", 1),
-    }
-    least = {k: n for k, _, _, n in secrets.BASE + secrets.FURTHER}
+    # written for this query: kind, pattern without look-around, group, least characters; a key without a footer is left to the tests
+    kinds = [
+        ("assign", rf"""(?:{keys})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24),
+        ("vendor", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*", 0, 15),
+        ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*[A-Z][A-Za-z]*-[A-Za-z-]+: ?[^\r\n\\]*)*([A-Za-z0-9+/=\s\\]+)-----END [A-Z ]*PRIVATE KEY-----", 1, 20),
+        ("opaque", "[A-Za-z0-9_-]{20,}", 0, 20),
+    ]
+    values = lambda k, p, g: f"list_transform(regexp_extract_all(text, {_quoted(p)}, {g}), lambda v: regexp_replace(v, '\\\\[rn]|[\\s\\\\]', '', 'g'))" if k == "private_key" else f"regexp_extract_all(text, {_quoted(p)}, {g})"
     each = " UNION ALL ".join(
-        f"SELECT uid, repo, owner, '{k}' AS kind, {rank} AS rank, {least[k]} AS least, regexp_split_to_array(text, {_quoted(patterns[k][0])}) AS between_, regexp_extract_all(text, {_quoted(patterns[k][0])}, 0) AS found, regexp_extract_all(text, {_quoted(patterns[k][0])}, {patterns[k][1]}) AS vals FROM d"
-        for rank, k in enumerate(secrets.KINDS)
+        f"SELECT uid, repo, owner, '{k}' AS kind, {rank} AS rank, {n} AS least, regexp_split_to_array(text, {_quoted(p)}) AS between_, regexp_extract_all(text, {_quoted(p)}, 0) AS found, {values(k, p, g)} AS vals FROM d"
+        for rank, (k, p, g, n) in enumerate(kinds)
     )
-    return f"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+    base, names = 3, [k for k, *_ in kinds]
+    return f"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat(coalesce(source, ''), '/', coalesce(lang, '')) AS repo FROM documents),
  k AS ({each}),
  m AS (SELECT uid, repo, owner, kind, rank, least, unnest(list_slice(between_, 1, len(found))) AS b, unnest(found) AS f, unnest(vals) AS v, generate_subscripts(found, 1) AS nth FROM k WHERE len(found) > 0),
  p AS (SELECT *, CAST(sum(length(b) + length(f)) OVER (PARTITION BY uid, kind ORDER BY nth) AS BIGINT) AS stop FROM m),
  s AS (SELECT *, stop - length(f) AS start FROM p WHERE length(v) >= least AND (kind <> 'opaque' OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))),
  o AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM s GROUP BY v),
  l AS (SELECT s.*, len(list_distinct(string_split(s.v, ''))) >= 8 AND regexp_matches(s.v, '[0-9]') AND owners <= 1 AND repos <= 4 AS live FROM s JOIN o ON s.v = o.v),
- t AS (SELECT uid, rank, live, kind, start, concat(kind, ':', start, ':', stop) AS shown FROM l WHERE rank < {len(secrets.BASE)} OR live),
- g AS (SELECT uid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in secrets.BASE)}, string_agg(shown, ',' ORDER BY start, rank) FILTER (rank < {len(secrets.BASE)}) AS base,
+ t AS (SELECT uid, rank, live, kind, start, concat(kind, ':', start, ':', stop) AS shown FROM l WHERE rank < {base} OR live),
+ g AS (SELECT uid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in names[:base])}, string_agg(shown, ',' ORDER BY start, rank) FILTER (rank < {base}) AS base,
   string_agg(shown, ',' ORDER BY start, rank) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM t GROUP BY uid)
- SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in names[:base])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
  FROM d LEFT JOIN g ON d.uid = g.uid"""
 
 

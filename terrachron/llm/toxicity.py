@@ -219,17 +219,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_bytes: i
     n = dict(own.groupBy("label").count().collect()) if own is not None else {}
     if set(n) != {0, 1}:
         return Model()
-    everywhere = _texts(docs).select("text").mapInArrow(_trigrams, "gram long").distinct().toPandas()["gram"].to_numpy(np.int64)  # at most 165^3 rows
+    everywhere = _texts(docs).select("text").mapInArrow(_trigrams, "gram long").distinct().toArrow()["gram"].to_numpy()  # at most 165^3 rows
     shared = shared_table(everywhere, discount)
-    cells = own.select("text", (F.col("label") * folds + F.col("fold")).alias("part")).mapInArrow(_counts, "gram long, part int, n long").groupBy("gram", "part").agg(F.sum("n").alias("n")).toPandas()
-    cells = cells.astype({"gram": np.int64, "part": np.int64, "n": np.float64})
+    cells = own.select("text", (F.col("label") * folds + F.col("fold")).alias("part")).mapInArrow(_counts, "gram long, part int, n long").groupBy("gram", "part").agg(F.sum("n").alias("n")).toArrow()
+    grams, parts, times = (cells[c].to_numpy() for c in ("gram", "part", "n"))
 
     def model(left_out: int | None) -> Model:
-        used = cells if left_out is None else cells[cells["part"] % folds != left_out]
         both = []
         for c in (0, 1):
-            sums = used[used["part"] // folds == c].groupby("gram", sort=True)["n"].sum()
-            both.append(class_levels(sums.index.to_numpy(np.int64), sums.to_numpy(np.float64), discount))
+            used = (parts // folds == c) & (parts % folds != (-1 if left_out is None else left_out))
+            keys, at = np.unique(grams[used], return_inverse=True)
+            both.append(class_levels(keys, np.bincount(at, times[used], len(keys)), discount))
         return Model(shared, tuple(both))
 
     sent = docs.sparkSession.sparkContext.broadcast([model(f) for f in range(folds)])
@@ -243,13 +243,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_bytes: i
                 x[rows] = sent.value[f].differences([texts[r] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array(x), b.column(1)], ["x", "label"])
 
-    seen = own.mapInArrow(apart, "x double, label int").toPandas()  # at most 2 * per_class rows
+    seen = own.mapInArrow(apart, "x double, label int").toArrow()  # at most 2 * per_class rows
     sent.destroy()
     out = model(None)
-    y = seen["label"].to_numpy(float)
+    y = seen["label"].to_numpy().astype(float)
     # between the labelled shares and equal shares: a missed toxic text costs more than its rarity says, a wrong label not as much
     weight = np.where(y == 1, share[1] ** 0.5 / n[1], share[0] ** 0.5 / n[0])
-    out.curve = logistic(seen["x"].to_numpy(float), y, weight / weight.mean())
+    out.curve = logistic(seen["x"].to_numpy(), y, weight / weight.mean())
     out.empty = min(share[1] / (share[0] + share[1]), 0.49)
     drop(own)
     return out

@@ -4,15 +4,17 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from terrachron.llm import chat, media, packing, queries, sharding, urlfilter, warc
+from terrachron.llm import chat, media, packing, queries, sharding, toxicity, urlfilter, warc
 
 DOCS = "doc_id long, text string, uid string, length string, shard string"
 
@@ -30,6 +32,32 @@ def test_images_round_trip():
     assert np.load(__import__("io").BytesIO(media.npy_tile(grey))).shape == grey.shape
 
 
+@pytest.mark.parametrize("data", [b"", b"P5", b"P5\n99999999999999999999 1\n255\n", b"P5 99999 99999 255\n" + bytes(9), b"P2 1 1 255\n300", b"P2 2 1 9\n3", b"P5 0 4 255\n", b"P5 1 1 65535\n12", b"P1 3 1 1 0", b"P4 9 2\n\0", b"BM", b"BM" + bytes(60), media.write_bmp(np.zeros((9, 9, 3), np.uint8))[:-9], b"P3 1 1 255 1 2"])
+def test_bad_images_are_told(data):
+    with pytest.raises(ValueError):
+        media.decode(data)
+
+
+def test_samples_are_scaled_to_eight_bits():
+    assert media.read_netpbm(b"P2 4 1 15\n0 5 10 15").ravel().tolist() == [0, 85, 170, 255]
+    assert media.read_netpbm(b"P5 2 1 1\n\0\1").ravel().tolist() == [0, 255] and media.read_netpbm(b"P2 2 1 255 7 200").ravel().tolist() == [7, 200]
+
+
+def test_texts_that_are_not_utf8(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, F.unhex(F.lit("6162FFC3282063"))).cast("string").alias("text"), F.lit("x").alias("url"), F.lit(7).alias("data"))
+    raw = bytes.fromhex("6162FFC3282063")
+    got = media.text_media(docs).collect()
+    assert sorted((r.n_bytes, r.payload_sha256) for r in got)[1:] == [(7, hashlib.sha256(raw + bytes(57)).hexdigest())] * 2
+    pieces = packing.token_pieces(docs, queries.TOKENIZER, queries.RANKS).collect()
+    want = np.array(_ids().plain.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids + [0], "<u4")
+    assert {(r.length, r.ids_crc32) for r in pieces if r.doc_id} == {(len(want), zlib.crc32(want.tobytes()))}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
+    assert sorted((r.payload_bytes, r.payload_digest) for r in warc.read_archives(warc.write_archives(warc.with_revisits(pages))).collect())[1:] == [(7, hashlib.sha256(raw).hexdigest())] * 2
+    labels = spark.range(3).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    assert toxicity.toxicity_scores(docs, model).count() == 3 and toxicity.without_toxic(docs, model).count() <= 3
+
+
 def test_area_resize_in_blocks(monkeypatch):
     pixels = np.random.default_rng(2).integers(0, 256, (1000, 64, 1), np.uint8)
     whole = media.area_resize(pixels, 8, 9)
@@ -43,7 +71,15 @@ def test_text_media(spark):
     for r in media.text_media(docs).collect():
         raw = (texts[r.doc_id] or "").encode()
         padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        stored = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        grid = np.frombuffer(padded, np.uint8).reshape(-1, 64).astype(float)
+        thumb = lambda rows, cols: np.repeat(np.repeat(grid, rows, 0), cols, 1).reshape(rows, len(grid), cols, 64).mean(axis=(1, 3))
+        if len(grid) < 50:
+            eight = thumb(8, 9).round(6)
+            assert r.feature == np.packbits(eight[:, :-1] < eight[:, 1:]).tobytes().hex()
+            assert r.tile_sha256 == hashlib.sha256(np.rint(thumb(32, 32)).astype(np.uint8).tobytes()).hexdigest()
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
     out = media.tiles(spark.createDataFrame([(1, media.write_bmp(np.zeros((3, 3, 3), np.uint8))), (2, b"junk"), (3, None)], "id long, data binary")).collect()
     assert [bool(r.error) for r in sorted(out, key=lambda r: r.id)] == [False, True, True]
 
@@ -51,14 +87,14 @@ def test_text_media(spark):
 def test_text_media_come_from_stored_tiles(spark, monkeypatch):
     texts = [None, "", "a", "é" * 40, "some words " * 500]
     made = []
-    keep = lambda df, tag: made.append(written(df, tag)) or made[-1]
+    keep = lambda df, *how: made.append(written(df, *how)) or made[-1]
     from terrachron.plans.tables import written
 
     monkeypatch.setattr(media, "written", keep, raising=False)
     got = {r.doc_id: r for r in media.text_media(spark.createDataFrame([(i, t, "u", "l", "s") for i, t in enumerate(texts)], DOCS)).collect()}
     assert len(made) == 1 and made[0].count() == len(texts)
     for r in made[0].collect():
-        n, data = media.stored_text(texts[r.doc_id])
+        n, data = len((texts[r.doc_id] or "").encode()), media.stored_text((texts[r.doc_id] or "").encode())
         pixels = media.read_netpbm(data)
         assert (r.n_bytes, bytes(r.media), r.dhash) == (n, data, media.difference_hash(pixels)) and got[r.doc_id].feature == r.dhash
         assert got[r.doc_id].media_sha256 == hashlib.sha256(r.media).hexdigest()
@@ -129,7 +165,9 @@ def test_packing(spark):
     assert packing.pack(packing.token_pieces(docs.limit(0), queries.TOKENIZER, queries.RANKS)).count() == 0
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_warc(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(warc, "_FEW", few)
     big = "<p>" + "x" * 200
     rows = [(5, "http://a/\r\nX: y", big), (3, "http://b", big), (None, None, big), (9, "u", "tiny"), (8, "u", "tiny"), (7, "u", None), (6, "u", "é\r\n\r\nWARC/1.1" * 5000), (3, "http://b", big)]
     archives = warc.write_archives(warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")))
@@ -147,9 +185,12 @@ def test_warc(spark, tmp_path):
 
 
 def test_warc_members_may_span_blocks_and_bad_records_are_told():
-    a, b = (warc.record(i, "u", b"payload %d" % i, hashlib.sha256(b"payload %d" % i).hexdigest(), None) for i in (1, 2))
-    data = a + b
-    assert [warc.parse(m)[0]["warc-record-id"] for m in warc.members(iter([data[:10], data[10:60], data[60:]]))] == ["<urn:page:1>", "<urn:page:2>"]
+    now = "2026-01-02T03:04:05Z"
+    a, b = (warc.record(i, "u", b"payload %d" % i, hashlib.sha256(b"payload %d" % i).hexdigest(), None, now) for i in (1, 2))
+    data = warc.warcinfo(now) + a + b
+    told = [warc.parse(m)[0] for m in warc.members(iter([data[:10], data[10:60], data[60:]]))]
+    assert [f.get("x-page-id") for f in told] == [None, "1", "2"] and [f["warc-type"] for f in told] == ["warcinfo", "response", "response"]
+    assert {f["warc-date"] for f in told} == {now} and len({f["warc-record-id"] for f in told}) == 3
     with pytest.raises(warc.BadRecord):
         list(warc.members(iter([data[:-5]])))
     with pytest.raises(warc.BadRecord):
@@ -194,6 +235,11 @@ def test_sharding(spark, tmp_path):
     docs = spark.createDataFrame([(i // 2 if i < 20 else i, "é" * (i % 7) if i % 5 else None, "u", "l", "s") for i in range(500)] + [(None, "x", "u", "l", "s")] * 2, DOCS)
     got = sharding.assigned(docs, per_bucket=3).collect()
     assert len(got) == 502
+    told = lambda rows: sorted(rows, key=str)
+    want = [(r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect()]
+    assert told((r.doc_id, r.size, r.text_crc32) for r in got) == told(want) and {r.law for r in got} == {"key"}
+    key = lambda i: xxhash.xxh64_intdigest(b"" if i is None else struct.pack("<q", i), 42) if i is not None else 42
+    assert all((r.shard, r.grown_shard) == (jump(key(r.doc_id), 40), jump(key(r.doc_id), 41)) for r in got)
     for s in range(40):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))

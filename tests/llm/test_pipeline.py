@@ -120,7 +120,7 @@ def brute_redacted(docs):
             found += [(m.start(), m.end(), rank, m[group]) for m in re.finditer(pattern, d[1] or "", re.ASCII) if len(m[group]) >= least]
         spans.append(found)
         for *_, value in found:
-            holders[value].add((d[3] or "", "/".join(x for x in (d[3], d[2]) if x)))
+            holders[value].add((d[3] or "", f"{d[3] or ''}/{d[2] or ''}"))
     out = []
     for d, found in zip(docs, spans, strict=True):
         text, new, at = d[1], "", 0

@@ -34,6 +34,9 @@ def odd(spark, tmp_path_factory):
         None, "", " \n ", "one", "four words and no", base, base, base.upper(), base + " More", f"é PASSWORD = '{key}' ∂ {key}\n", f"x{key}", "AKIA" + "B7" * 9, "tokKen: abcdefgh token: abcdef", "a1" * 15 + " Copied0Example0Key1234567",
         "Copied0Example0Key1234567", "Own9Live8Secret7654321abc it's", "before Alpha-beta gamma after", "i0 i1 i2 i3 i4 i5 i6 i7 i8 i9 i10 i11 x i0 i1 i2 i3 i4 i5 i6 i7 i8 i9",
     ]
+    body, shared = "\n".join(f"Ab{i}cD+/eF{i * 7}gH9" * 3 for i in range(9)), "\\n".join(["Qw3+" * 16] * 3)
+    pem = lambda s, head="": f"k -----BEGIN RSA PRIVATE KEY-----{head}\n{s}\n-----END RSA PRIVATE KEY----- z"
+    texts += [pem(body), pem(body[:60], "\nProc-Type: 4,ENCRYPTED\n"), pem(shared), pem(shared), pem(shared), "ghp_" + "Zz9x" * 10 + " eyJabcdefghij.klmnopqrst0.x"]
     docs = [(i, t, "en", f"s{i % 3}", 0) for i, t in enumerate(texts)] + [(None, base, None, None, None), (5, base, "en", "s2", 0), (None, None, "en", "s1", 0)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
     items = [(1, " ".join(f"i{i}" for i in range(14))), (2, "alpha BETA gamma"), (10, "Beta gamma"), (3, None), (4, "..."), (None, "one"), (2, "words of one text that others copy almost word for word here")]

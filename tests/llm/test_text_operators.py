@@ -126,7 +126,7 @@ def test_long_text_in_pieces(monkeypatch):
     import terrachron.llm.words as words
 
     monkeypatch.setattr(words, "_CHUNK", 40)
-    found = decontam.searchers([("7", "b c d e f g h i j k l m")])
+    found = decontam.searchers([("7", b"b c d e f g h i j k l m")])
     text = " ".join(["x"] * 37 + list("abcdefghijklmn") + ["y"] * 50)
     assert decontam.scan(text.encode(), found) == (101, [(38, 50)], {"7"})
     assert (words.word_hashes(b"a b  c " * 40, words.WordHashes()) == words.word_hashes(b"a b c " * 40, words.WordHashes())).all()
