@@ -15,29 +15,36 @@ from terrachron.plans.tables import written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go; labels of the held-out fold are never learnt."""
+    """Documents with a toxicity score of 0.5 or more go; labels of the held-out fold are never learnt.
+
+    Null and empty texts stay, repeated rows share their fate, further columns are handed on, no rows give no rows.
+    """
     return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays, with all rows that have it. A null doc_id stays."""
+    """Of each group of near duplicates the smallest doc_id stays.
+
+    Rows with the same doc_id and text share their fate; another text under the same
+    doc_id has its own. Null doc_ids, null and empty texts stay; further columns are handed on; no rows give no rows.
+    """
     found = neardup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left_anti")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of the benchmark occurs go."""
+    """Documents in which a window of the benchmark occurs go; null and empty texts stay, an empty benchmark takes nothing."""
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; every secret in a text becomes [SECRET], and n_chars follows."""
-    return secrets.redacted(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
+    """All documents stay; every secret in a text becomes [SECRET], and n_chars follows. Null texts stay null."""
+    return secrets.redacted(docs, queries.repo(), queries.owner())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces with their places in sequences of 2048 tokens."""
+    """All documents as pieces with their places in sequences of 2048 tokens; null and empty texts are one piece of one token."""
     return packing.pack(packing.token_pieces(docs, queries.TOKENIZER, queries.RANKS))
 
 
