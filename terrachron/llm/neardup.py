@@ -133,11 +133,24 @@ def _full_sets(ends: DataFrame, docs: DataFrame, size: int, tag: str) -> DataFra
     return written(full.select("uid", "n", "values"), tag)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b; a written table) with the values of both ends, sa and sb, from ``sets`` (uid, values).
+
+    An end a that very many pairs have is dealt: its pairs by a salt, its set once for each salt.
+    """
+    hot = max(SALTED, pairs.count() // HOT_PART)
+    often = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("a", (F.floor(F.col("c") / hot) + 1).alias("salts"))
+    often = F.broadcast(often)  # at most HOT_PART rows
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    dealt = pairs.join(often, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts)).drop("salts")
+    of = lambda c: sets.select(F.col("uid").alias(c), F.col("values").alias(f"s{c}"))
+    left = of("a").join(often, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    return dealt.join(left, ["a", "salt"]).drop("salt").join(of("b"), "b")
+
+
 def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """(a, b) -> (a, b, i, na, nb): exact sizes of intersections of whole sets."""
-    of = lambda c: full.select(F.col("uid").alias(c), F.col("values").alias(f"s{c}"))
-    q = pairs.join(of("a"), "a").join(of("b"), "b")
-    return q.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+    """Written pairs (a, b) -> (a, b, i, na, nb): exact sizes of intersections of whole sets."""
+    return _with_sets(pairs, full).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
 
 
 def _enough(i, na, nb, share: tuple[int, int]):
@@ -146,8 +159,7 @@ def _enough(i, na, nb, share: tuple[int, int]):
 
 def _linked(pairs: DataFrame, sketches: DataFrame, k: int, share: tuple[int, int], full_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets have 100 * intersection >= 75 * union (``share``); ``full_of`` gives the whole sets of their ends."""
-    of = lambda c: sketches.select(F.col("uid").alias(c), F.slice("values", 1, k).alias(f"s{c}"))
-    p = pairs.join(of("a"), "a").join(of("b"), "b")
+    p = _with_sets(pairs, sketches.select("uid", F.slice("values", 1, k).alias("values")))
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     p = written(p.where(both >= F.floor(F.size(union) * F.lit(FLOOR_SHARE))).select("a", "b"), "neardup-pairs")
@@ -204,7 +216,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (75
     # the hub of a list: the member with the smallest part of its own
     hubs = lists.groupBy("v").agg(F.first("df").alias("df"), F.min_by(F.struct(F.col("uid").alias("hub"), F.col("n").alias("hub_n")), F.struct(F.col("own") / F.col("n"), F.xxhash64("uid"))).alias("h")).select("v", "df", "h.*")
     lists = written(_met(lists, hubs, hot), "neardup-hubs")
-    star = written(_overlaps(lists.select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), full), "neardup-star")
+    rays = written(lists.select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), "neardup-rays")
+    star = written(_overlaps(rays, full), "neardup-star")
+    drop(rays)
     links = links.union(star.where((F.col("a") != F.col("b")) & _enough(F.col("i"), F.col("na"), F.col("nb"), share)).select("a", "b"))
 
     at = _labelled(lists, links, hot).join(star.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "i"), ["hub", "uid"])
