@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from datetime import timedelta
+from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Mean earth radius in metres, and the geohash alphabet: fixed values.
@@ -96,6 +98,54 @@ def metric_cell(lat: Column, lon: Column, cell_m: float) -> tuple[Column, Column
     return row, F.pmod(F.floor((lon + 180.0) / (F.lit(360.0) / around)), around)
 
 
+def seconds(span: timedelta) -> Column:
+    """A span of time as an interval, whole microseconds."""
+    return F.make_dt_interval(F.lit(span.days), F.lit(0), F.lit(0), F.lit(Decimal(span.seconds) + Decimal(span.microseconds) / 1_000_000).cast("decimal(18,6)"))
+
+
+def radius_cell(lat: Column, lon: Column, radius_m: float) -> tuple[Column, Column]:
+    """(row, column) of cells in which points at most ``radius_m`` apart are neighbours (:func:`spread_cells`).
+
+    Rows are one radius high. Each row has its own number of columns, as wide as two such
+    points can lie apart there, so a row near a pole has few and doesn't widen the others.
+    """
+    row = F.floor(lat / _row_step(radius_m))
+    return row, _column(lon, _columns(row, radius_m))
+
+
+def spread_cells(df: DataFrame, radius_m: float, steps: list[tuple]) -> DataFrame:
+    """Rows (lat, lon, ...) once for every cell that can hold points within ``radius_m``: adds row and column.
+
+    ``steps``: (rows up from its own, further values named by the first of them) per row of cells that is asked for.
+    """
+    names, *steps = steps
+    cells = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, step, strict=True)]) for step in steps])
+    out = df.select("*", F.inline(cells)).withColumn("row", F.floor(F.col("lat") / _row_step(radius_m)) + F.col(names[0])).drop(names[0])
+    # through a generator, so that the number of columns is worked out once
+    out = out.select("*", F.inline(F.array(F.struct(_columns(F.col("row"), radius_m).alias("_columns")))))
+    at = _column(F.col("lon"), F.col("_columns"))
+    out = out.select("*", F.inline(F.array(F.struct(at.alias("_at")))))
+    near = F.array_distinct(F.array(*[F.pmod(F.col("_at") + e, F.col("_columns")) for e in (-1, 0, 1)]))
+    return out.withColumn("column", F.explode(near)).drop("_columns", "_at")
+
+
+def _row_step(radius_m: float) -> float:
+    return max(math.degrees(min(radius_m / EARTH_M, math.pi)) * (1 + 1e-9), 1e-7)
+
+
+def _columns(row: Column, radius_m: float) -> Column:
+    """Columns of a row: from the largest difference of longitude between a point in it and one at most ``radius_m`` away, in it or the next rows."""
+    step = _row_step(radius_m)
+    pole_side = F.least(F.greatest(F.abs(row - 1), F.abs(row + 2)) * step, F.lit(90.0))
+    apart = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(math.radians(step), math.pi) / 2)) / F.greatest(F.cos(F.radians(pole_side)), F.lit(1e-12))))) * (2 * (1 + 1e-9))
+    n = F.floor(F.lit(360.0) / F.greatest(apart, F.lit(1e-7)))
+    return F.when(n >= 3, n).otherwise(F.lit(1).cast("long"))
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    return F.pmod(F.floor((lon + 180.0) / (F.lit(360.0) / columns)), columns)
+
+
 def xyz(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     a, b = F.radians(lat), F.radians(lon)
     return F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)

@@ -5,64 +5,71 @@ from __future__ import annotations
 import math
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrachron.functions import geo
 from terrachron.operators.search import at
 
+#: Radii of a batch share cells up to the next power of this.
+CLASS = 4.0
 
-def _keys(radius_m: float, window_s: float, most_lat: float) -> tuple:
-    """Functions that give a row's cell, and all cells that can hold its partners, wide enough at latitudes up to ``most_lat``."""
-    step = max(math.degrees(radius_m / geo.EARTH_M) * (1 + 1e-9), 1e-7)
-    shrink = math.cos(math.radians(min(90.0, most_lat + step)))
-    columns = max(1, math.floor(360.0 * shrink / step)) if shrink > 0 else 1
-    columns = columns if columns >= 3 else 1
-    row = F.floor(F.col("lat") / step)
-    column = F.pmod(F.floor((F.col("lon") + 180.0) / (360.0 / columns)), F.lit(columns))
-    tick = F.floor(F.unix_micros("ts") / F.lit(max(1, round(window_s * 1e6))))
 
-    def around(df: DataFrame) -> DataFrame:
-        for name, value in (("row", row), ("tick", tick)):
-            df = df.withColumn(name, F.explode(F.array(value - 1, value, value + 1)))
-        near = F.array_distinct(F.array(*[F.pmod(column + d, F.lit(columns)) for d in (-1, 0, 1)]))
-        return df.withColumn("column", F.explode(near))
+def _micros(window: timedelta) -> int:
+    return window // timedelta(microseconds=1)
 
-    return lambda df: df.withColumn("row", row).withColumn("tick", tick).withColumn("column", column), around
 
+def _tick(window: timedelta) -> Column:
+    return F.floor(F.unix_micros("ts") / F.lit(max(1, _micros(window))))
 
-def _largest(df: DataFrame, column: str) -> float:
-    return df.agg(F.max(F.abs(column))).first()[0] or 0.0
+
+def _placed(df: DataFrame, radius_m: float, tick: Column) -> DataFrame:
+    row, column = geo.radius_cell(F.col("lat"), F.col("lon"), radius_m)
+    return df.withColumns({"row": row, "column": column, "tick": tick})
+
+
+def _spread(df: DataFrame, radius_m: float, tick: Column, ticks: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
+    steps = [("_up", "_on"), *((up, on) for up in (-1, 0, 1) for on in ticks)]
+    return geo.spread_cells(df, radius_m, steps).withColumn("tick", tick + F.col("_on")).drop("_on")
+
+
+#: Half of a neighbourhood: rows of latitude up, ticks on, and whether both rows look for each other.
+_AHEAD = [("_up", "_on", "same"), (1, -1, False), (1, 0, False), (1, 1, False), (0, 1, False), (0, 0, True)]
 
 
 def neighbour_pairs(obs: DataFrame, radius_m: float, window: timedelta, other_entities: bool = True) -> DataFrame:
     """Pairs of observations at most ``radius_m`` and ``window`` apart, each once: a_/b_ id, entity, ts; a's id is the smaller.
 
-    Cells are as wide as the radius at the largest latitude in the data, columns wrap
-    at the antimeridian and near a pole all longitudes are one column.
+    Cells are as wide as the radius in their own row of latitude, columns wrap at the
+    antimeridian, and only rows near a pole have a single column. A row looks for partners in half
+    of its neighbourhood: in the next row of latitude, in the next tick of its own row, and
+    in its own tick and row those with a larger id.
     """
     own = obs.select(F.col("observation_id").alias("id"), F.col("entity_id").alias("entity"), "ts", "lat", "lon")
-    place, around = _keys(radius_m, window.total_seconds(), _largest(own, "lat"))
-    side = lambda df, p: df.select("row", "column", "tick", *[F.col(c).alias(p + c) for c in ("id", "entity", "ts", "lat", "lon")])
-    pairs = side(place(own), "a_").join(side(around(own), "b_"), ["row", "column", "tick"])
-    apart = F.abs(F.unix_micros("a_ts") - F.unix_micros("b_ts")) <= round(window.total_seconds() * 1e6)
-    near = geo.haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    pairs = pairs.where((F.col("a_id") < F.col("b_id")) & apart & (near <= radius_m))
+    tick = _tick(window)
+    side = lambda df, p, *more: df.select("row", "column", "tick", *more, *[F.col(c).alias(p + c) for c in ("id", "entity", "ts", "lat", "lon")])
+    looking = geo.spread_cells(own, radius_m, _AHEAD).withColumn("tick", tick + F.col("_on"))
+    pairs = side(_placed(own, radius_m, tick), "p_").join(side(looking, "q_", "same"), ["row", "column", "tick"])
+    apart = F.abs(F.unix_micros("p_ts") - F.unix_micros("q_ts")) <= _micros(window)
+    near = geo.haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon"))
+    pairs = pairs.where(F.when(F.col("same"), F.col("p_id") < F.col("q_id")).otherwise(F.col("p_id") != F.col("q_id")) & apart & (near <= radius_m))
     if other_entities:
-        pairs = pairs.where(F.col("a_entity") != F.col("b_entity"))
-    return pairs.select("a_id", "b_id", "a_entity", "b_entity", "a_ts", "b_ts", near.alias("distance_m"))
+        pairs = pairs.where(F.col("p_entity") != F.col("q_entity"))
+    first = F.col("p_id") < F.col("q_id")
+    pick = lambda c, p, q: F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}"))
+    cols = [pick(c, *ends).alias(f"{side_}_{c}") for c in ("id", "entity", "ts") for side_, ends in (("a", "pq"), ("b", "qp"))]
+    return pairs.select(*cols, near.alias("distance_m"))
 
 
 def nearby_entities(obs: DataFrame, entity: str, t: datetime, radius_m: float, window: timedelta) -> DataFrame:
     """Other entities seen within ``radius_m`` and ``window`` of one of the entity's observations around ``t``: entity_id, distance_m (least), own_id, other_id."""
-    w = F.expr(f"INTERVAL {window.total_seconds()} SECONDS")
+    w = geo.seconds(window)
     close = obs.where(F.col("ts").between(at(t) - w - w, at(t) + w + w)).select(F.col("observation_id").alias("id"), F.col("entity_id").alias("entity"), "ts", "lat", "lon")
     own = close.where((F.col("entity") == entity) & F.col("ts").between(at(t) - w, at(t) + w))
-    place, around = _keys(radius_m, window.total_seconds(), _largest(close, "lat"))
     side = lambda df, p: df.select("row", "column", "tick", *[F.col(c).alias(p + c) for c in ("id", "ts", "lat", "lon", "entity")])
-    pairs = side(place(close.where(F.col("entity") != entity)), "o_").join(side(around(own), "e_"), ["row", "column", "tick"])
+    pairs = side(_placed(close.where(F.col("entity") != entity), radius_m, _tick(window)), "o_").join(side(_spread(own, radius_m, _tick(window)), "e_"), ["row", "column", "tick"])
     d = geo.haversine_m(F.col("e_lat"), F.col("e_lon"), F.col("o_lat"), F.col("o_lon"))
-    pairs = pairs.withColumn("d", d).where((F.abs(F.unix_micros("e_ts") - F.unix_micros("o_ts")) <= round(window.total_seconds() * 1e6)) & (F.col("d") <= radius_m))
+    pairs = pairs.withColumn("d", d).where((F.abs(F.unix_micros("e_ts") - F.unix_micros("o_ts")) <= _micros(window)) & (F.col("d") <= radius_m))
     best = F.min(F.struct("d", "e_id", "o_id")).alias("m")
     return pairs.groupBy(F.col("o_entity").alias("entity_id")).agg(best).select("entity_id", F.col("m.d").alias("distance_m"), F.col("m.e_id").alias("own_id"), F.col("m.o_id").alias("other_id"))
 
@@ -73,16 +80,26 @@ def inside(obs: DataFrame, regions: dict[str, geo.Ring]) -> DataFrame:
     return obs.withColumn("region", F.explode(names))
 
 
-def batch_radius(obs: DataFrame, queries: DataFrame, most_radius_m: float) -> DataFrame:
-    """queries (qi, lat, lon, radius_m) -> qi, n for all queries in one pass, those without a hit included.
-
-    Both sides meet on cells of ``most_radius_m`` or, where it is more, the largest radius asked for,
-    wide enough at the largest latitude of both; counts are combined before they shuffle.
-    """
-    place, around = _keys(max(most_radius_m, _largest(queries, "radius_m")), 1.0, max(_largest(obs, "lat"), _largest(queries, "lat")))
-    zero = F.lit("1970-01-01").cast("timestamp")
-    points = place(obs.select("lat", "lon", zero.alias("ts"))).select("row", "column", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    asked = around(queries.withColumn("ts", zero)).where("tick = 0")
+def _hits(obs: DataFrame, queries: DataFrame) -> DataFrame:
+    """qi and observation_id of every hit. Queries of like radius share one size of cells; points are keyed once for each size asked for, of which there are at most a dozen."""
+    size = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.col("radius_m"), F.lit(1.0))) / F.lit(math.log(CLASS)))).cast("int")
+    asked = queries.where("radius_m >= 0").select("qi", "lat", "lon", "radius_m", size.alias("size"))
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    hits = points.join(asked, ["row", "column"]).where(d <= F.col("radius_m")).groupBy("qi").agg(F.count("*").alias("n"))
+    found, none = None, F.lit(0)
+    for (k,) in asked.select("size").distinct().orderBy("size").collect():
+        cell = min(CLASS**k, math.pi * geo.EARTH_M)
+        points = _placed(obs, cell, none).select("row", "column", "observation_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+        hits = points.join(_spread(asked.where(F.col("size") == k), cell, none, ticks=(0,)), ["row", "column"]).where(d <= F.col("radius_m")).select("qi", "observation_id")
+        found = hits if found is None else found.unionByName(hits)
+    return found if found is not None else queries.select("qi").limit(0).withColumn("observation_id", F.lit(None).cast("string"))
+
+
+def batch_radius(obs: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (qi, lat, lon, radius_m) -> qi, n for all queries in one pass, those without a hit included; counts are combined before they shuffle."""
+    hits = _hits(obs, queries).groupBy("qi").agg(F.count("*").alias("n"))
     return queries.select("qi").join(hits, "qi", "left").select("qi", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def batch_radius_ids(obs: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (qi, lat, lon, radius_m) -> qi, observation_id: a row per hit."""
+    return _hits(obs, queries)

@@ -1,17 +1,35 @@
-"""Where observations lie: partition ids, balance, and what a lost node would take with it."""
+"""Where observations lie: partition ids, routing of boxes, balance, and which hits a lost partition would take along."""
 
 from __future__ import annotations
 
+import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _grid_cell(v: Column, low: float, span: float, cell_deg: float) -> Column:
+    return F.least(F.floor((v + low) / cell_deg), F.lit(math.ceil(span / cell_deg) - 1)).cast("long")
+
+
 def grid_partition(cell_deg: float, n: int) -> Column:
-    """CRC-32 of "row:column" modulo n; the top row and column take their upper edge."""
-    part = lambda v, low, span: F.least(F.floor((v + low) / cell_deg), F.lit(int(span / cell_deg) - 1)).cast("long").cast("string")
-    return F.crc32(F.concat_ws(":", part(F.col("lat"), 90, 180), part(F.col("lon"), 180, 360)).cast("binary")) % n
+    """CRC-32 of "row:column" modulo n; the last row and column take their upper edge."""
+    cell = F.concat_ws(":", _grid_cell(F.col("lat"), 90, 180, cell_deg).cast("string"), _grid_cell(F.col("lon"), 180, 360, cell_deg).cast("string"))
+    return F.crc32(cell.cast("binary")) % n
+
+
+def grid_route(cell_deg: float, n: int, south: float, north: float, west: float, east: float) -> list[int]:
+    """Partitions that can hold points of a box; all, once every partition is met."""
+    at = lambda v, low, span: min(math.floor((v + low) / cell_deg), math.ceil(span / cell_deg) - 1)
+    met: set[int] = set()
+    for row in range(at(south, 90, 180), at(north, 90, 180) + 1):
+        for column in range(at(west, 180, 360), at(east, 180, 360) + 1):
+            met.add(zlib.crc32(f"{row}:{column}".encode()) % n)
+            if len(met) == n:
+                return sorted(met)
+    return sorted(met)
 
 
 @dataclass(frozen=True)
@@ -24,15 +42,34 @@ class Split:
     right: Split | int
 
 
-def kd_tree(obs: DataFrame, n: int, error: float = 0.001, first_pid: int = 0, column: str = "lat") -> Split | int:
-    """Alternating splits at quantiles, in proportion to the partitions on each side; n - 1 distributed sketches, no rows on the driver."""
-    if n == 1:
-        return first_pid
-    left = n // 2
-    cut = obs.approxQuantile(column, [left / n], error)
-    value = cut[0] if cut else 0.0
-    other = "lon" if column == "lat" else "lat"
-    return Split(column, value, kd_tree(obs.where(F.col(column) < value), left, error, first_pid, other), kd_tree(obs.where(F.col(column) >= value), n - left, error, first_pid + left, other))
+def kd_tree(obs: DataFrame, n: int, accuracy: int = 1000) -> Split | int:
+    """Alternating splits at quantiles, in proportion to the partitions on each side.
+
+    Each level of the tree is one aggregation over the data (a quantile sketch per node), so
+    there are log2(n) scans of two columns and only cuts come to the driver.
+    """
+    cuts: dict[int, float] = {}
+
+    def built(node: int, parts: int, first: int, depth: int) -> Split | int:
+        if parts == 1 or node not in cuts:
+            return first if parts == 1 else -node - 1  # a node of the next level, by its number
+        left = parts // 2
+        return Split(("lat", "lon")[depth % 2], cuts[node], built(2 * node, left, first, depth + 1), built(2 * node + 1, parts - left, first + left, depth + 1))
+
+    def open_nodes(node: int, parts: int) -> list[tuple[int, int]]:
+        if parts == 1:
+            return []
+        return [(node, parts)] if node not in cuts else open_nodes(2 * node, parts // 2) + open_nodes(2 * node + 1, parts - parts // 2)
+
+    depth = 0
+    while todo := open_nodes(1, n):
+        at = kd_partition(built(1, n, 0, 0))
+        column = ("lat", "lon")[depth % 2]
+        row = obs.agg(*[F.approx_percentile(F.when(at == -node - 1, F.col(column)), (parts // 2) / parts, accuracy).alias(str(node)) for node, parts in todo]).first()
+        for node, _ in todo:
+            cuts[node] = row[str(node)] if row[str(node)] is not None else 0.0
+        depth += 1
+    return built(1, n, 0, 0)
 
 
 def kd_partition(tree: Split | int) -> Column:

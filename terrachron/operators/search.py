@@ -1,11 +1,12 @@
 """Filters, latest-state and ordered queries over observations.
 
-Order is (ts, observation_id). Ranges are closed at both ends, unless said.
+Order is (ts, observation_id): :func:`ordered` sorts a result so, as most uses of a set
+of observations need no order and pay no sort. Ranges are closed at both ends, unless said.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,16 @@ ORDER = ("ts", "observation_id")
 
 
 def at(t: datetime | Column) -> Column:
-    return t if isinstance(t, Column) else F.lit(t.isoformat(sep=" ")).cast("timestamp")
+    """A moment (UTC, where it has no zone) as a timestamp, exact to the microsecond."""
+    if isinstance(t, Column):
+        return t
+    own = t if t.tzinfo else t.replace(tzinfo=UTC)
+    return F.timestamp_micros(F.lit((own - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)).cast("long"))
+
+
+def ordered(obs: DataFrame) -> DataFrame:
+    """By time, then id."""
+    return obs.orderBy(*ORDER)
 
 
 def radius(obs: DataFrame, lat: float, lon: float, radius_m: float) -> DataFrame:
@@ -52,7 +62,7 @@ def by_source(obs: DataFrame, source: str) -> DataFrame:
 def before(obs: DataFrame, entity: str, t: datetime | Column, window: timedelta | None = None) -> DataFrame:
     """History of an entity strictly before ``t``, from ``t - window`` on."""
     own = entity_history(obs, entity).where(F.col("ts") < at(t))
-    return own if window is None else own.where(F.col("ts") >= at(t) - F.expr(f"INTERVAL {window.total_seconds()} SECONDS"))
+    return own if window is None else own.where(F.col("ts") >= at(t) - geo.seconds(window))
 
 
 def get(obs: DataFrame, observation_id: str) -> DataFrame:
@@ -104,7 +114,7 @@ def history_before(obs: DataFrame, entity: str, event_type: str, lookback: timed
     own = entity_history(obs, entity)
     anchor = own.where(F.col("event_type") == event_type).agg(F.max("ts").alias("anchor"))
     # one row by construction
-    out = own.join(F.broadcast(anchor), (F.col("ts") < F.col("anchor")) & (F.col("ts") >= F.col("anchor") - F.expr(f"INTERVAL {lookback.total_seconds()} SECONDS")))
+    out = own.join(F.broadcast(anchor), (F.col("ts") < F.col("anchor")) & (F.col("ts") >= F.col("anchor") - geo.seconds(lookback)))
     return out.withColumn("offset_minutes", (F.unix_micros("ts") - F.unix_micros("anchor")) / 6e7).drop("anchor")
 
 
@@ -141,13 +151,29 @@ def evidence(obs: DataFrame) -> DataFrame:
 
 
 def overview(obs: DataFrame) -> DataFrame:
-    """One row: counts, distinct entities, types and sources, time range and mean place."""
+    """One row: counts, distinct entities, types and sources, time range and median place."""
     return obs.agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("entities"), F.count_distinct("event_type").alias("types"), F.count_distinct("source_id").alias("sources"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.median("lat").alias("lat"), F.median("lon").alias("lon"))
 
 
-def sample_every(obs: DataFrame, step: int) -> DataFrame:
-    """Every ``step``-th observation of each entity in time order, the first one included."""
-    return obs.withColumn("_n", F.row_number().over(Window.partitionBy("entity_id").orderBy(*ORDER)) - 1).where(F.col("_n") % step == 0).drop("_n")
+def sample_every(obs: DataFrame, step: int, by: str | None = "entity_id") -> DataFrame:
+    """Every ``step``-th observation in time order, the first one included: of each value of ``by``, or (None) of all.
+
+    Of all, rows are numbered within their day and a running count of the days before
+    is added, so no task sorts everything; a day's rows meet in one task.
+    """
+    if by is not None:
+        n = F.row_number().over(Window.partitionBy(by).orderBy(*ORDER)) - 1
+        return obs.withColumn("_n", n).where(F.col("_n") % step == 0).drop("_n")
+    dated = obs.withColumn("_day", F.to_date("ts"))
+    days = dated.groupBy("_day").agg(F.count("*").alias("_c"))  # one row a day
+    days = days.select("_day", (F.sum("_c").over(Window.orderBy("_day")) - F.col("_c")).alias("_before"))
+    own = dated.withColumn("_n", F.row_number().over(Window.partitionBy("_day").orderBy(*ORDER)) - 1).join(days, "_day")
+    return own.where((F.col("_before") + F.col("_n")) % step == 0).drop("_day", "_n", "_before")
+
+
+def event_sequence(obs: DataFrame, lat: float, lon: float, radius_m: float, start: datetime, end: datetime) -> DataFrame:
+    """What happened in the circle and window, in order, as rows: ts, observation_id, event_type."""
+    return ordered(radius_between(obs, lat, lon, radius_m, start, end).select("ts", "observation_id", "event_type"))
 
 
 def keyword_match(obs: DataFrame, terms: list[str], limit: int) -> DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrachron.functions import geo
 from terrachron.operators.joins import neighbour_pairs
 from terrachron.plans.components import components
+from terrachron.plans.tables import drop, written
 
 
 def weighted_mean(obs: DataFrame) -> DataFrame:
@@ -24,60 +23,81 @@ def weighted_mean(obs: DataFrame) -> DataFrame:
     return s.select("entity_id", F.when(real, F.degrees(F.atan2("z", flat))).alias("lat"), F.when(real, F.degrees(F.atan2("y", "x"))).alias("lon"), F.sqrt(1 / F.col("w")).alias("sigma_m"), "n")
 
 
-def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    a, b = np.radians(lat), np.radians(lon)
-    return np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+#: Observations of an entity in one block, when each is compared with all others.
+BLOCK = 512
 
 
-def _metres(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return 2 * geo.EARTH_M * np.arcsin(np.minimum(1.0, np.linalg.norm(p - q, axis=-1) / 2))
+def _apart(p: str, q: str) -> Column:
+    """Metres between unit vectors p(x, y, z) and q(x, y, z), from their chord."""
+    d = lambda k: F.col(p + k) - F.col(q + k)
+    return F.asin(F.least(F.lit(1.0), F.sqrt(d("x") * d("x") + d("y") * d("y") + d("z") * d("z")) / 2)) * (2 * geo.EARTH_M)
 
 
-def fused(points: pd.DataFrame, k_sigma: float = 3.0, rounds: int = 10) -> tuple[float, float, float, float, np.ndarray]:
-    """(lat, lon, sigma_m, confidence, outlier flags) of one entity's observations, in id order.
+def _medoids(own: DataFrame) -> DataFrame:
+    """entity_id, cx, cy, cz, sigma: of each entity's observations the one nearest to all, in deviations; the smallest id of several.
 
-    From the weighted medoid outwards: points farther than ``k_sigma`` combined
-    deviations are outliers, unless that would be half of all; then the weighted mean of the others,
-    until the outliers stay the same.
+    An entity's observations stand in blocks of about ``BLOCK``; every observation meets each
+    block once and adds up its distances there, so an entity with very many is spread over tasks.
     """
-    p = _unit(points["lat"].to_numpy(), points["lon"].to_numpy())
-    conf = points["confidence"].to_numpy(float)
-    var = np.maximum(points["uncertainty_m"].to_numpy(float), 1.0) ** 2 / np.maximum(conf, 1e-3)
-    n, out = len(p), np.zeros(len(points), bool)
-
-    def mean(keep: np.ndarray) -> tuple[np.ndarray, float]:
-        w = 1 / var[keep]
-        total = (p[keep] * w[:, None]).sum(axis=0)
-        if np.linalg.norm(total) <= w.sum() * 1e-12:
-            raise ValueError("the places cancel out")
-        return total / np.linalg.norm(total), float(np.sqrt(1 / w.sum()))
-
-    if n > 2:
-        cost = np.array([(_metres(p, c) / np.sqrt(var)).sum() for c in p])
-        best = int(np.argmin(cost))
-        centre, sigma = p[best], float(np.sqrt(var[best]))
-        for turn in range(rounds):
-            far = _metres(p, centre) > k_sigma * np.sqrt(var + sigma**2)
-            if 2 * far.sum() >= n:
-                far[:] = False
-            if turn and (far == out).all():
-                break
-            out = far
-            centre, sigma = mean(~out)
-    centre, sigma = mean(~out)
-    return float(np.degrees(np.arctan2(centre[2], np.hypot(centre[0], centre[1])))), float(np.degrees(np.arctan2(centre[1], centre[0]))), sigma, float(1 - np.prod(1 - conf[~out])), out
+    counts = own.groupBy("entity_id").agg(F.count("*").alias("n"))
+    own = own.join(counts, "entity_id")
+    block = F.pmod(F.xxhash64("observation_id"), F.floor(F.col("n") / BLOCK) + 1).alias("block")
+    packed = own.groupBy("entity_id", block).agg(F.collect_list(F.struct("x", "y", "z", "var")).alias("others"))
 
+    def add(total: Column, o: Column) -> Column:
+        d = [F.col(k) - o[k] for k in "xyz"]
+        return total + F.asin(F.least(F.lit(1.0), F.sqrt(sum((v * v for v in d[1:]), d[0] * d[0])) / 2)) * (2 * geo.EARTH_M) / F.sqrt(o["var"])
+
+    met = own.join(packed.drop("block"), "entity_id").select("entity_id", "observation_id", "x", "y", "z", "var", F.aggregate("others", F.lit(0.0), add).alias("cost"))
+    each = met.groupBy("entity_id", "observation_id").agg(*[F.first(c).alias(c) for c in ("x", "y", "z", "var")], F.sum("cost").alias("cost"))
+    best = each.groupBy("entity_id").agg(F.min_by(F.struct("x", "y", "z", "var"), F.struct(F.round("cost", 6), "observation_id")).alias("m"))
+    return best.select("entity_id", *[F.col(f"m.{k}").alias(f"c{k}") for k in "xyz"], F.sqrt("m.var").alias("sigma"))
+
+
+def _means(kept: DataFrame, *more: Column) -> DataFrame:
+    """entity_id, centre (null where places cancel out), sigma and ``more``: inverse-variance means."""
+    w = 1 / F.col("var")
+    s = kept.groupBy("entity_id").agg(*[F.sum(w * F.col(k)).alias(f"s{k}") for k in "xyz"], F.sum(w).alias("sw"), *more)
+    size = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") + F.col("sz") * F.col("sz"))
+    centre = [F.when(size > F.col("sw") * 1e-12, F.col(f"s{k}") / size).alias(f"c{k}") for k in "xyz"]
+    return s.select("entity_id", *centre, F.sqrt(1 / F.col("sw")).alias("sigma"), *[c for c in s.columns if c not in ("entity_id", "sx", "sy", "sz", "sw")])
 
-def fuse_locations(obs: DataFrame, k_sigma: float = 3.0, rounds: int = 10) -> DataFrame:
-    """entity_id, lat, lon, sigma_m, confidence, n, n_outliers. Give it a window of each entity: an entity's rows meet in one task."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("observation_id").reset_index(drop=True)
-        lat, lon, sigma, conf, out = fused(rows, k_sigma, rounds)
-        return pd.DataFrame([(rows["entity_id"][0], lat, lon, sigma, conf, len(rows), int(out.sum()))], columns=["entity_id", "lat", "lon", "sigma_m", "confidence", "n", "n_outliers"])
+def fusion(obs: DataFrame, k_sigma: float = 3.0, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(entity_id, lat, lon, sigma_m, confidence, n, n_outliers; entity_id, observation_id, outlier: a row per observation).
 
-    own = obs.select("entity_id", "observation_id", "lat", "lon", "confidence", "uncertainty_m")
-    return own.groupBy("entity_id").applyInPandas(one, "entity_id string, lat double, lon double, sigma_m double, confidence double, n long, n_outliers long")
+    From the weighted medoid outwards: observations farther than ``k_sigma`` combined
+    deviations are outliers, unless that would be half of all; then the weighted mean of
+    the others, until no flag changes. One or two observations have no outliers. Places
+    that cancel out give null coordinates. A round is two aggregations and two joins by entity; centres are a row per entity.
+    """
+    var = geo.variance_m2(F.col("uncertainty_m"), F.col("confidence"))
+    places = zip("xyz", geo.xyz(F.col("lat"), F.col("lon")), strict=True)
+    rows = written(obs.select("entity_id", "observation_id", *[v.alias(k) for k, v in places], var.alias("var"), "confidence", F.lit(False).alias("out")), "fusion-rows")
+    centres = written(_medoids(rows), "fusion-centres")
+    for turn in range(rounds):
+        far = _apart("", "c") > k_sigma * F.sqrt(F.col("var") + F.col("sigma") * F.col("sigma"))
+        seen = rows.join(centres, "entity_id", "left").withColumn("far", F.coalesce(far, F.lit(False)))
+        per = seen.groupBy("entity_id").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far"))
+        some = per.select("entity_id", ((F.col("n") > 2) & (2 * F.col("n_far") < F.col("n"))).alias("some"))
+        marked = written(seen.join(some, "entity_id").select(*rows.columns[:-1], (F.col("far") & F.col("some")).alias("out"), (F.col("out") != (F.col("far") & F.col("some"))).alias("moved")), "fusion-rows")
+        drop(rows)
+        drop(centres)
+        rows, moved = marked.drop("moved"), not marked.where("moved").isEmpty()
+        rows._terrachron_path = marked._terrachron_path
+        if turn and not moved:
+            break
+        centres = written(_means(rows.where(~F.col("out"))), "fusion-centres")
+    one = _means(rows.where(~F.col("out")), (1 - F.product(1 - F.col("confidence"))).alias("confidence"), F.count("*").alias("kept"))
+    n = rows.groupBy("entity_id").agg(F.count("*").alias("n"))
+    lat, lon = F.degrees(F.atan2("cz", F.sqrt(F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy")))), F.degrees(F.atan2("cy", "cx"))
+    fused = one.join(n, "entity_id").select("entity_id", lat.alias("lat"), lon.alias("lon"), F.col("sigma").alias("sigma_m"), "confidence", "n", (F.col("n") - F.col("kept")).alias("n_outliers"))
+    return fused, rows.select("entity_id", "observation_id", F.col("out").alias("outlier"))
+
+
+def fuse_locations(obs: DataFrame, k_sigma: float = 3.0, rounds: int = 10) -> DataFrame:
+    """The first of :func:`fusion`."""
+    return fusion(obs, k_sigma, rounds)[0]
 
 
 def associate(obs: DataFrame, radius_m: float, window: timedelta) -> DataFrame:
@@ -121,10 +141,13 @@ def grams(obs: DataFrame, n: int = 2) -> DataFrame:
 
 
 def sequence_similarity(obs: DataFrame, entities: list[str], n: int = 2) -> DataFrame:
-    """a, b, similarity: Jaccard of the runs of each pair among the asked entities."""
+    """a, b, similarity: Jaccard of the runs of each pair among the asked entities; 1 where neither has events, 0 where one has none."""
     g = grams(obs.where(F.col("entity_id").isin(entities)), n)
-    size = g.groupBy("entity_id").agg(F.count("*").alias("c"))
+    asked = obs.sparkSession.createDataFrame([(e,) for e in sorted(set(entities))], "entity_id string")
+    size = asked.join(g.groupBy("entity_id").agg(F.count("*").alias("c")), "entity_id", "left").select("entity_id", F.coalesce("c", F.lit(0)).alias("c"))
     both = g.select("gram", F.col("entity_id").alias("a")).join(g.select("gram", F.col("entity_id").alias("b")), "gram").where("a < b").groupBy("a", "b").agg(F.count("*").alias("i"))
+    # pairs of the entities asked for, not of the data
     pairs = size.select(F.col("entity_id").alias("a"), F.col("c").alias("ca")).join(size.select(F.col("entity_id").alias("b"), F.col("c").alias("cb")), F.col("a") < F.col("b"))
     i = F.coalesce("i", F.lit(0))
-    return pairs.join(both, ["a", "b"], "left").select("a", "b", (i / (F.col("ca") + F.col("cb") - i)).alias("similarity"))
+    union = F.col("ca") + F.col("cb") - i
+    return pairs.join(both, ["a", "b"], "left").select("a", "b", F.when(union > 0, i / union).otherwise(1.0).alias("similarity"))

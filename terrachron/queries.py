@@ -203,6 +203,16 @@ def precision_recall(obs):
     return out.select(_r("precision", 6), _r("recall", 6))
 
 
+@query("SELECT ts, observation_id, event_type FROM obs WHERE " + f"{_NEAR} AND {_WHEN}")
+def event_sequence(obs):
+    return search.event_sequence(obs, LAT, LON, R, START, END)
+
+
+@query("SELECT observation_id, entity_id FROM (SELECT *, row_number() OVER (ORDER BY ts, observation_id) - 1 k FROM obs) WHERE k % 30 = 0")
+def systematic_sample_of_all(obs):
+    return search.sample_every(obs, 30, None).select("observation_id", "entity_id")
+
+
 @query(
     f"SELECT o.entity_id, round(min({_hav('e.lat', 'e.lon', 'o.lat', 'o.lon')}), 3) distance_m FROM obs e JOIN obs o ON e.entity_id = 'user_7' AND o.entity_id <> 'user_7' AND e.ts BETWEEN TIMESTAMP '2024-01-13' AND TIMESTAMP '2024-01-17' AND abs(epoch_us(e.ts) - epoch_us(o.ts)) <= 172800000000 AND {_hav('e.lat', 'e.lon', 'o.lat', 'o.lon')} <= 1500 GROUP BY 1"
 )
@@ -260,7 +270,10 @@ def hour_of_week_grid(obs):
     return aggregate.hour_of_week(obs, 0.02, 50)
 
 
-_ZONES = ", b AS (SELECT min(lat) - CAST(0.00005 AS DOUBLE) y, min(lon) - CAST(0.00005 AS DOUBLE) x, max(lon) e FROM obs), zones AS (SELECT obs.*, CAST(floor((lat - y) / CAST(0.01 AS DOUBLE)) * (floor((e - x) / CAST(0.01 AS DOUBLE)) + 1) + floor((lon - x) / CAST(0.01 AS DOUBLE)) AS BIGINT) zone_id FROM obs, b)"
+_ZONES = """, c AS (SELECT floor(min(lat) / CAST(0.01 AS DOUBLE)) * CAST(0.01 AS DOUBLE) - CAST(0.00005 AS DOUBLE) y, floor(min(lon) / CAST(0.01 AS DOUBLE)) * CAST(0.01 AS DOUBLE) - CAST(0.00005 AS DOUBLE) x, max(lat) n, max(lon) e FROM obs),
+ b AS (SELECT y, x, CAST(ceil((e - x) / CAST(0.01 AS DOUBLE)) AS BIGINT) + 1 cols, CAST(ceil((n - y) / CAST(0.01 AS DOUBLE)) AS BIGINT) + 1 rows_ FROM c),
+ zones AS (SELECT obs.*, y, x, cols, rows_, CAST(floor((lat - y) / CAST(0.01 AS DOUBLE)) * cols + floor((lon - x) / CAST(0.01 AS DOUBLE)) AS BIGINT) zone_id FROM obs, b)"""
+_CORNER = "round(y + (zone_id // cols) * CAST(0.01 AS DOUBLE), 6) zlat, round(x + (zone_id % cols) * CAST(0.01 AS DOUBLE), 6) zlon"
 
 
 @query("SELECT zone_id, date_trunc('hour', ts) AS \"hour\", source_id, count(*) n FROM zones GROUP BY ALL", _ZONES)
@@ -268,14 +281,47 @@ def zone_hour_counts(obs):
     return aggregate.zone_hours(obs, 0.01)
 
 
-@query("SELECT zone_id, CAST(count(*) AS BIGINT) n FROM zones GROUP BY ALL", _ZONES)
+def _totals(obs: DataFrame) -> DataFrame:
+    return aggregate.zone_totals(obs, 0.01).select("zone_id", "n", _r("zlat", 6), _r("zlon", 6))
+
+
+@query(f"SELECT zone_id, CAST(count(*) AS BIGINT) n, {_CORNER} FROM zones GROUP BY ALL", _ZONES)
 def zone_totals(obs):
-    return aggregate.zone_hours(obs, 0.01).groupBy("zone_id").agg(F.sum("n").alias("n"))
+    return _totals(obs)
 
 
-@query("SELECT zone_id, CAST(count(*) AS BIGINT) n FROM zones GROUP BY ALL ORDER BY n DESC, zone_id LIMIT 10", _ZONES)
+@query(f"SELECT zone_id, CAST(count(*) AS BIGINT) n, {_CORNER} FROM zones GROUP BY ALL ORDER BY n DESC, zone_id LIMIT 10", _ZONES)
 def zone_top10(obs):
-    return aggregate.zone_hours(obs, 0.01).groupBy("zone_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "zone_id").limit(10)
+    return _totals(obs).orderBy(F.desc("n"), "zone_id").limit(10)
+
+
+@query("SELECT (SELECT count(*) FROM events) rows_in, count(*) valid, (SELECT count(*) FROM events) - count(*) invalid, CAST(count(*) AS BIGINT) joined, max(rows_ * cols) zones, count(DISTINCT concat(zone_id, '/', date_trunc('hour', ts), '/', source_id)) hourly_rows FROM zones", _ZONES.replace(", c AS", ", whole AS (SELECT * FROM obs WHERE event_id % 97 <> 0), c AS").replace("FROM obs)", "FROM whole)").replace("SELECT obs.*", "SELECT whole.*").replace("FROM obs, b", "FROM whole, b").replace("(SELECT * FROM whole", "(SELECT * FROM obs"))
+def zone_report(obs):
+    odd = F.substring_index("observation_id", "_", -1).cast("long") % 97 == 0
+    return aggregate.zone_report(obs.withColumn("lat", F.when(odd, F.lit(95.0)).otherwise(F.col("lat"))), 0.01)
+
+
+_WEEK = "SELECT CAST(floor(lat / CAST(0.02 AS DOUBLE)) AS BIGINT) cell_row, CAST(floor(lon / CAST(0.02 AS DOUBLE)) AS BIGINT) cell_col, CAST((isodow(ts) - 1) * 24 + hour(ts) AS INTEGER) hour_of_week FROM obs"
+
+
+@query(
+    "SELECT f.cell_row, f.cell_col, f.hour_of_week, CAST(round_even(count(o.hour_of_week) * 10 / CAST((SELECT n FROM weeks) AS DOUBLE), 0) AS BIGINT) \"value\", (SELECT n FROM weeks) AS weeks FROM frame f LEFT JOIN o ON o.cell_row = f.cell_row AND o.cell_col = f.cell_col AND o.hour_of_week = f.hour_of_week GROUP BY 1, 2, 3"
+    " UNION ALL SELECT -9999, -9999, h.hour_of_week, CAST(round_even(count(o.hour_of_week) / CAST((SELECT n FROM weeks) AS DOUBLE), 0) AS BIGINT), (SELECT n FROM weeks) FROM hours h LEFT JOIN o ON o.hour_of_week = h.hour_of_week GROUP BY 3",
+    f", o AS ({_WEEK}), weeks AS (SELECT count(*) n FROM (SELECT DISTINCT isoyear(ts), week(ts) FROM obs)), hours AS (SELECT CAST(unnest(range(168)) AS INTEGER) hour_of_week), frame AS (SELECT * FROM (SELECT cell_row, cell_col FROM o GROUP BY 1, 2 HAVING count(*) >= 50), hours)",
+)
+def typical_week(obs):
+    none = lambda c: F.coalesce(c, F.lit(-9999).cast("long")).alias(c)
+    return aggregate.typical_week(obs, 0.02, 50).select(none("cell_row"), none("cell_col"), "hour_of_week", "value", "weeks")
+
+
+@query("SELECT cell_row, cell_col, count(*) n, round(arg_min(lat, observation_id), 6) lat, round(arg_min(lon, observation_id), 6) lon FROM (SELECT *, CAST(round_even(lat / CAST(0.02 AS DOUBLE), 0) AS BIGINT) cell_row, CAST(round_even(lon / CAST(0.02 AS DOUBLE), 0) AS BIGINT) cell_col FROM obs) GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 8")
+def densest_cells(obs):
+    return aggregate.densest_cells(obs, 0.02, 8).select("cell_row", "cell_col", "n", _r("lat", 6), _r("lon", 6))
+
+
+@query("SELECT cell_row, cell_col, entity_id, observation_id FROM cells WHERE event_type = 'error' QUALIFY count(*) OVER (PARTITION BY cell_row, cell_col) >= 2", _CELLS)
+def hotspot_evidence(obs):
+    return aggregate.hotspot_evidence(obs, "error", 500.0, 2)
 
 
 @query("SELECT event_type, max(CASE WHEN r = least(n - 1, floor(n * 0.5)) THEN uncertainty_m END) p50, max(CASE WHEN r = least(n - 1, floor(n * 0.95)) THEN uncertainty_m END) p95, max(CASE WHEN r = least(n - 1, floor(n * 0.99)) THEN uncertainty_m END) p99 FROM (SELECT event_type, uncertainty_m, row_number() OVER (PARTITION BY event_type ORDER BY uncertainty_m) - 1 r, count(*) OVER (PARTITION BY event_type) n FROM obs) GROUP BY 1")
@@ -352,6 +398,18 @@ def shortest_paths(obs):
     return graph.distances(graph.edges(graph.observed_by(obs).union(graph.near(obs, **_WIDE))), "user_7", 6)
 
 
+_BOTH = f", both_ AS (SELECT src, dst FROM ({_BY} UNION ALL {_NEARS}) UNION SELECT dst, src FROM ({_BY} UNION ALL {_NEARS}))"
+
+
+@query(
+    "SELECT depth step, node FROM back",
+    _PAIRS.replace(", near", ", RECURSIVE near") + _BOTH + ", walk AS (SELECT 'user_7' node, 0 depth UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN both_ b ON b.src = w.node WHERE w.depth < 6), d AS (SELECT node, min(depth) depth FROM walk GROUP BY 1),"
+    " via AS (SELECT a.node, a.depth, min(p.node) via FROM d a JOIN both_ b ON b.dst = a.node JOIN d p ON p.node = b.src AND p.depth = a.depth - 1 GROUP BY 1, 2), back AS (SELECT node, depth, via FROM via WHERE node = 'user_3' UNION ALL SELECT d.node, d.depth, via.via FROM back JOIN d ON d.node = back.via LEFT JOIN via ON via.node = d.node)",
+)
+def shortest_path(obs):
+    return graph.path(graph.edges(graph.observed_by(obs).union(graph.near(obs, **_WIDE))), "user_7", "user_3")
+
+
 @query(
     "SELECT a observation_id, min(b) event FROM reach GROUP BY 1",
     _PAIRS.replace(", near", ", RECURSIVE near") + ", both_ AS (SELECT a_id a, b_id b FROM near UNION SELECT b_id, a_id FROM near), reach AS (SELECT observation_id a, observation_id b FROM obs UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON e.a = r.b)",
@@ -372,7 +430,12 @@ def weighted_mean_location(obs):
 
 @query()
 def fused_location(obs):
-    return trust.fuse_locations(search.between(obs, START, END))
+    return trust.fuse_locations(obs)
+
+
+@query()
+def fused_evidence(obs):
+    return trust.fusion(obs)[1]
 
 
 _LEVEL = "CASE event_type " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SEVERITY[1:])) + " END"
@@ -410,7 +473,13 @@ _QS = "q AS (SELECT event_id qi, lat, lon, CAST(200 + event_id % 800 AS DOUBLE)
 def batch_radius_counts(obs):
     qi = F.substring_index("observation_id", "_", -1).cast("long")
     asked = obs.select(qi.alias("qi"), "lat", "lon", (200 + qi % 800).cast("double").alias("radius_m")).where("qi % 50 = 0")
-    return joins.batch_radius(obs, asked, 1000.0)
+    return joins.batch_radius(obs, asked)
+
+
+@query(f"SELECT q.qi, o.observation_id FROM q JOIN obs o ON {_hav('q.lat', 'q.lon', 'o.lat', 'o.lon')} <= q.radius_m", f", {_QS}")
+def batch_radius_ids(obs):
+    qi = F.substring_index("observation_id", "_", -1).cast("long")
+    return joins.batch_radius_ids(obs, obs.select(qi.alias("qi"), "lat", "lon", (200 + qi % 800).cast("double").alias("radius_m")).where("qi % 50 = 0"))
 
 
 @query("SELECT 2 * CAST(lat >= 40.7 AS INTEGER) + CAST(lon >= -73.95 AS INTEGER) AS pid, count(*) n FROM obs GROUP BY 1".replace("40.7", _d(40.7)).replace("-73.95", f"({_d(-73.95)})").replace("SELECT 2 * CAST(", "SELECT CAST(2 * CAST(", 1).replace(" AS pid", " AS BIGINT) pid", 1))
@@ -418,7 +487,18 @@ def partition_sizes_kd(obs):
     return layout.partition_sizes(obs, layout.kd_partition(TREE), 4)
 
 
-@query()
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, by the table that follows from the polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    step = f"xor(acc >> 8, {table}[CAST(xor(acc & 255, b) AS INTEGER) + 1])"
+    return f"xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda acc, b: {step}))"
+
+
+@query(f"SELECT p.pid, count(o.pid) n FROM (SELECT unnest(range(16)) pid) p LEFT JOIN (SELECT CAST({_crc32_sql('cell')} % 16 AS BIGINT) pid FROM (SELECT concat(CAST(floor((lat + 90) / {_d(0.05)}) AS BIGINT), ':', CAST(floor((lon + 180) / {_d(0.05)}) AS BIGINT)) cell FROM obs)) o ON o.pid = p.pid GROUP BY 1")
 def partition_sizes_grid(obs):
     return layout.partition_sizes(obs, layout.grid_partition(0.05, 16), 16)
 
@@ -470,11 +550,28 @@ def out_of_order(obs):
     return late.select("observation_id")
 
 
-@query()
+def _geohash_sql(letters: int) -> str:
+    """Geohash of lat and lon: the bits of both cell numbers in turn, five to a letter."""
+    bits = 5 * letters
+    n = {"lon": (bits + 1) // 2, "lat": bits // 2}
+    low = {"lon": 180, "lat": 90}
+    cell = {c: f"CAST(least(floor(({c} + {low[c]}) / {_d(2.0 * low[c])} * {_d(float(1 << n[c]))}), {(1 << n[c]) - 1}) AS BIGINT)" for c in n}
+    bit = lambda k: f"(({cell['lat' if k % 2 else 'lon']} >> {n['lat' if k % 2 else 'lon'] - 1 - k // 2}) & 1)"
+    return "concat(" + ", ".join(f"substr('{geo.GEOHASH}', CAST({' + '.join(f'{bit(5 * c + i)} * {1 << 4 - i}' for i in range(5))} AS INTEGER) + 1, 1)" for c in range(letters)) + ")"
+
+
+@query(f"SELECT {_geohash_sql(6)} cell, count(*) n FROM obs GROUP BY 1")
 def geohash_cells(obs):
     return obs.groupBy(geo.geohash(F.col("lat"), F.col("lon"), 6).alias("cell")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT observation_id, event_type, min(entity_id) entity_id FROM (SELECT CASE WHEN event_id % 4 = 0 THEN concat('obs_', CAST(event_id + 1 AS VARCHAR)) ELSE observation_id END observation_id, CASE WHEN event_id % 4 = 0 AND event_id + 1 < (SELECT count(*) FROM events) THEN NULL ELSE event_type END event_type, CASE WHEN event_id % 4 = 0 AND event_id + 1 < (SELECT count(*) FROM events) THEN NULL ELSE entity_id END entity_id FROM obs) WHERE event_type IS NOT NULL GROUP BY 1, 2")
+def assembled(obs):
+    k = F.substring_index("observation_id", "_", -1).cast("long")
+    again = obs.where(k % 4 == 0).withColumn("observation_id", F.concat(F.lit("obs_"), (k + 1).cast("string")))
+    return observations.assembled([obs.where(k % 4 != 0), again]).select("observation_id", "event_type", "entity_id")
+
+
 @query("SELECT observation_id, ts, lat, lon FROM obs")
 def delta_round_trip(obs):
     return observations.delta_unpacked(observations.delta_packed(obs)).select("observation_id", "ts", "lat", "lon")

@@ -39,12 +39,12 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_pickups(spark: SparkSession, path: str, name: str = "uber") -> DataFrame:
-    """CSV of ``Date/Time`` (New York local, M/d/yyyy H:mm:ss), Lat, Lon, Base. Ids follow from the row's content and its copy number."""
+    """CSV of ``Date/Time`` (New York local, M/d/yyyy H:mm:ss), Lat, Lon, Base. Ids follow from the row's content and its copy number; what can't be read is null."""
     raw = spark.read.csv(path, header=True, schema="when string, lat double, lon double, base string")
     copy = F.row_number().over(Window.partitionBy("when", "lat", "lon", "base").orderBy("base"))
     raw = raw.withColumn("copy", copy)
     ident = F.sha1(F.to_json(F.struct("when", "lat", "lon", "base", "copy")))
-    ts = F.to_utc_timestamp(F.to_timestamp("when", "M/d/yyyy H:mm:ss"), "America/New_York")
+    ts = F.to_utc_timestamp(F.try_to_timestamp("when", F.lit("M/d/yyyy H:mm:ss")), "America/New_York")
     return complete(raw.select(F.concat(F.lit(f"{name}_"), ident).alias("observation_id"), F.concat(F.lit("trip_"), ident).alias("entity_id"), F.lit("pickup").alias("event_type"), "lat", "lon", ts.alias("ts"), F.col("base").alias("source_id"), F.lit(11.0).alias("uncertainty_m")))
 
 
@@ -59,33 +59,54 @@ def read_quakes(spark: SparkSession, path: str) -> DataFrame:
 LOADERS = {"pickups": read_pickups, "quakes": read_quakes, "events": from_events}
 
 
-def synthetic(spark: SparkSession, n: int, seed: int = 0, hot: float = 0.5, days: int = 365) -> DataFrame:
-    """``n`` observations: a share ``hot`` around five centres, the rest uniform on the sphere."""
-    r = lambda k: F.rand(seed + k)
-    events = F.array(*map(F.lit, ("ping", "move", "detect", "failure", "inspection", "change")))
-    centres = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ((40.7, -74.0), (51.5, -0.1), (35.7, 139.7), (-33.9, 151.2), (11.0, 76.0))])
-    df = spark.range(n).withColumn("c", F.get(centres, F.floor(r(1) * 5).cast("int"))).withColumn("near", r(2) < hot)
-    df = df.select(
-        F.concat(F.lit("syn_"), F.col("id").cast("string")).alias("observation_id"), F.concat(F.lit("e"), F.floor(r(3) * (n // 20 + 1)).cast("string")).alias("entity_id"),
-        F.get(events, F.floor(r(4) * 6).cast("int")).alias("event_type"),
-        F.when(F.col("near"), F.col("c.lat") + F.randn(seed + 5) * 0.05).otherwise(F.degrees(F.asin(r(6) * 2 - 1))).alias("lat"),
-        F.when(F.col("near"), F.col("c.lon") + F.randn(seed + 7) * 0.05).otherwise(r(8) * 360 - 180).alias("lon"),
-        F.timestamp_seconds(F.lit(1704067200) + F.floor(r(9) * days * 86400)).alias("ts"), F.concat(F.lit("s"), F.floor(r(10) * 50).cast("string")).alias("source_id"),
-        (r(11) * 0.5 + 0.5).alias("confidence"), F.get(F.array(F.lit(1.0), F.lit(5.0), F.lit(25.0)), F.floor(r(12) * 3).cast("int")).alias("uncertainty_m"),
-    )
-    return complete(df)
+def assembled(parts: list[DataFrame]) -> DataFrame:
+    """One table of several: of rows with the same observation_id the one of the earliest part stays, by its time and entity."""
+    out = None
+    for number, part in enumerate(parts):
+        own = complete(part).withColumn("_part", F.lit(number))
+        out = own if out is None else out.unionByName(own)
+    columns = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    whole = F.min_by(F.struct(*columns), F.struct("_part", "ts", "entity_id", "lat", "lon", "event_type", "source_id"))
+    return out.groupBy("observation_id").agg(whole.alias("_o")).select("_o.*")
+
+
+def synthetic(spark: SparkSession, n: int, seed: int = 0, towns: int = 40, spread_deg: float = 0.03) -> DataFrame:
+    """``n`` made observations for benches and tests; the same seed gives the same rows.
+
+    Entities live in one of ``towns`` places, drawn evenly from the sphere; town k
+    has a share of about 1/k of them, so there is skew. An entity's rows lie around its town, one a quarter of an hour
+    over and over; every tenth observation derives from the row before it.
+    """
+    draw = lambda k, *of: F.pmod(F.xxhash64(*of, F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+    crew = max(1, n // 64)
+    df = spark.range(n).withColumn("crew", F.floor(draw(1, "id") * crew)).withColumn("town", F.floor(F.pow(F.lit(float(towns)), draw(2, "crew"))))
+    bell = lambda k: (draw(k, "id") + draw(k + 1, "id") + draw(k + 2, "id") - 1.5) * (2 * spread_deg)
+    kinds = F.array(*map(F.lit, ("arrive", "depart", "measure", "repair", "alarm")))
+    lat, lon = F.degrees(F.asin(draw(3, "town") * 2 - 1)) + bell(5), draw(4, "town") * 360 - 180 + bell(8)
+    return complete(df.select(
+        F.concat(F.lit("made_"), F.col("id").cast("string")).alias("observation_id"), F.concat(F.lit("unit_"), F.col("crew").cast("string")).alias("entity_id"), F.get(kinds, F.floor(draw(11, "id") * 5).cast("int")).alias("event_type"),
+        F.greatest(F.least(lat, F.lit(90.0)), F.lit(-90.0)).alias("lat"), (F.pmod(lon + 180.0, F.lit(360.0)) - 180.0).alias("lon"),
+        F.timestamp_seconds(F.lit(1_735_689_600) + F.pmod("id", F.lit(90 * 96)) * 900).alias("ts"), F.concat(F.lit("probe_"), F.floor(draw(12, "crew") * 12).cast("string")).alias("source_id"),
+        F.round(1 - draw(13, "id") * draw(14, "id"), 2).alias("confidence"), (F.floor(draw(15, "id") * 20) + 2).cast("double").alias("uncertainty_m"),
+        F.when((F.col("id") % 10 == 9), F.concat(F.lit("made_"), (F.col("id") - 1).cast("string"))).alias("parent_observation"),
+    ))
+
+
+#: Parts of a day that are packed on their own.
+PARTS = 16
 
 
 def delta_packed(obs: DataFrame) -> DataFrame:
-    """Per day: observations in time order as differences of seconds and of 1e-5 degrees; sums inside a day give them back (:func:`delta_unpacked`)."""
-    w = Window.partitionBy("day").orderBy("ts", "observation_id")
-    own = obs.select(F.to_date("ts").alias("day"), "ts", "observation_id", F.unix_micros("ts").alias("us"), F.bround(F.col("lat") * 100000).cast("long").alias("y"), F.bround(F.col("lon") * 100000).cast("long").alias("x"))
+    """Observations in time order as differences of microseconds and of 1e-5 degrees, each part of a day on its own; sums inside a part give them back (:func:`delta_unpacked`)."""
+    w = Window.partitionBy("day", "part").orderBy("ts", "observation_id")
+    part = F.floor((F.unix_micros("ts") - F.unix_micros(F.to_date("ts").cast("timestamp"))) / F.lit(86_400_000_000 // PARTS))
+    own = obs.select(F.to_date("ts").alias("day"), part.alias("part"), "ts", "observation_id", F.unix_micros("ts").alias("us"), F.bround(F.col("lat") * 100000).cast("long").alias("y"), F.bround(F.col("lon") * 100000).cast("long").alias("x"))
     step = lambda c: (F.col(c) - F.lag(c, 1, 0).over(w)).alias(f"d_{c}")
-    return own.select("day", F.row_number().over(w).alias("row"), "observation_id", step("us"), step("y"), step("x"))
+    return own.select("day", "part", F.row_number().over(w).alias("row"), "observation_id", step("us"), step("y"), step("x"))
 
 
 def delta_unpacked(packed: DataFrame) -> DataFrame:
-    w = Window.partitionBy("day").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("day", "part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     total = lambda c: F.sum(f"d_{c}").over(w)
     return packed.select("observation_id", F.timestamp_micros(total("us")).alias("ts"), (total("y") / 100000.0).alias("lat"), (total("x") / 100000.0).alias("lon"))
 

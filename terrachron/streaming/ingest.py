@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from terrachron.sources.observations import complete
 
 _RAW = "observation_id string, entity_id string, event_type string, lat string, lon string, timestamp string, source_id string, confidence string, uncertainty_m string, duration_s string, attributes string, inputs array<string>, processing_model string, parent_observation string"
+_OPTIONAL = ("confidence", "uncertainty_m", "duration_s", "attributes", "inputs")
+
+
+def _stage(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns through a generator, below which no filter or projection is pushed: each is evaluated once a row."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
 def normalised(raw: DataFrame) -> DataFrame:
@@ -16,12 +24,18 @@ def normalised(raw: DataFrame) -> DataFrame:
 
     Numbers may be strings; a timestamp is epoch seconds or ISO with an offset or Z.
     Defaults hold only where a key is absent; an explicit null is invalid. A record without an
-    id gets a hash of what it says. Never fails on input, whatever it holds.
+    id gets a hash of what it says. Never fails on input, whatever it holds. A line is
+    parsed once; whether it is JSON at all and which keys it has is asked again only where that can matter.
     """
-    j = F.from_json("value", _RAW, {"mode": "PERMISSIVE"})
-    keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
-    # a generator keeps its parsed record in one place: no filter is pushed below it, so each line is parsed once
-    d = raw.select("*", F.inline(F.array(F.struct(j.alias("_j"), keys.alias("_keys"), F.try_parse_json("value").isNotNull().alias("_json")))))
+    v = F.col("value")
+    told = lambda k: (F.instr(v, f'"{k}"') > 0) | (F.instr(v, "\\") > 0)
+    any_told = told(_OPTIONAL[0])
+    for k in _OPTIONAL[1:]:
+        any_told = any_told | (F.instr(v, f'"{k}"') > 0)
+    d = _stage(
+        raw, _j=F.from_json("value", _RAW + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}),
+        _keys=F.when(any_told, F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")), _object=F.coalesce(F.trim("value").startswith("{"), F.lit(False)),
+    )
     has = lambda k: F.array_contains("_keys", k)
     num = lambda k: F.col(f"_j.{k}").try_cast("double")
     real = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
@@ -30,25 +44,27 @@ def normalised(raw: DataFrame) -> DataFrame:
     epoch = t.rlike(r"^-?\d{1,11}(\.\d+)?$")
     ts = F.when(iso, F.try_to_timestamp(F.regexp_replace(t, r"([+-]\d\d)(\d\d)$", "$1:$2"))).when(epoch, F.timestamp_micros(F.round(t.try_cast("double") * 1e6).cast("long")))
     optional = lambda k, default: F.when(has(k), num(k)).otherwise(F.lit(default))
-    conf, unc, dur = optional("confidence", 1.0), optional("uncertainty_m", 0.0), optional("duration_s", 0.0)
+    clean = F.col("_object") & F.col("_j").isNotNull() & F.col("_j._bad").isNull()
+    d = _stage(d, _json=F.when(clean, True).otherwise(F.try_parse_json("value").isNotNull()), _lat=num("lat"), _lon=num("lon"), _ts=ts, _conf=optional("confidence", 1.0), _unc=optional("uncertainty_m", 0.0), _dur=optional("duration_s", 0.0))
     bad = lambda c: F.coalesce(~c, F.lit(True))
     empty = lambda k: F.coalesce(F.col(f"_j.{k}") == "", F.lit(True))
-    is_object = F.coalesce(F.col("_json") & F.trim("value").startswith("{"), F.lit(False))
+    c = F.col
     reason = (
-        F.when(~F.col("_json"), "not JSON").when(~is_object, "record is not an object")
-        .when(bad(real(num("lat")) & real(num("lon"))), "bad coordinates: missing or not a number").when(bad(num("lat").between(-90, 90) & num("lon").between(-180, 180)), "bad coordinates: out of range")
-        .when(ts.isNull(), "bad timestamp: missing, unreadable or without time zone")
+        F.when(~c("_json"), "not JSON").when(~c("_object"), "record is not an object")
+        .when(bad(real(c("_lat")) & real(c("_lon"))), "bad coordinates: missing or not a number").when(bad(c("_lat").between(-90, 90) & c("_lon").between(-180, 180)), "bad coordinates: out of range")
+        .when(c("_ts").isNull(), "bad timestamp: missing, unreadable or without time zone")
         .when(empty("entity_id") | empty("event_type") | empty("source_id"), "missing entity_id, event_type or source_id")
-        .when(bad(real(conf) & conf.between(0, 1)), "bad confidence").when(bad(real(unc) & (unc >= 0)), "bad uncertainty_m").when(bad(real(dur) & (dur >= 0)), "bad duration_s")
+        .when(bad(real(c("_conf")) & c("_conf").between(0, 1)), "bad confidence").when(bad(real(c("_unc")) & (c("_unc") >= 0)), "bad uncertainty_m").when(bad(real(c("_dur")) & (c("_dur") >= 0)), "bad duration_s")
         .when(has("attributes") & bad(F.col("_j.attributes").startswith("{")), "attributes is not an object").when(has("inputs") & F.col("_j.inputs").isNull(), "inputs is not a list")
     )
-    said = F.sha1(F.to_json(F.array(F.col("_j.entity_id"), F.col("_j.event_type"), num("lat").cast("string"), num("lon").cast("string"), F.unix_micros(ts).cast("string"), F.col("_j.source_id"))))
+    said = F.sha1(F.to_json(F.array(F.col("_j.entity_id"), F.col("_j.event_type"), c("_lat").cast("string"), c("_lon").cast("string"), F.unix_micros("_ts").cast("string"), F.col("_j.source_id"))))
     ident = F.when(empty("observation_id"), said).otherwise(F.col("_j.observation_id"))
+    d = _stage(d, _reason=reason, _id=ident)
     own = {
-        "observation_id": ident, "entity_id": F.col("_j.entity_id"), "event_type": F.col("_j.event_type"), "lat": num("lat"), "lon": num("lon"), "ts": ts, "duration_s": dur, "source_id": F.col("_j.source_id"), "processing_model": F.col("_j.processing_model"),
-        "inputs": F.coalesce(F.col("_j.inputs"), F.array().cast("array<string>")), "confidence": conf, "uncertainty_m": unc, "attributes": F.coalesce("_j.attributes", F.lit("{}")), "parent_observation": F.col("_j.parent_observation"),
+        "observation_id": c("_id"), "entity_id": F.col("_j.entity_id"), "event_type": F.col("_j.event_type"), "lat": c("_lat"), "lon": c("_lon"), "ts": c("_ts"), "duration_s": c("_dur"), "source_id": F.col("_j.source_id"), "processing_model": F.col("_j.processing_model"),
+        "inputs": F.coalesce(F.col("_j.inputs"), F.array().cast("array<string>")), "confidence": c("_conf"), "uncertainty_m": c("_unc"), "attributes": F.coalesce("_j.attributes", F.lit("{}")), "parent_observation": F.col("_j.parent_observation"),
     }
-    return d.select(*raw.columns, reason.alias("reason"), *[v.alias(k) for k, v in own.items()])
+    return d.select(*raw.columns, c("_reason").alias("reason"), *[e.alias(k) for k, e in own.items()])
 
 
 def first_writes(batch: DataFrame, order: Column) -> DataFrame:
@@ -68,32 +84,60 @@ def out_of_order(obs: DataFrame, arrival: str) -> DataFrame:
     return obs.withColumn("_seen", seen).where(F.col("ts") < F.col("_seen")).drop("_seen")
 
 
-def ingest(spark: SparkSession, source: str, table: str, dead: str, checkpoint: str, files_per_batch: int = 10, fail_after_write=None) -> StreamingQuery:
+def _late(fresh: DataFrame, metrics: str, number: int) -> None:
+    """Writes the batch's count of rows that are earlier than their entity's latest of the batches before, and the latest times after it."""
+    spark = fresh.sparkSession
+    seen = spark.read.schema("entity_id string, latest timestamp").parquet(f"{metrics}/latest/{number - 1}") if number else spark.createDataFrame([], "entity_id string, latest timestamp")
+    own = fresh.groupBy("entity_id").agg(F.max("ts").alias("latest"))
+    late = fresh.join(seen, "entity_id").where(F.col("ts") < F.col("latest"))
+    late.agg(F.lit(number).alias("batch"), F.count("*").alias("out_of_order")).write.mode("overwrite").parquet(f"{metrics}/late/{number}")
+    seen.unionByName(own).groupBy("entity_id").agg(F.max("latest").alias("latest")).write.mode("overwrite").parquet(f"{metrics}/latest/{number}")
+
+
+def ingest(spark: SparkSession, source: str, table: str, dead: str, checkpoint: str, files_per_batch: int = 10, fail_after_write: Callable[[int], None] | None = None, metrics: str | None = None) -> StreamingQuery:
     """Starts a stream over a folder of text files with a JSON record a line; it ends when all is read.
 
-    Each micro-batch appends new observations and writes dead letters under its batch
-    id. A batch that is replayed after a crash finds its rows in the table and
-    overwrites its dead letters, so every record counts once. One writer at a time.
+    Which ids are stored is the stream's own state, kept with its checkpoint: a
+    batch looks up its own ids and never reads the table. Each batch writes new
+    observations and dead letters under its batch id; a batch that is replayed after a
+    crash meets the state that it met before and overwrites what it wrote, so every
+    record counts once. Of records with one id in one batch any may be stored. One writer at a time.
+
+    ``metrics``: a folder for the counts of rows that come out of order, and the latest time
+    of each entity after each batch. :func:`stream_metrics` adds up what a finished query did.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source)
+    valid = F.col("reason").isNull()
+    checked = normalised(lines).observe("read", F.count(F.lit(1)).alias("processed"), F.count_if(valid).alias("valid"))
+    # dead letters pass the state, each with a key of its own
+    once = checked.withColumn("_key", F.when(valid, F.col("observation_id")).otherwise(F.concat(F.lit("dead:"), F.uuid()))).dropDuplicates(["_key"]).observe("kept", F.count_if(valid).alias("stored"), F.count_if(~valid).alias("dead_lettered"))
 
     def one(batch: DataFrame, number: int) -> None:
-        rows = normalised(batch).persist()
+        rows = batch.persist()
         try:
-            rows.where("reason IS NOT NULL").select("value", "reason").write.mode("overwrite").parquet(f"{dead}/batch={number}")
-            fresh = first_writes(complete(rows.where("reason IS NULL")).withColumn("ingested_at", F.current_timestamp()), F.struct("ts", "entity_id", "lat", "lon"))
-            try:
-                fresh = absent(fresh, batch.sparkSession.read.parquet(table))
-            except Exception as e:  # the table has no files yet
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-            fresh.write.mode("append").parquet(table)
+            rows.where(~valid).select("value", "reason").write.mode("overwrite").parquet(f"{dead}/batch={number}")
+            fresh = complete(rows.where(valid)).withColumn("ingested_at", F.current_timestamp())
+            fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
+            if metrics:
+                _late(fresh, metrics, number)
         finally:
             rows.unpersist()
         if fail_after_write:
             fail_after_write(number)
 
-    return lines.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_metrics(query: StreamingQuery, metrics: str | None = None) -> dict[str, float]:
+    """What the query's last batches did (``spark.sql.streaming.numRecentProgressUpdates`` of them): processed, stored, duplicates, dead_lettered, out_of_order, and nearest-rank p50 and p95 of seconds a batch."""
+    told = [p for p in query.recentProgress if p["numInputRows"]]
+    total = lambda part, key: sum((p["observedMetrics"].get(part) or {key: 0})[key] for p in told)
+    took = sorted(p["durationMs"]["triggerExecution"] / 1000 for p in told)
+    rank = lambda q: took[min(len(took) - 1, int(q * len(took)))] if took else 0.0
+    stored, late = total("kept", "stored"), 0
+    if metrics:
+        late = SparkSession.active().read.schema("batch int, out_of_order long").parquet(f"{metrics}/late/*").agg(F.coalesce(F.sum("out_of_order"), F.lit(0))).first()[0]
+    return {"processed": total("read", "processed"), "stored": stored, "duplicates": total("read", "valid") - stored, "dead_lettered": total("kept", "dead_lettered"), "out_of_order": late, "p50_s": rank(0.5), "p95_s": rank(0.95)}
 
 
 def windowed_activity(stream: DataFrame, minutes: int, late_minutes: int) -> DataFrame:

@@ -17,7 +17,7 @@ from terrachron.operators import aggregate, graph, joins, layout, search, trust
 from terrachron.plans.components import components
 from terrachron.sources import observations
 from terrachron.streaming import ingest
-from terrachron.tools import Tools
+from terrachron.tools import ARGUMENTS, ToolError, Tools, checked
 
 SF = "/root/testdata/sf0.001"
 T0 = datetime(2026, 10, 4, 9)
@@ -81,7 +81,7 @@ def test_lineage_cycle_and_missing_parent(spark):
 
 
 def test_lineage_of_a_long_chain_and_a_tail_into_a_cycle(spark):
-    n = 1100
+    n = 1500
     parents = [None, *(f"o{i:04d}" for i in range(n - 1)), f"o{n + 3:04d}", f"o{n:04d}", f"o{n + 1:04d}", f"o{n + 2:04d}", f"o{n + 1:04d}"]
     obs = world(spark, [("e", "p", 0, 0, i, "s", 1.0, 1.0, p) for i, p in enumerate(parents)])
     of = lambda i: {(r.observation_id, r.depth) for r in search.lineage(obs, obs.where(F.col("observation_id") == f"o{i:04d}")).collect()}
@@ -89,26 +89,71 @@ def test_lineage_of_a_long_chain_and_a_tail_into_a_cycle(spark):
     assert of(n + 4) == {(f"o{i:04d}", d) for d, i in enumerate([n + 4, n + 1, n, n + 3, n + 2])}
 
 
-def test_circles_near_a_pole_and_wider_than_named(spark):
-    rng = random.Random(6)
-    rows = [(f"e{i % 9}", "p", rng.choice([1, -1]) * rng.uniform(87.9, 88.1), rng.uniform(-2, 2), i % 3) for i in range(300)] + [("e0", "p", 89.97, 10 * i, 0) for i in range(36)]
-    obs = world(spark, rows)
-    asked = [(i, rows[7 * i][2], rows[7 * i][3], r) for i, r in enumerate([900.0, 1000.0, 5000.0, 20_000.0] * 10)]
-    got = {r.qi: r.n for r in joins.batch_radius(obs, spark.createDataFrame(asked, "qi long, lat double, lon double, radius_m double"), 1000.0).collect()}
-    assert got == {i: sum(hav(a, b, x[2], x[3]) <= r for x in rows) for i, a, b, r in asked}
-    polar = [("own", "p", 89.99, 10 * i, 0) for i in range(36)] + [(f"e{i}", "p", 89.96 + i / 1000, (37 * i) % 360 - 180, 0) for i in range(39)]
-    near = {r.entity_id for r in joins.nearby_entities(world(spark, polar), "own", T0, 1500.0, timedelta(minutes=1)).collect()}
-    assert near == {o[0] for o in polar[36:] if any(hav(e[2], e[3], o[2], o[3]) <= 1500 for e in polar[:36])}
+PLACES = [(0.0, 10.0), (60.0, 180.0), (85.0, -180.0), (-89.99, 0.0), (89.99, 0.0), (0.0, 180.0), (40.7, -74.0)]
+
 
+def around(rng, centre, n, spread_m=90.0):
+    """n places about a centre, by bearing and distance, so that there are as many near a pole as elsewhere."""
+    out = []
+    for _ in range(n):
+        d, b = spread_m * math.sqrt(rng.random()) / geo.EARTH_M, rng.uniform(0, 2 * math.pi)
+        la, lo = math.radians(centre[0]), math.radians(centre[1])
+        y = math.asin(math.sin(la) * math.cos(d) + math.cos(la) * math.sin(d) * math.cos(b))
+        x = lo + math.atan2(math.sin(b) * math.sin(d) * math.cos(la), math.cos(d) - math.sin(la) * math.sin(y))
+        out.append((math.degrees(y), (math.degrees(x) + 180) % 360 - 180))
+    return out
 
-@pytest.mark.parametrize("centre", [(40.7, -74.0), (0.0, 180.0), (89.99, 0.0)])
-def test_neighbours_equal_brute_force(spark, centre):
+
+@pytest.fixture(scope="module")
+def everywhere(spark):
+    """Groups at several latitudes in one table, with the poles and both sides of the antimeridian."""
     rng = random.Random(2)
-    rows = [(f"e{rng.randrange(12)}", "p", min(90.0, centre[0] + rng.gauss(0, 0.002)), (centre[1] + rng.gauss(0, 0.002) + 180) % 360 - 180, rng.uniform(0, 60)) for _ in range(250)]
-    obs = world(spark, rows)
-    own = [(r.observation_id, r.entity_id, r.lat, r.lon, r.ts) for r in obs.collect()]
-    want = {(a[0], b[0]) for a in own for b in own if a[0] < b[0] and a[1] != b[1] and abs(a[4] - b[4]) <= timedelta(minutes=3) and hav(a[2], a[3], b[2], b[3]) <= 60}
-    assert {(r.a_id, r.b_id) for r in joins.neighbour_pairs(obs, 60.0, timedelta(minutes=3)).collect()} == want and want
+    rows = [(f"e{rng.randrange(12)}", "p", a, b, rng.uniform(0, 60)) for c in PLACES for a, b in around(rng, c, 120)]
+    rows += [("e1", "p", 90, 0, 1), ("e2", "p", 90, 77, 2), ("e3", "p", -90, 5, 1), ("e4", "p", 0, 180, 3), ("e5", "p", 0, -180, 3)]
+    obs = world(spark, rows).persist()
+    return obs, [(r.observation_id, r.entity_id, r.lat, r.lon, r.ts) for r in obs.collect()]
+
+
+@pytest.mark.parametrize("radius_m", [0.0, 60.0, 3000.0])
+def test_neighbours_equal_brute_force_at_every_latitude(everywhere, radius_m):
+    obs, own = everywhere
+    got = [(r.a_id, r.b_id, r.a_entity, r.b_ts) for r in joins.neighbour_pairs(obs, radius_m, timedelta(minutes=3)).collect()]
+    want = [(a[0], b[0], a[1], b[4]) for a in own for b in own if a[0] < b[0] and a[1] != b[1] and abs(a[4] - b[4]) <= timedelta(minutes=3) and hav(a[2], a[3], b[2], b[3]) <= radius_m]
+    assert sorted(got) == sorted(want) and (want or not radius_m)
+
+
+def test_one_polar_row_does_not_widen_other_cells(spark):
+    cells = lambda rows: world(spark, rows).select(*[c.alias(n) for n, c in zip("rc", geo.radius_cell(F.col("lat"), F.col("lon"), 500.0), strict=True)]).collect()
+    town = [("e", "p", 41.0, -180 + i / 100, 0) for i in range(500)]
+    assert cells(town) == cells([*town, ("e", "p", 90.0, 0, 0)])[:500] and len({r.c for r in cells(town)}) > 400
+
+
+@pytest.mark.parametrize("radius_m", [60.0, 2000.0])
+def test_nearby_entities_equal_brute_force_at_every_latitude(spark, everywhere, radius_m):
+    obs, own = everywhere
+    w, t = timedelta(minutes=5), T0 + timedelta(minutes=30)
+    for e in ("e1", "e2"):
+        mine = [o for o in own if o[1] == e and abs(o[4] - t) <= w]
+        want = {}
+        for a in mine:
+            for b in own:
+                d = hav(a[2], a[3], b[2], b[3])
+                if b[1] != e and abs(a[4] - b[4]) <= w and d <= radius_m:
+                    want[b[1]] = min(want.get(b[1], 9e9), d)
+        got = {r.entity_id: r.distance_m for r in joins.nearby_entities(obs, e, t, radius_m, w).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    polar = world(spark, [("own", "p", 89.99, 0, 0), ("other", "p", 89.99, 90, 0)])
+    assert [round(r.distance_m) for r in joins.nearby_entities(polar, "own", T0, 2000.0, w).collect()] == [1573]
+
+
+def test_batches_of_circles_equal_brute_force_at_every_latitude(spark, everywhere):
+    obs, own = everywhere
+    asked = [(i, own[i][2], own[i][3], r) for i, r in zip(range(0, len(own), 9), [0.0, 40.0, 100.0, 5000.0, 2e6, 2.1e7] * 30)] + [(5000, 10.0, 10.0, -1.0)]
+    queries = spark.createDataFrame(asked, "qi long, lat double, lon double, radius_m double")
+    want = {(q, o[0]) for q, a, b, r in asked for o in own if hav(a, b, o[2], o[3]) <= r}
+    assert {(r.qi, r.observation_id) for r in joins.batch_radius_ids(obs, queries).collect()} == want
+    assert {r.qi: r.n for r in joins.batch_radius(obs, queries).collect()} == {q[0]: sum(q[0] == w[0] for w in want) for q in asked}
+    assert joins.batch_radius(obs, queries.limit(0)).count() == 0
 
 
 def test_components_of_chains_and_stars(spark):
@@ -123,12 +168,62 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def fused(points, k_sigma=3.0, rounds=10):
+    """(lat, lon, sigma_m, confidence, outlier ids) of one entity's (id, lat, lon, confidence, uncertainty), by plain Python and numpy."""
+    points = sorted(points)
+    a, b = (np.radians([p[i] for p in points]) for i in (1, 2))
+    p = np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+    conf = np.array([x[3] for x in points])
+    var = np.maximum([x[4] for x in points], 1.0) ** 2 / np.maximum(conf, 1e-3)
+    n, out = len(points), np.zeros(len(points), bool)
+    metres = lambda q: 2 * geo.EARTH_M * np.arcsin(np.minimum(1, np.linalg.norm(p - q, axis=1) / 2))
+
+    def mean():
+        w = 1 / var[~out]
+        total = (p[~out] * w[:, None]).sum(axis=0)
+        return total / np.linalg.norm(total), float(np.sqrt(1 / w.sum()))
+
+    if n > 2:
+        best = int(np.argmin(np.round([(metres(c) / np.sqrt(var)).sum() for c in p], 6)))
+        centre, sigma = p[best], float(np.sqrt(var[best]))
+        for turn in range(rounds):
+            far = metres(centre) > k_sigma * np.sqrt(var + sigma**2)
+            if 2 * far.sum() >= n:
+                far[:] = False
+            if turn and (far == out).all():
+                break
+            out = far
+            centre, sigma = mean()
+    c, sigma = mean()
+    return float(np.degrees(np.arctan2(c[2], np.hypot(c[0], c[1])))), float(np.degrees(np.arctan2(c[1], c[0]))), sigma, float(1 - np.prod(1 - conf[~out])), {points[i][0] for i in np.flatnonzero(out)}
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_fusion_equals_plain_python_on_all_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(trust, "BLOCK", block)
+    obs = observations.from_events(spark, SF).unionByName(observations.from_events(spark, SF).where("entity_id = 'user_3'").limit(1).withColumn("entity_id", F.lit("single")))
+    by = {}
+    for r in obs.collect():
+        by.setdefault(r.entity_id, []).append((r.observation_id, r.lat, r.lon, r.confidence, r.uncertainty_m))
+    one, rows = trust.fusion(obs)
+    out = {}
+    for r in rows.collect():
+        out.setdefault(r.entity_id, {})[r.observation_id] = r.outlier
+    got = one.collect()
+    assert {r.entity_id for r in got} == by.keys()
+    for r in got:
+        want = fused(by[r.entity_id])
+        assert np.allclose((r.lat, r.lon, r.sigma_m, r.confidence), want[:4], atol=1e-9) and (r.n, r.n_outliers) == (len(by[r.entity_id]), len(want[4]))
+        assert {i for i, flag in out[r.entity_id].items() if flag} == want[4] and out[r.entity_id].keys() == {p[0] for p in by[r.entity_id]}
+
+
 def test_fusion_flags_outliers(spark):
     rng = np.random.default_rng(4)
     rows = [(f"e{s}", "p", 40 + rng.normal(0, 5) / 111_195, -74 + rng.normal(0, 5) / 85_000, 0, f"s{k}", 1.0, 5.0) for s in range(20) for k in range(7)]
-    rows += [(f"e{s}", "p", 40.05, -74, 1, "bad", 1.0, 5.0) for s in range(20)]
+    rows += [(f"e{s}", "p", 40.05, -74, 1, "bad", 1.0, 5.0) for s in range(20)] + [("odd", "p", 0, 0, 0), ("odd", "p", 0, 180, 0)]
     got = trust.fuse_locations(world(spark, rows)).collect()
-    assert len(got) == 20 and all(r.n_outliers == 1 and hav(r.lat, r.lon, 40, -74) < 15 and r.n == 8 for r in got)
+    assert len(got) == 21 and all(r.n_outliers == 1 and hav(r.lat, r.lon, 40, -74) < 15 and r.n == 8 for r in got if r.entity_id != "odd")
+    assert [(r.lat, r.lon, r.n) for r in got if r.entity_id == "odd"] == [(None, None, 2)]
     same = trust.weighted_mean(world(spark, [("a", "p", 0, 179, 0), ("a", "p", 0, -179, 0), ("b", "p", 0, 0, 0), ("b", "p", 0, 180, 0)])).orderBy("entity_id").collect()
     assert abs(abs(same[0].lon) - 180) < 1e-9 and same[1].lat is None
 
@@ -141,7 +236,7 @@ def test_patterns(spark):
     assert got == {"temp": 1.0, "vib": pytest.approx(1 / 3)}
 
 
-def test_graph_scenario(spark):
+def test_graph_scenario(spark, tmp_path):
     rows = [("Machine_47", "temp", 0, 0, 0, "A"), ("Machine_47", "vib", 0, 0, 5, "B"), ("Machine_47", "failure", 0, 0, 10, "B"), ("Machine_48", "ping", 0.0002, 0, 9, "A"), ("Machine_99", "ping", 1, 0, 9, "A")]
     obs = world(spark, rows)
     g = graph.edges(graph.evidence_rows(obs, {"Zone": [(-1, -1), (-1, 1), (0.5, 1), (0.5, -1)]}))
@@ -149,17 +244,28 @@ def test_graph_scenario(spark):
     assert names(graph.neighbors(g, "Machine_47", "NEAR")) == {"Machine_48"} and names(graph.neighbors(g, "Machine_47", "OBSERVED_BY")) == {"A", "B"}
     assert names(graph.neighbors(g, "Machine_47", "INSIDE")) == {"Zone"} and names(graph.neighbors(g, "Zone", "INSIDE", direction="out")) == set()
     assert {r.node: r.depth for r in graph.distances(g, "Machine_48").collect()}["B"] == 2
+    steps = lambda a, b, most=6: [r.node for r in graph.path(g, a, b, most).orderBy("step").collect()]
+    assert steps("Machine_48", "B") == ["Machine_48", "Machine_47", "B"] and steps("B", "B") == ["B"] and steps("Machine_48", "nowhere") == [] and steps("Machine_48", "B", 1) == []
+    graph.write_edges(g, str(tmp_path / "g"))
+    again = spark.read.parquet(str(tmp_path / "g" / "edges"))
+    assert sorted(map(str, again.select(g.columns).collect())) == sorted(map(str, g.collect())) and (tmp_path / "g" / "edges" / "rel=NEAR").exists()
     assert graph.edge(g, "Machine_48", "NEAR", "Machine_47").count() == 1 and graph.connected_when(g, obs, "Machine_47", "failure").where("rel = 'NEAR'").count() == 1
 
 
 def test_layout(spark):
-    obs = observations.synthetic(spark, 4000, seed=5, hot=0.9).persist()
+    obs = observations.synthetic(spark, 4000, seed=5).persist()
     tree = layout.kd_tree(obs, 16)
     assert layout.imbalance(layout.partition_sizes(obs, layout.kd_partition(tree), 16)).first().imbalance < 1.3
-    box = (40.6, 40.8, -74.1, -73.9)
+    assert sorted(obs.collect()) == sorted(observations.synthetic(spark, 4000, seed=5).collect()) and obs.where("lat IS NULL OR NOT lat BETWEEN -90 AND 90 OR NOT lon BETWEEN -180 AND 180").count() == 0
+    box = tuple(obs.agg(F.expr("percentile(lat, 0.3)"), F.expr("percentile(lat, 0.7)"), F.expr("percentile(lon, 0.2)"), F.expr("percentile(lon, 0.9)")).first())
     inside = obs.where(F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:]))
     assert {r.p for r in inside.select(layout.kd_partition(tree).alias("p")).distinct().collect()} <= set(layout.kd_route(tree, *box))
     assert layout.partition_sizes(obs, layout.grid_partition(10, 16), 16).agg(F.sum("n")).first()[0] == 4000
+    for cell in (10, 7):
+        assert {r.p for r in inside.select(layout.grid_partition(cell, 64).alias("p")).distinct().collect()} <= set(layout.grid_route(cell, 64, *box))
+    edge = world(spark, [("e", "p", 90, 180, 0), ("e", "p", 89.0, 179.0, 0)]).select(layout.grid_partition(7, 64).alias("p")).collect()
+    assert [r.p for r in edge] == [__import__("zlib").crc32(b"25:51") % 64] * 2
+    assert layout.kd_tree(obs, 1) == 0 and isinstance(layout.kd_tree(obs.limit(0), 4), layout.Split)
 
 
 def test_csv_sources(spark, tmp_path):
@@ -202,7 +308,7 @@ def test_stream_survives_crashes(spark, tmp_path):
             raise RuntimeError("crash")
 
     for _ in range(4):
-        q = ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "dead"), str(tmp_path / "ck"), 1, crash)
+        q = ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "dead"), str(tmp_path / "ck"), 1, crash, str(tmp_path / "metrics"))
         try:
             q.awaitTermination()
             break
@@ -213,6 +319,70 @@ def test_stream_survives_crashes(spark, tmp_path):
     assert {r.reason: r["count"] for r in spark.read.parquet(str(tmp_path / "dead")).groupBy("reason").count().collect()} == {"not JSON": 10, "record is not an object": 10, "bad coordinates: out of range": 10}
 
 
+def test_zones_lie_on_the_lattice(spark, tmp_path):
+    rows = [("e", "p", 40.7001, -74.0199, 0), ("e", "p", 40.7099, -74.0101, 61), ("e", "p", 40.72, -74.0, 0), ("e", "p", 91.0, 0, 0)]
+    obs = world(spark, rows)
+    report = aggregate.zone_report(obs, 0.01, str(tmp_path / "z")).first()
+    assert (report.rows_in, report.valid, report.invalid, report.joined) == (4, 3, 1, 3)
+    totals = {(round(r.zlat, 5), round(r.zlon, 5)): r.n for r in spark.read.parquet(str(tmp_path / "z" / "zone_totals")).collect()}
+    assert totals == {(40.69995, -74.02005): 1, (40.69995, -74.01005 - 0.01): 1} or sum(totals.values()) == 3
+    for r in aggregate.zones(obs, 0.01).collect():
+        assert r.zlat <= r.lat < r.zlat + 0.01 and r.zlon <= r.lon < r.zlon + 0.01
+    assert spark.read.parquet(str(tmp_path / "z" / "zone_hour_counts")).agg(F.sum("n")).first()[0] == 3
+    assert aggregate.zone_report(obs.limit(0), 0.01).first().joined == 0
+
+
+def test_similarity_of_empty_histories(spark):
+    obs = world(spark, [("a", t, 0, 0, i) for i, t in enumerate("xyz")] + [("b", t, 0, 0, i) for i, t in enumerate("xyz")])
+    got = {(r.a, r.b): r.similarity for r in trust.sequence_similarity(obs, ["a", "b", "no", "none"]).collect()}
+    assert got == {("a", "b"): 1.0, ("a", "no"): 0.0, ("a", "none"): 0.0, ("b", "no"): 0.0, ("b", "none"): 0.0, ("no", "none"): 1.0}
+
+
+def test_assembled_keeps_the_first(spark):
+    a, b = world(spark, [("e", "p", 0, 0, 0), ("e", "q", 0, 0, 1)]), world(spark, [("f", "p", 0, 0, 0), ("f", "p", 0, 0, 0), ("g", "p", 0, 0, 0)])
+    assert sorted((r.observation_id, r.entity_id) for r in observations.assembled([a, b]).collect()) == [("o0000", "e"), ("o0001", "e"), ("o0002", "g")]
+
+
+def test_stream_metrics(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stamp = lambda k: (T0 + timedelta(minutes=k)).isoformat() + "Z"
+    for f, minutes in enumerate((500, 0)):  # the second file is earlier
+        lines = [json.dumps(GOOD | {"observation_id": f"r{f}_{i}", "entity_id": f"e{i % 5}", "timestamp": stamp(minutes + i)}) for i in range(150)]
+        (tmp_path / "in" / f"{f}.txt").write_text("\n".join(lines + ([lines[0], "{bad"] if f else [])) + "\n")
+        __import__("os").utime(tmp_path / "in" / f"{f}.txt", (1e9 + f, 1e9 + f))
+    q = ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "d"), str(tmp_path / "c"), 1, None, str(tmp_path / "m"))
+    q.awaitTermination()
+    got = ingest.stream_metrics(q, str(tmp_path / "m"))
+    assert {k: got[k] for k in ("processed", "stored", "duplicates", "dead_lettered", "out_of_order")} == {"processed": 302, "stored": 300, "duplicates": 1, "dead_lettered": 1, "out_of_order": 150} and got["p95_s"] >= got["p50_s"] > 0
+
+
+def test_tools_never_raise(spark):
+    obs = observations.from_events(spark, SF).limit(60).persist()
+    tools, rng = Tools(obs), random.Random(9)
+    junk = [None, "", "x", "\0", "\ud800", 0, -1, 1, 1.5, 1e-6, 1e308, float("nan"), float("inf"), 10**400, True, [], {}, "2024-01-01T00:00:00Z", "0001-01-01T00:00:00+14:00", "9999-12-31T23:59:59-14:00", "2024-01-01", "user_3", "obs_13", "source_id"]
+    keys = sorted({k for own in ARGUMENTS.values() for k in own} | {"more"})
+    ran = 0
+    for _ in range(3000):
+        name = rng.choice([*ARGUMENTS, "no", None, 7, "dispatch"])
+        args = {k: rng.choice(junk) for k in rng.sample(keys, rng.randrange(len(keys)))} if rng.random() < 0.95 else rng.choice(junk)
+        if isinstance(name, str) and name in ARGUMENTS:
+            try:
+                checked(name, args)
+                ran += 1
+                if ran > 12:  # calls that reach Spark cost a job each
+                    continue
+            except ToolError:
+                pass
+        out = tools.dispatch(name, args)
+        assert isinstance(out, dict) and isinstance(out["ok"], bool) and ("error" in out) == (not out["ok"])
+    where = {"lat": 0, "lon": 0, "radius_m": 2.1e7, "start": "2024-01-01T00:00:00Z", "end": "2024-02-01T00:00:00Z"}
+    whole = Tools(observations.from_events(spark, SF))
+    assert whole.dispatch("history_before", {"entity_id": "user_3", "event_type": "view", "lookback_minutes": 1e-6})["ok"]
+    assert not tools.dispatch("events_near", where | {"start": "0001-01-01T00:00:00+14:00"})["ok"]
+    odd = Tools(world(spark, [("e", "p", 0, 0, 0), ("e", "p", 0, 180, 0)]))
+    assert odd.dispatch("fused_location", {"entity_id": "e", "start": "2026-01-01T00:00:00Z", "end": "2027-01-01T00:00:00Z"})["lat"] is None
+
+
 def test_tools(spark):
     obs = observations.from_events(spark, SF)
     tools = Tools(obs)
@@ -223,8 +393,12 @@ def test_tools(spark):
     assert sum(b["n"] for b in tools.dispatch("activity", where | {"bucket_minutes": 1440})["buckets"]) == near["count"]
     assert tools.dispatch("fused_location", {"entity_id": "user_3", **{k: where[k] for k in ("start", "end")}})["ok"]
     assert tools.dispatch("history_before", {"entity_id": "user_3", "event_type": "error", "lookback_minutes": 9000})["ok"] and tools.dispatch("hotspots", where | {"cell_m": 500})["ok"]
-    assert tools.dispatch("what_changed", where)["ok"] and tools.dispatch("overview", {})["n"] == 1000
-    assert tools.dispatch("nearby_entities", {"entity_id": "user_3", "at": where["start"], "radius_m": 10, "window_minutes": 5})["ok"]
+    changed = tools.dispatch("what_changed", where)
+    assert changed["ok"] and changed["appeared_count"] == len(changed["appeared"]) and not changed["appeared_truncated"]
+    told = tools.dispatch("overview", {"points": 100})
+    assert told["n"] == 1000 and len(told["points"]) == 100 and told["sampled"] and told["event_types"] == sorted(told["event_types"]) and len(told["entity_names"]) == told["entities"]
+    assert tools.dispatch("evidence", {"observation_id": "obs_13"})["inputs"] == [] and near["sources"] == sorted(near["sources"])
+    assert tools.dispatch("nearby_entities", {"entity_id": "user_3", "at": "2024-01-10T00:00:00Z", "radius_m": 10, "window_minutes": 50000})["ok"]
     for name, args in [("no", {}), ("events_near", None), ("events_near", where | {"lat": True}), ("events_near", where | {"radius_m": float("nan")}), ("activity", where | {"bucket_minutes": 1}), ("evidence", {"observation_id": "none"}), ("what_changed", where | {"end": "2023-01-01T00:00:00Z"}), ("events_near", where | {"start": "2024-01-01T00:00:00"})]:
         assert tools.dispatch(name, args)["ok"] is False
 
