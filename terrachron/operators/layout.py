@@ -86,6 +86,17 @@ def kd_route(tree: Split | int, south: float, north: float, west: float, east: f
     return (kd_route(tree.left, south, north, west, east) if low < tree.value else []) + (kd_route(tree.right, south, north, west, east) if high >= tree.value else [])
 
 
+def write_partitions(obs: DataFrame, pid: Column, path: str, files: int = 8) -> None:
+    """Parquet by partition id (:func:`kd_partition` or :func:`grid_partition`), in time order; each id is dealt to ``files`` tasks, so a crowded one isn't one task."""
+    dealt = obs.withColumn("pid", pid.cast("int")).withColumn("_deal", F.pmod(F.xxhash64("observation_id"), F.lit(files)))
+    dealt.repartition("pid", "_deal").drop("_deal").sortWithinPartitions("pid", "ts").write.partitionBy("pid").parquet(path)
+
+
+def read_box(table: DataFrame, pids: list[int], south: float, north: float, west: float, east: float) -> DataFrame:
+    """Rows of a box from a table of :func:`write_partitions`; only the partitions of :func:`kd_route` or :func:`grid_route` are opened."""
+    return table.where(F.col("pid").isin(pids) & F.col("lat").between(south, north) & F.col("lon").between(west, east)).drop("pid")
+
+
 def partition_sizes(obs: DataFrame, pid: Column, n: int) -> DataFrame:
     """pid, n for all partitions, empty ones too."""
     counted = obs.groupBy(pid.cast("long").alias("pid")).agg(F.count("*").alias("n"))

@@ -158,17 +158,19 @@ def overview(obs: DataFrame) -> DataFrame:
 def sample_every(obs: DataFrame, step: int, by: str | None = "entity_id") -> DataFrame:
     """Every ``step``-th observation in time order, the first one included: of each value of ``by``, or (None) of all.
 
-    Of all, rows are numbered within their day and a running count of the days before
-    is added, so no task sorts everything; a day's rows meet in one task.
+    Of all, rows are numbered within their minute and a running count of the minutes
+    before is added, so no task sorts everything.
     """
     if by is not None:
         n = F.row_number().over(Window.partitionBy(by).orderBy(*ORDER)) - 1
         return obs.withColumn("_n", n).where(F.col("_n") % step == 0).drop("_n")
-    dated = obs.withColumn("_day", F.to_date("ts"))
-    days = dated.groupBy("_day").agg(F.count("*").alias("_c"))  # one row a day
-    days = days.select("_day", (F.sum("_c").over(Window.orderBy("_day")) - F.col("_c")).alias("_before"))
-    own = dated.withColumn("_n", F.row_number().over(Window.partitionBy("_day").orderBy(*ORDER)) - 1).join(days, "_day")
-    return own.where((F.col("_before") + F.col("_n")) % step == 0).drop("_day", "_n", "_before")
+    timed = obs.withColumns({"_minute": F.date_trunc("minute", "ts"), "_day": F.to_date("ts")})
+    minutes = timed.groupBy("_day", "_minute").agg(F.count("*").alias("_c"))
+    days = minutes.groupBy("_day").agg(F.sum("_c").alias("_d"))  # one row a day
+    days = days.select("_day", (F.sum("_d").over(Window.orderBy("_day")) - F.col("_d")).alias("_earlier"))
+    minutes = minutes.withColumn("_c", F.sum("_c").over(Window.partitionBy("_day").orderBy("_minute")) - F.col("_c")).join(days, "_day").select("_minute", (F.col("_c") + F.col("_earlier")).alias("_before"))
+    own = timed.withColumn("_n", F.row_number().over(Window.partitionBy("_minute").orderBy(*ORDER)) - 1).join(minutes, "_minute")
+    return own.where((F.col("_before") + F.col("_n")) % step == 0).drop("_day", "_minute", "_n", "_before")
 
 
 def event_sequence(obs: DataFrame, lat: float, lon: float, radius_m: float, start: datetime, end: datetime) -> DataFrame:

@@ -252,7 +252,7 @@ def test_graph_scenario(spark, tmp_path):
     assert graph.edge(g, "Machine_48", "NEAR", "Machine_47").count() == 1 and graph.connected_when(g, obs, "Machine_47", "failure").where("rel = 'NEAR'").count() == 1
 
 
-def test_layout(spark):
+def test_layout(spark, tmp_path):
     obs = observations.synthetic(spark, 4000, seed=5).persist()
     tree = layout.kd_tree(obs, 16)
     assert layout.imbalance(layout.partition_sizes(obs, layout.kd_partition(tree), 16)).first().imbalance < 1.3
@@ -263,6 +263,9 @@ def test_layout(spark):
     assert layout.partition_sizes(obs, layout.grid_partition(10, 16), 16).agg(F.sum("n")).first()[0] == 4000
     for cell in (10, 7):
         assert {r.p for r in inside.select(layout.grid_partition(cell, 64).alias("p")).distinct().collect()} <= set(layout.grid_route(cell, 64, *box))
+    layout.write_partitions(obs, layout.kd_partition(tree), str(tmp_path / "kd"), 2)
+    box_rows = layout.read_box(spark.read.parquet(str(tmp_path / "kd")), layout.kd_route(tree, *box), *box)
+    assert sorted(r.observation_id for r in box_rows.collect()) == sorted(r.observation_id for r in inside.collect()) and "PartitionFilters: [pid" in box_rows._jdf.queryExecution().executedPlan().toString()
     edge = world(spark, [("e", "p", 90, 180, 0), ("e", "p", 89.0, 179.0, 0)]).select(layout.grid_partition(7, 64).alias("p")).collect()
     assert [r.p for r in edge] == [__import__("zlib").crc32(b"25:51") % 64] * 2
     assert layout.kd_tree(obs, 1) == 0 and isinstance(layout.kd_tree(obs.limit(0), 4), layout.Split)
