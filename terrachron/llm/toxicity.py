@@ -36,7 +36,9 @@ TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 ORDER, SHARED, UNIT = 5, 2, 1e6
 #: A text of fewer bytes is compared as if it had so many: a word or two are little evidence.
 LEAST = 64
-_AT_ONCE = 1 << 21
+_AT_ONCE = 1 << 19
+#: Rows that are read at once, and expressions whose values a worker keeps.
+_ROWS, _KEPT = 200, 500_000
 
 
 def normal(raw: bytes | None) -> bytes:
@@ -46,7 +48,7 @@ def normal(raw: bytes | None) -> bytes:
 
 
 def blocks(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Normal texts -> (expressions as numbers, text numbers, first, past last) of about 2 MB each.
+    """Normal texts -> (expressions as numbers, text numbers, first, past last) of about half a MB each.
 
     A text is read with four spaces before it and one after it; a longer one comes in
     several stretches, each with the four bytes before it, so every byte is counted once.
@@ -130,13 +132,27 @@ class Model:
             p = _find(keys, share, q, 0.0) + _find(contexts, mass, q >> 8, 1.0) * p
         return p
 
+    def values(self, kinds: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratios of distinct sorted expressions in whole parts; those met before are remembered."""
+        keys, known = self.__dict__.get("_memo", (np.empty(0, np.int64), np.empty(0, np.int64)))
+        at = np.minimum(np.searchsorted(keys, kinds), max(len(keys) - 1, 0))
+        new = kinds[keys[at] != kinds] if len(keys) else kinds
+        if len(new):
+            fresh = np.rint((np.log(self.probability(new, 1)) - np.log(self.probability(new, 0))) * UNIT).astype(np.int64)
+            if len(keys) + len(new) > _KEPT:  # start again from what this block needs
+                held = np.isin(keys, kinds)
+                keys, known = keys[held], known[held]
+            keys, known = np.concatenate([keys, new]), np.concatenate([known, fresh])
+            order = np.argsort(keys)
+            self.__dict__["_memo"] = keys, known = keys[order], known[order]
+        return known[np.searchsorted(keys, kinds)]
+
     def differences(self, texts: list[bytes]) -> np.ndarray:
         """Toxic less ordinary log-likelihood of normal texts, per byte. Sums are of whole numbers, so equal texts have equal results."""
         total, n = np.zeros(len(texts), np.int64), np.array([len(t) + 1 for t in texts])
         for grams, rows, lo, hi in blocks(texts):
             kinds, at = np.unique(grams, return_inverse=True)
-            each = np.rint((np.log(self.probability(kinds, 1)) - np.log(self.probability(kinds, 0))) * UNIT).astype(np.int64)
-            sums = np.concatenate([[0], np.cumsum(each[at])])
+            sums = np.concatenate([[0], np.cumsum(self.values(kinds)[at])])
             np.add.at(total, rows, sums[hi] - sums[lo])
         return total / UNIT / np.maximum(n, LEAST)
 
@@ -146,6 +162,13 @@ class Model:
         return np.where([len(t) > 0 for t in texts], 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.empty)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches a few rows at a time, so that a worker holds few texts in several forms."""
+    for b in batches:
+        for at in range(0, b.num_rows, _ROWS):
+            yield b.slice(at, _ROWS)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches (text, part) -> (gram, part, n)."""
     for b in batches:
@@ -160,7 +183,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches (text) -> the distinct runs of three bytes, once a task (16 MB of marks)."""
     seen = np.zeros(1 << 24, bool)
-    for b in batches:
+    for b in _slices(batches):
         for grams, _, lo, hi in blocks(map(normal, (t.as_py() for t in b.column(0)))):
             inside = np.zeros(len(grams) + 1, np.int8)
             np.add.at(inside, lo, 1)
@@ -232,20 +255,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_bytes: i
             both.append(class_levels(keys, np.bincount(at, times[used], len(keys)), discount))
         return Model(shared, tuple(both))
 
-    sent = docs.sparkSession.sparkContext.broadcast([model(f) for f in range(folds)])
+    def apart(fold: int) -> pa.Table:
+        """(x, label) of one fold's rows by the model of the others: at most 2 * per_class rows in all."""
+        sent = docs.sparkSession.sparkContext.broadcast(model(fold))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _slices(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value.differences([normal(t.as_py()) for t in b.column(0)])), b.column(1)], ["x", "label"])
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fold, x = np.array(b.column(2)), np.zeros(b.num_rows)
-            texts = [normal(t.as_py()) for t in b.column(0)]
-            for f in range(folds):
-                rows = np.flatnonzero(fold == f)
-                x[rows] = sent.value[f].differences([texts[r] for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(x), b.column(1)], ["x", "label"])
+        out = own.where(F.col("fold") == fold).select("text", "label").mapInArrow(run, "x double, label int").toArrow()
+        sent.destroy()
+        return out
 
-    seen = own.mapInArrow(apart, "x double, label int").toArrow()  # at most 2 * per_class rows
-    sent.destroy()
+    seen = pa.concat_tables([apart(f) for f in range(folds)])
     out = model(None)
+    del grams, parts, times, cells
+    pa.default_memory_pool().release_unused()
     y = seen["label"].to_numpy().astype(float)
     # between the labelled shares and equal shares: a missed toxic text costs more than its rarity says, a wrong label not as much
     weight = np.where(y == 1, share[1] ** 0.5 / n[1], share[0] ** 0.5 / n[0])
@@ -266,7 +291,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(b.column(1)))], ["doc_id", "score"])
 
     scored = _texts(docs).mapInArrow(run, "doc_id long, score double")
@@ -282,7 +307,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             yield b.filter(pa.array(sent.value.scores(b.column(at).cast(pa.binary())) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
