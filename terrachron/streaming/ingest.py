@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,21 +29,18 @@ def normalised(raw: DataFrame) -> DataFrame:
     parsed once; whether it is JSON at all and which keys it has is asked again only where that can matter.
     """
     v = F.col("value")
-    told = lambda k: (F.instr(v, f'"{k}"') > 0) | (F.instr(v, "\\") > 0)
-    any_told = told(_OPTIONAL[0])
-    for k in _OPTIONAL[1:]:
-        any_told = any_told | (F.instr(v, f'"{k}"') > 0)
-    d = _stage(
-        raw, _j=F.from_json("value", _RAW + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}),
-        _keys=F.when(any_told, F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")), _object=F.coalesce(F.trim("value").startswith("{"), F.lit(False)),
-    )
-    has = lambda k: F.array_contains("_keys", k)
+    d = _stage(raw, _j=F.from_json("value", _RAW + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}), _object=F.coalesce(F.trim("value").startswith("{"), F.lit(False)))
+    # a null of an optional key whose name stands in the line may be an explicit one
+    unsure = reduce(lambda a, b: a | b, [F.col(f"_j.{k}").isNull() & ((F.instr(v, f'"{k}"') > 0) | (F.instr(v, "\\") > 0)) for k in _OPTIONAL])
+    none = F.array().cast("array<string>")
+    d = _stage(d, _keys=F.when(F.coalesce(unsure, F.lit(True)), F.coalesce(F.json_object_keys("value"), none)).otherwise(none))
+    has = lambda k: F.col(f"_j.{k}").isNotNull() | F.array_contains("_keys", k)
     num = lambda k: F.col(f"_j.{k}").try_cast("double")
     real = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     t = F.col("_j.timestamp")
-    iso = t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:?\d\d)$")
+    iso = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?"
     epoch = t.rlike(r"^-?\d{1,11}(\.\d+)?$")
-    ts = F.when(iso, F.try_to_timestamp(F.regexp_replace(t, r"([+-]\d\d)(\d\d)$", "$1:$2"))).when(epoch, F.timestamp_micros(F.round(t.try_cast("double") * 1e6).cast("long")))
+    ts = F.when(t.rlike(iso + r"(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(t)).when(t.rlike(iso + r"[+-]\d{4}$"), F.try_to_timestamp(F.regexp_replace(t, r"(\d\d)$", ":$1"))).when(epoch, F.timestamp_micros(F.round(t.try_cast("double") * 1e6).cast("long")))
     optional = lambda k, default: F.when(has(k), num(k)).otherwise(F.lit(default))
     clean = F.col("_object") & F.col("_j").isNotNull() & F.col("_j._bad").isNull()
     d = _stage(d, _json=F.when(clean, True).otherwise(F.try_parse_json("value").isNotNull()), _lat=num("lat"), _lon=num("lon"), _ts=ts, _conf=optional("confidence", 1.0), _unc=optional("uncertainty_m", 0.0), _dur=optional("duration_s", 0.0))

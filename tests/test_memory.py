@@ -287,11 +287,11 @@ GOOD = {"observation_id": "r1", "entity_id": "e", "event_type": "t", "lat": 1.5,
 
 
 def test_validation(spark):
-    bad = ["null", "[]", "{}", "5", "{not", '"x"'] + [json.dumps(GOOD | x) for x in [{"lat": "abc"}, {"lat": 91}, {"lat": "NaN"}, {"lon": None}, {"timestamp": None}, {"timestamp": "2026-10-04T14:30:00"}, {"timestamp": "yesterday"}, {"timestamp": True}, {"timestamp": 1e20}, {"entity_id": ""}, {"source_id": None}, {"confidence": 2}, {"confidence": "high"}, {"confidence": None}, {"duration_s": -1}, {"uncertainty_m": -1}, {"attributes": 5}]]
-    good = [json.dumps(x) for x in (GOOD, GOOD | {"timestamp": T0.timestamp() if False else 1791104400}, {k: v for k, v in GOOD.items() if k != "observation_id"}, GOOD | {"attributes": {"a": 1}, "inputs": ["x"]})]
+    bad = ["null", "[]", "{}", "5", "{not", '"x"'] + [json.dumps(GOOD | x) for x in [{"lat": "abc"}, {"lat": 91}, {"lat": "NaN"}, {"lon": None}, {"timestamp": None}, {"timestamp": "2026-10-04T14:30:00"}, {"timestamp": "yesterday"}, {"timestamp": True}, {"timestamp": 1e20}, {"entity_id": ""}, {"source_id": None}, {"confidence": 2}, {"confidence": "high"}, {"confidence": None}, {"duration_s": -1}, {"uncertainty_m": -1}, {"attributes": 5}, {"inputs": None}, {"attributes": None}]] + [json.dumps(GOOD)[:-1] + ', "conf\\u0069dence": null}']
+    good = [json.dumps(x) for x in (GOOD, GOOD | {"timestamp": T0.timestamp() if False else 1791104400}, {k: v for k, v in GOOD.items() if k != "observation_id"}, GOOD | {"attributes": {"a": 1}, "inputs": ["x"]}, GOOD | {"timestamp": "2026-10-04T09:00:00.000+0000", "processing_model": 'a "confidence" \\ b'})]
     out = ingest.normalised(spark.createDataFrame([(v,) for v in bad + good], "value string"))
     got = {r.value: r for r in out.collect()}
-    assert [v for v in bad if got[v].reason is None] == [] and [got[v].reason for v in good] == [None] * 4
+    assert [v for v in bad if got[v].reason is None] == [] and [got[v].reason for v in good] == [None] * 5
     assert got[good[0]].ts == T0 and got[good[1]].ts == T0 and len(got[good[2]].observation_id) == 40
 
 
