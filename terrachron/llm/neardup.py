@@ -95,14 +95,16 @@ def _least_overlap(k: int, share: float):
     return F.greatest(F.lit(1), F.when(n <= F.floor(F.lit(k) * 0.75), F.ceil(n * 0.75)).otherwise(F.floor(F.least(n, F.lit(k)) * F.lit(share))))
 
 
-def _met(rows: DataFrame, facts: DataFrame, hot: int) -> DataFrame:
-    """rows (v, df, ...) with facts (v, df, ...; one row a value): an equi-join in which values with a df over ``hot`` are broadcast."""
+def _met(rows: DataFrame, facts: DataFrame, hot: int | None) -> DataFrame:
+    """rows (v, df, ...) with facts (v, df, ...; one row a value): an equi-join in which values with a df over ``hot`` (None: there are none) are broadcast."""
+    if hot is None:
+        return rows.join(facts.drop("df"), "v")
     cold = rows.where(F.col("df") <= hot).join(facts.where(F.col("df") <= hot).drop("df"), "v")
     return cold.unionByName(rows.where(F.col("df") > hot).join(F.broadcast(facts.where(F.col("df") > hot).drop("df")), "v"))
 
 
-def _lists_of(rows: DataFrame, k: int, share: float) -> tuple[DataFrame, int]:
-    """(uid, n, values) -> (v, df, uid, n, own, all), and the df from which a value is hot.
+def _lists_of(rows: DataFrame, k: int, share: float) -> tuple[DataFrame, int | None]:
+    """(uid, n, values) -> (v, df, uid, n, own, all), and the df from which a value is hot (None where no value is).
 
     Each document stands under its rarest retained values; lists of one member and
     repeated lists go. ``df``: documents that retain v; ``own``: retained values that no
@@ -110,9 +112,14 @@ def _lists_of(rows: DataFrame, k: int, share: float) -> tuple[DataFrame, int]:
     """
     post = rows.select("uid", "n", F.explode(F.slice("values", 1, k)).alias("v"))
     shared = written(post.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "neardup-df")
-    hot = max(SALTED, (shared.agg(F.sum("df")).first()[0] or 0) // HOT_PART)
-    often = F.broadcast(shared.where(F.col("df") > hot))  # at most HOT_PART rows
-    met = post.join(often, "v").unionByName(post.join(often, "v", "left_anti").join(shared.where(F.col("df") <= hot), "v"))
+    total, most = (x or 0 for x in shared.agg(F.sum("df"), F.max("df")).first())
+    hot = max(SALTED, total // HOT_PART)
+    hot = hot if most > hot else None
+    if hot is None:
+        met = post.join(shared, "v")
+    else:
+        often = F.broadcast(shared.where(F.col("df") > hot))  # at most HOT_PART rows
+        met = post.join(often, "v").unionByName(post.join(often, "v", "left_anti").join(shared.where(F.col("df") <= hot), "v"))
     per = Window.partitionBy("uid")
     met = met.withColumn("rank", F.row_number().over(per.orderBy("df", "v"))).withColumn("met", F.count("*").over(per))
     lists = written(met.where(F.col("rank") <= F.col("met") - _least_overlap(k, share) + 1).select("v", "df", "uid", "n", (F.least("n", F.lit(k)) - F.col("met")).alias("own")), "neardup-lists")
@@ -138,12 +145,15 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     An end a that very many pairs have is dealt: its pairs by a salt, its set once for each salt.
     """
-    hot = max(SALTED, pairs.count() // HOT_PART)
+    of = lambda c: sets.select(F.col("uid").alias(c), F.col("values").alias(f"s{c}"))
+    total, most = (x or 0 for x in pairs.groupBy("a").agg(F.count("*").alias("c")).agg(F.sum("c"), F.max("c")).first())
+    hot = max(SALTED, total // HOT_PART)
+    if most <= hot:
+        return pairs.join(of("a"), "a").join(of("b"), "b")
     often = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("a", (F.floor(F.col("c") / hot) + 1).alias("salts"))
     often = F.broadcast(often)  # at most HOT_PART rows
     salts = F.coalesce("salts", F.lit(1).cast("long"))
     dealt = pairs.join(often, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts)).drop("salts")
-    of = lambda c: sets.select(F.col("uid").alias(c), F.col("values").alias(f"s{c}"))
     left = of("a").join(often, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
     return dealt.join(left, ["a", "salt"]).drop("salt").join(of("b"), "b")
 
@@ -168,7 +178,7 @@ def _linked(pairs: DataFrame, sketches: DataFrame, k: int, share: tuple[int, int
     return out
 
 
-def _labelled(lists: DataFrame, links: DataFrame, hot: int) -> DataFrame:
+def _labelled(lists: DataFrame, links: DataFrame, hot: int | None) -> DataFrame:
     """Lists with each member's component so far; lists that lie in one component are done and go."""
     labels = components(links, "neardup-cc").select(F.col("node").alias("uid"), "label")
     out = lists.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))

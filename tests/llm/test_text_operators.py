@@ -148,9 +148,10 @@ def brute_components(rows, size=5):
     return sorted(((ids[i] if ids[i] is not None else -1), len(sets[i]), -1 if low[i] is None else low[i], low[i] == ids[i] or ids[i] is None) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("short", [0, 16])
-def test_near_duplicates(spark, monkeypatch, short):
+@pytest.mark.parametrize("short,salted", [(0, 512), (16, 512), (0, 3)])
+def test_near_duplicates(spark, monkeypatch, short, salted):
     monkeypatch.setattr(neardup, "SHORT", short)
+    monkeypatch.setattr(neardup, "SALTED", salted)
     rng = random.Random(3)
     word = lambda: "w%d" % rng.randrange(5000)
     passage = [word() for _ in range(60)]
