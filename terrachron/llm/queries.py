@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with their production parameters."""
+"""The operators as queries over whole tables, with their production parameters."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrachron.llm import chat, decontam, media, neardup, packing, secrets, sharding, toxicity, urlfilter, warc
+from terrachron.llm import alignment, chat, collocations, decontam, media, neardup, packing, piecewise, secrets, sharding, toxicity, urlfilter, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Who holds a document: its source is the owner, and the source's part in one language a repository.
 def owner() -> Column:
@@ -72,6 +73,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(_table(spark, sf_dir, "pages"), urlfilter.fit(urlfilter.labelled_urls(spark)))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.digests(piecewise.decoded(piecewise.encoded(_table(spark, sf_dir, "documents"), PIECES), PIECES))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_table(spark, sf_dir, "documents"), RANKS, PIECES, public_tokenizers.PATTERN)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secrets, op2_decontam, op3_media, op4_packing, op5_warc, op6_chat, op7_toxicity, op8_neardup, op9_sharding, op10_urls]
+    found = [op1_secrets, op2_decontam, op3_media, op4_packing, op5_warc, op6_chat, op7_toxicity, op8_neardup, op9_sharding, op10_urls, op11_pieces, op12_alignment, op13_collocations]
     return {f.__name__: f for f in found}

@@ -49,7 +49,7 @@ def odd(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", sql.SQL)
+@pytest.mark.parametrize("name", [n for n in sql.SQL if n != "op13_collocations"])  # its own odd rows: test_collocations.py
 def test_odd_rows_equal_sql(spark, odd, name):
     got, want = both(spark, odd, name)
     assert got == want and got
