@@ -111,18 +111,18 @@ def _neardup(size: int = 5) -> str:
 
 
 def _collocations(longest: int = 3, least: int = 10, share: int = 50, top: int = 2000) -> str:
-    sizes, cuts = (", ".join(f"({k})" for k in range(1, n)) for n in (longest + 1, longest))
+    sizes = ", ".join(f"({k})" for k in range(1, longest + 1))
     return rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
  g AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
  f AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, count(*) AS n FROM g, (VALUES {sizes}) AS v(size) WHERE i + size - 1 <= len(ws) GROUP BY 1, 2, 3),
  t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY 1),
  c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND n >= {least}),
- k AS (SELECT c.*, x.n AS l, y.n AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score FROM c JOIN (VALUES {cuts}) AS v(cut) ON cut < c.size
-  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:c.size], ' ')
-  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY CAST(1000000 AS HUGEINT) * a * a // (CAST(x.n AS HUGEINT) * y.n), cut) = 1),
- q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM k
-  WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = k.lang AND c.size > k.size AND 100 * c.a >= {share} * k.a AND contains(concat(' ', c.phrase, ' '), concat(' ', k.phrase, ' '))))
+ u AS (SELECT *, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:size], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS cut FROM c)),
+ k AS (SELECT u.*, x.n AS l, y.n AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score FROM u JOIN f AS x ON x.lang = u.lang AND x.phrase = u.head JOIN f AS y ON y.lang = u.lang AND y.phrase = u.rest),
+ m AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM m
+  WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = m.lang AND c.size > m.size AND 100 * c.a >= {share} * m.a AND contains(concat(' ', c.phrase, ' '), concat(' ', m.phrase, ' '))))
  SELECT q.lang, rank, phrase, a, l, r, t.n, score FROM q JOIN t ON t.lang = q.lang WHERE rank <= {top}"""
 
 
