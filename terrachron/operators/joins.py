@@ -74,12 +74,6 @@ def nearby_entities(obs: DataFrame, entity: str, t: datetime, radius_m: float, w
     return pairs.groupBy(F.col("o_entity").alias("entity_id")).agg(best).select("entity_id", F.col("m.d").alias("distance_m"), F.col("m.e_id").alias("own_id"), F.col("m.o_id").alias("other_id"))
 
 
-def inside(obs: DataFrame, regions: dict[str, geo.Ring]) -> DataFrame:
-    """Observations with each named region that holds them (``region``); one scan, the rings are constants of the plan."""
-    names = F.array_compact(F.array(*[F.when(geo.in_ring(ring), F.lit(name)) for name, ring in regions.items()]))
-    return obs.withColumn("region", F.explode(names))
-
-
 def _hits(obs: DataFrame, queries: DataFrame) -> DataFrame:
     """qi and observation_id of every hit. Queries of like radius share one size of cells; points are keyed once for each size asked for, of which there are at most a dozen."""
     size = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.col("radius_m"), F.lit(1.0))) / F.lit(math.log(CLASS)))).cast("int")

@@ -6,6 +6,7 @@ of observations need no order and pay no sort. Ranges are closed at both ends, u
 
 from __future__ import annotations
 
+import math
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,10 +46,24 @@ def within_polygon(obs: DataFrame, ring: geo.Ring) -> DataFrame:
     return obs.where(geo.in_ring(ring))
 
 
-def nearest(obs: DataFrame, lat: float, lon: float, k: int) -> DataFrame:
-    """The k nearest by (distance, id): a partial top-k in each task, then one merge."""
+def nearest(obs: DataFrame, lat: float, lon: float, k: int, first_m: float = 100.0) -> DataFrame:
+    """The k nearest by (distance, id), with distance_m.
+
+    Circles from ``first_m`` on, each four times as wide, are tried until one holds k rows, which then holds the k nearest; a try
+    counts no further than k. All these scans have the circle's box as a range of lat and lon, so
+    files and row groups elsewhere aren't opened; only where all data has fewer than k rows is everything read.
+    """
+    if k <= 0:
+        return obs.withColumn("distance_m", F.lit(0.0)).limit(0)
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))
-    return obs.withColumn("distance_m", d).orderBy("distance_m", "observation_id").limit(max(k, 0))
+    near, reach = obs, first_m
+    while reach < math.pi * geo.EARTH_M:
+        tried = radius(obs, lat, lon, reach)
+        if tried.select(F.lit(1)).limit(k).count() == k:
+            near = tried
+            break
+        reach *= 4
+    return near.withColumn("distance_m", d).orderBy("distance_m", "observation_id").limit(k)
 
 
 def entity_history(obs: DataFrame, entity: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrachron.functions import geo
-from terrachron.operators import aggregate, graph, joins, layout, search, trust
+from terrachron.operators import aggregate, graph, joins, layout, regions, search, trust
 from terrachron.sources import observations
 from terrachron.streaming import ingest
 
@@ -355,7 +355,26 @@ def edges_near(obs):
 
 @query(_edges_sql(_IN))
 def edges_inside(obs):
-    return graph.edges(graph.inside_regions(obs, REGIONS))
+    return graph.edges(graph.inside_regions(obs, regions.region_table(obs.sparkSession, REGIONS)))
+
+
+#: Corners of a concave ring around a place, in parts of its half height.
+_DART = [(1.0, 0.0), (-1.0, 1.0), (-0.25, 0.125), (-1.0, -1.0)]
+_DARTS = "darts AS (SELECT observation_id region, lat y, lon x, CAST(50 + event_id % 4000 AS DOUBLE) / CAST(100000 AS DOUBLE) h FROM obs WHERE event_id % 25 = 0)"
+
+
+def _dart_sql() -> str:
+    at = lambda c, v: f"({c} + h * {_d(v)})"
+    sides = [(at("y", a), at("x", b), at("y", c), at("x", d)) for (a, b), (c, d) in zip(_DART, _DART[1:] + _DART[:1], strict=True)]
+    return " + ".join(f"CASE WHEN ({a} > lat) <> ({c} > lat) AND lon < {b} + (lat - {a}) * ({d} - {b}) / ({c} - {a}) THEN 1 ELSE 0 END" for a, b, c, d in sides)
+
+
+@query(f"SELECT region, count(*) n, min(observation_id) first_id FROM darts JOIN obs ON lat BETWEEN y - h AND y + h AND ({_dart_sql()}) % 2 = 1 GROUP BY 1", f", {_DARTS}")
+def inside_many_regions(obs):
+    k, h = F.substring_index("observation_id", "_", -1).cast("long"), F.col("h")
+    own = obs.where(k % 25 == 0).select(F.col("observation_id").alias("region"), "lat", "lon", ((50 + k % 4000).cast("double") / F.lit(100000.0)).alias("h"))
+    ring = F.array(*[F.struct((F.col("lat") + h * a).alias("lat"), (F.col("lon") + h * b).alias("lon")) for a, b in _DART])
+    return regions.inside(obs, own.select("region", ring.alias("ring"))).groupBy("region").agg(F.count("*").alias("n"), F.min("observation_id").alias("first_id"))
 
 
 @query(_edges_sql(_BEFORE), _STEPS)
@@ -372,7 +391,7 @@ _ALL = f"{_PAIRS}{_STEPS}, g AS ({_edges_sql(' UNION ALL '.join((_BY, _NEARS, _I
 
 
 def _graph(obs: DataFrame) -> DataFrame:
-    return graph.edges(graph.evidence_rows(obs, REGIONS, **_WIDE))
+    return graph.edges(graph.evidence_rows(obs, regions.region_table(obs.sparkSession, REGIONS), **_WIDE))
 
 
 @query("SELECT rel, count(*) n FROM g GROUP BY 1", _ALL)
