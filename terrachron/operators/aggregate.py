@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrachron.functions import geo
+from terrachron.operators.ranks import at_ranks
 from terrachron.operators.search import at, radius_between
 from terrachron.plans.tables import written
 
@@ -170,7 +171,6 @@ def zone_report(obs: DataFrame, cell_deg: float, out: str | None = None) -> Data
 
 
 def quantiles(df: DataFrame, value: str, by: str, qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest-rank quantiles: the value at rank min(n - 1, floor(q * n)) of each group."""
-    w = Window.partitionBy(by)
-    ranked = df.select(by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(by).agg(*[F.max(F.when(F.col("r") == F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col("v"))).alias(f"p{round(q * 100)}") for q in qs])
+    """Nearest-rank quantiles: the value at rank min(n - 1, floor(q * n)) of each group; null and NaN values don't count."""
+    found = at_ranks(df, by, value, F.array(*[F.least(F.col("n") - 1, F.floor(F.col("n") * q)) for q in qs]))
+    return found.groupBy(by).agg(*[F.max(F.when(F.col("slot") == k, F.col("v"))).alias(f"p{round(q * 100)}") for k, q in enumerate(qs)])

@@ -6,9 +6,13 @@ import math
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrachron.plans.tables import written
+
 
 def _grid_cell(v: Column, low: float, span: float, cell_deg: float) -> Column:
     return F.least(F.floor((v + low) / cell_deg), F.lit(math.ceil(span / cell_deg) - 1)).cast("long")
@@ -97,6 +101,86 @@ def read_box(table: DataFrame, pids: list[int], south: float, north: float, west
     return table.where(F.col("pid").isin(pids) & F.col("lat").between(south, north) & F.col("lon").between(west, east)).drop("pid")
 
 
+#: Levels of a quadtree at most, and cells that a tree kept beside a table may have.
+DEPTH, MOST_CELLS = 16, 1_000_000
+
+
+def _half(v: Column) -> Column:
+    """A number of 16 bits with a zero before each bit."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return v
+
+
+def z_order(lat: Column, lon: Column) -> Column:
+    """Number of a place's cell at level DEPTH; leaving out its last 2 k bits gives the cell k levels up."""
+    number = lambda v, low, span: F.greatest(F.least(F.floor((v - low) / span * float(1 << DEPTH)).cast("long"), F.lit((1 << DEPTH) - 1)), F.lit(0).cast("long"))
+    return F.shiftleft(_half(number(lat, -90.0, 180.0)), 1).bitwiseOR(_half(number(lon, -180.0, 360.0)))
+
+
+def quadtree(obs: DataFrame, capacity: int) -> DataFrame:
+    """level, code, n: the cells of a quadtree in which no cell holds more than ``capacity`` rows, unless it is of level DEPTH; empty cells have no row.
+
+    Rows are counted once, in the smallest cells; four counts at a time make those of the level above. A cell is split while
+    it holds more than ``capacity``, so a leaf is one that doesn't and whose parent does.
+    """
+    counts = obs.select(z_order(F.col("lat"), F.col("lon")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    levels = [written(counts.select(F.lit(DEPTH).alias("level"), "code", "n"), "quadtree")]
+    for level in range(DEPTH - 1, -1, -1):
+        up = levels[-1].groupBy(F.shiftright("code", 2).alias("code")).agg(F.sum("n").alias("n"))
+        levels.append(written(up.select(F.lit(level).alias("level"), "code", "n"), "quadtree"))
+    leaves = levels[-1].where(F.col("n") <= capacity)  # the whole world
+    for own, parents in zip(levels[:-1], levels[1:], strict=True):
+        full = parents.where(F.col("n") > capacity).select(F.col("code").alias("_up"))
+        split = own.join(full, F.shiftright("code", 2) == F.col("_up")).drop("_up")
+        leaves = leaves.unionByName(split.where((F.col("n") <= capacity) | (F.col("level") == DEPTH)))
+    return leaves
+
+
+def _first() -> Column:
+    """Number of the first smallest cell in a cell."""
+    return (F.col("code") * F.pow(F.lit(4.0), F.lit(DEPTH) - F.col("level"))).cast("long")
+
+
+def write_quadtree(obs: DataFrame, path: str, capacity: int) -> None:
+    """Parquet with a folder for each leaf of :func:`quadtree`, in order of time, and the tree with its leaves' bounds in ``_tree`` beside them."""
+    leaves = written(quadtree(obs, capacity), "quadtree-leaves")
+    if leaves.count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells: choose a larger capacity")
+    table = leaves.select(_first().alias("first"), "level", "code", "n").orderBy("first").toPandas()  # at most MOST_CELLS rows
+    starts = obs.sparkSession.sparkContext.broadcast(table["first"].to_numpy("int64"))
+
+    @F.pandas_udf("int")
+    def leaf(code: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts.value, code.to_numpy(), "right") - 1).astype("int32")
+
+    numbered = obs.withColumn("leaf", leaf(z_order(F.col("lat"), F.col("lon"))))
+    numbered.repartition("leaf").sortWithinPartitions("leaf", "ts").write.partitionBy("leaf").parquet(path)
+    bounds = obs.sparkSession.read.parquet(path).groupBy("leaf").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.count(F.lit(1)).alias("n"))
+    table["leaf"] = range(len(table))
+    tree = obs.sparkSession.createDataFrame(table[["leaf", "level", "code"]]).withColumns({"leaf": F.col("leaf").cast("int"), "level": F.col("level").cast("int")})
+    tree.join(bounds, "leaf").coalesce(1).write.parquet(f"{path}/_tree")
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    """leaf, level, code, south, north, west, east, n of a table of :func:`write_quadtree`."""
+    return spark.read.parquet(f"{path}/_tree")
+
+
+def read_quadtree(spark: SparkSession, path: str, south: float, north: float, west: float, east: float) -> DataFrame:
+    """Rows of a box; only folders of leaves whose rows' bounds meet it are opened, by the tree that lies with the table."""
+    met = read_tree(spark, path).where((F.col("south") <= north) & (F.col("north") >= south) & (F.col("west") <= east) & (F.col("east") >= west))
+    leaves = [r.leaf for r in met.select("leaf").collect()]
+    return spark.read.parquet(path).where(F.col("leaf").isin(leaves) & F.col("lat").between(south, north) & F.col("lon").between(west, east)).drop("leaf")
+
+
+def even_partitions(leaves: DataFrame, n: int) -> DataFrame:
+    """Leaves with ``pid``: runs of them in z-order of about the same number of rows each, 0 to n - 1."""
+    total = leaves.agg(F.sum("n").alias("_all"))  # one row
+    before = F.sum("n").over(Window.orderBy("first")) - F.col("n")  # a row a leaf
+    return leaves.withColumn("first", _first()).withColumn("_before", before).join(F.broadcast(total)).withColumn("pid", F.floor((F.col("_before") + F.col("n") / 2) * n / F.col("_all")).cast("long")).drop("first", "_before", "_all")
+
+
 def partition_sizes(obs: DataFrame, pid: Column, n: int) -> DataFrame:
     """pid, n for all partitions, empty ones too."""
     counted = obs.groupBy(pid.cast("long").alias("pid")).agg(F.count("*").alias("n"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrachron.functions import geo
+from terrachron.operators import ordered as ordered_
+from terrachron.operators.ranks import medians
 
 ORDER = ("ts", "observation_id")
 
@@ -166,8 +168,9 @@ def evidence(obs: DataFrame) -> DataFrame:
 
 
 def overview(obs: DataFrame) -> DataFrame:
-    """One row: counts, distinct entities, types and sources, time range and median place."""
-    return obs.agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("entities"), F.count_distinct("event_type").alias("types"), F.count_distinct("source_id").alias("sources"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.median("lat").alias("lat"), F.median("lon").alias("lon"))
+    """One row: counts, distinct entities, types and sources, time range and median place, found by rank."""
+    counts = obs.agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("entities"), F.count_distinct("event_type").alias("types"), F.count_distinct("source_id").alias("sources"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return counts.join(F.broadcast(medians(obs, ["lat", "lon"])))  # one row each
 
 
 def sample_every(obs: DataFrame, step: int, by: str | None = "entity_id") -> DataFrame:
@@ -177,8 +180,7 @@ def sample_every(obs: DataFrame, step: int, by: str | None = "entity_id") -> Dat
     before is added, so no task sorts everything.
     """
     if by is not None:
-        n = F.row_number().over(Window.partitionBy(by).orderBy(*ORDER)) - 1
-        return obs.withColumn("_n", n).where(F.col("_n") % step == 0).drop("_n")
+        return ordered_.numbered(obs, by, ORDER, F.unix_micros("ts"), "_n").where(F.col("_n") % step == 0).drop("_n")
     timed = obs.withColumns({"_minute": F.date_trunc("minute", "ts"), "_day": F.to_date("ts")})
     minutes = timed.groupBy("_day", "_minute").agg(F.count("*").alias("_c"))
     days = minutes.groupBy("_day").agg(F.sum("_c").alias("_d"))  # one row a day

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrachron.functions import geo
 from terrachron.operators.joins import neighbour_pairs
+from terrachron.operators.ordered import lagged
+from terrachron.operators.search import ORDER
 from terrachron.plans.components import components
 from terrachron.plans.tables import drop, written
 
@@ -37,7 +39,7 @@ def _medoids(own: DataFrame) -> DataFrame:
     """entity_id, cx, cy, cz, sigma: of each entity's observations the one nearest to all, in deviations; the smallest id of several.
 
     An entity's observations stand in blocks of about ``BLOCK``; every observation meets each
-    block once and adds up its distances there, so an entity with very many is spread over tasks.
+    block once and adds up its distances there. The join is by entity and block, so an entity with very many is spread over tasks.
     """
     counts = own.groupBy("entity_id").agg(F.count("*").alias("n"))
     own = own.join(counts, "entity_id")
@@ -48,7 +50,9 @@ def _medoids(own: DataFrame) -> DataFrame:
         d = [F.col(k) - o[k] for k in "xyz"]
         return total + F.asin(F.least(F.lit(1.0), F.sqrt(sum((v * v for v in d[1:]), d[0] * d[0])) / 2)) * (2 * geo.EARTH_M) / F.sqrt(o["var"])
 
-    met = own.join(packed.drop("block"), "entity_id").select("entity_id", "observation_id", "x", "y", "z", "var", F.aggregate("others", F.lit(0.0), add).alias("cost"))
+    # a row goes to each block of its entity, so the comparisons of a large one are dealt by block
+    each = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / BLOCK))))
+    met = each.join(packed, ["entity_id", "block"]).select("entity_id", "observation_id", "x", "y", "z", "var", F.aggregate("others", F.lit(0.0), add).alias("cost"))
     each = met.groupBy("entity_id", "observation_id").agg(*[F.first(c).alias(c) for c in ("x", "y", "z", "var")], F.sum("cost").alias("cost"))
     best = each.groupBy("entity_id").agg(F.min_by(F.struct("x", "y", "z", "var"), F.struct(F.round("cost", 6), "observation_id")).alias("m"))
     return best.select("entity_id", *[F.col(f"m.{k}").alias(f"c{k}") for k in "xyz"], F.sqrt("m.var").alias("sigma"))
@@ -124,20 +128,20 @@ def deteriorating(obs: DataFrame, severity: list[str]) -> DataFrame:
     """entity_id, first_level, last_level, n: entities whose events of the listed types never get milder and end worse than they began."""
     level = F.array_position(F.array(*map(F.lit, severity)), F.col("event_type")).cast("int") - 1
     own = obs.withColumn("level", level).where(F.col("level") >= 0)
-    w = Window.partitionBy("entity_id").orderBy("ts", "observation_id")
-    own = own.withColumn("prev", F.lag("level").over(w))
+    own = lagged(own, "entity_id", ORDER, F.unix_micros("ts"), {"prev": "level"})
     out = own.groupBy("entity_id").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("level") >= F.col("prev"), F.lit(True))).alias("ok"), F.min_by("level", F.struct("ts", "observation_id")).alias("first_level"), F.max_by("level", F.struct("ts", "observation_id")).alias("last_level"))
     return out.where("ok AND n > 1 AND last_level > first_level").select("entity_id", "first_level", "last_level", "n")
 
 
 def grams(obs: DataFrame, n: int = 2) -> DataFrame:
     """entity_id, gram: distinct runs of n event types in time order; a shorter history is one run."""
-    w = Window.partitionBy("entity_id")
-    own = obs.select("entity_id", "event_type", "ts", "observation_id").withColumn("all", F.count("*").over(w))
-    parts = [F.lead("event_type", i).over(w.orderBy("ts", "observation_id")) for i in range(n)]
-    gram = F.concat_ws(">", *parts)
-    own = own.withColumn("gram", gram).withColumn("k", F.row_number().over(w.orderBy("ts", "observation_id")))
-    return own.where((F.col("k") <= F.col("all") - n + 1) | ((F.col("all") < n) & (F.col("k") == 1))).select("entity_id", "gram").distinct()
+    own = obs.select("entity_id", "event_type", "ts", "observation_id", F.col("event_type").alias("run"))
+    for _ in range(n - 1):  # a run of one more is the run of the row before and the own type; null where that has none
+        own = lagged(own, "entity_id", ORDER, F.unix_micros("ts"), {"run": "run"}).withColumn("run", F.concat("run", F.lit(">"), "event_type"))
+    short = obs.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n") < n).select("entity_id")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ts", "observation_id", "event_type"))), lambda x: x["event_type"])
+    whole = obs.join(short, "entity_id", "left_semi").groupBy("entity_id").agg(F.array_join(parts, ">").alias("gram"))  # fewer than n rows each
+    return own.where(F.col("run").isNotNull()).select("entity_id", F.col("run").alias("gram")).unionByName(whole).distinct()
 
 
 def sequence_similarity(obs: DataFrame, entities: list[str], n: int = 2) -> DataFrame:

@@ -409,6 +409,14 @@ def connected_when(obs):
     return graph.connected_when(_graph(obs), obs, "user_7", "error")
 
 
+_ENDS = "SELECT rel, src entity, dst node, first_seen, last_seen FROM g UNION ALL SELECT rel, dst, src, first_seen, last_seen FROM g"
+
+
+@query(f"SELECT e.rel, count(DISTINCT concat(o.observation_id, '/', e.node)) n, count(DISTINCT o.observation_id) events FROM obs o JOIN ({_ENDS}) e ON e.entity = o.entity_id AND o.ts BETWEEN e.first_seen - INTERVAL 1 HOUR AND e.last_seen + INTERVAL 1 HOUR GROUP BY 1", _ALL)
+def connected_all(obs):
+    return graph.connected_when(_graph(obs), obs, slack=timedelta(hours=1)).groupBy("rel").agg(F.count("*").alias("n"), F.count_distinct("observation_id").alias("events"))
+
+
 @query(
     "SELECT node, min(depth) depth FROM walk GROUP BY 1",
     _PAIRS.replace(", near", ", RECURSIVE near") + f", both_ AS (SELECT src, dst FROM ({_BY} UNION ALL {_NEARS}) UNION SELECT dst, src FROM ({_BY} UNION ALL {_NEARS})), walk AS (SELECT 'user_7' node, 0 depth UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN both_ b ON b.src = w.node WHERE w.depth < 6)",
@@ -522,6 +530,15 @@ def partition_sizes_grid(obs):
     return layout.partition_sizes(obs, layout.grid_partition(0.05, 16), 16)
 
 
+_DEEP = 1 << layout.DEPTH
+_QUADS = f", fine AS (SELECT CAST(least(floor((lat + 90) / 180 * {_DEEP}), {_DEEP - 1}) AS BIGINT) y, CAST(least(floor((lon + 180) / 360 * {_DEEP}), {_DEEP - 1}) AS BIGINT) x FROM obs), cell AS (SELECT level, y >> ({layout.DEPTH} - level) y, x >> ({layout.DEPTH} - level) x, count(*) n FROM fine, (SELECT unnest(range({layout.DEPTH + 1})) level) GROUP BY 1, 2, 3)"
+
+
+@query(f"SELECT CAST(c.level AS INTEGER) level, count(*) cells, CAST(sum(c.n) AS BIGINT) n, max(c.n) largest FROM cell c LEFT JOIN cell p ON p.level = c.level - 1 AND p.y = c.y >> 1 AND p.x = c.x >> 1 WHERE (c.n <= 100 OR c.level = {layout.DEPTH}) AND (c.level = 0 OR p.n > 100) GROUP BY 1", _QUADS)
+def quadtree_cells(obs):
+    return layout.quadtree(obs, 100).groupBy("level").agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+
+
 @query()
 def partition_imbalance(obs):
     tree = layout.kd_tree(obs, 16)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
+from terrachron.operators.ordered import running_max
 from terrachron.sources.observations import complete
 
 _RAW = "observation_id variant, entity_id string, event_type string, lat string, lon string, timestamp variant, source_id string, confidence string, uncertainty_m string, duration_s string, attributes string, inputs array<string>, processing_model string, parent_observation string"
@@ -112,9 +113,8 @@ def absent(batch: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def out_of_order(obs: DataFrame, arrival: str) -> DataFrame:
-    """Rows that come, in order of ``arrival``, after a later one of their entity."""
-    seen = F.max("ts").over(Window.partitionBy("entity_id").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
-    return obs.withColumn("_seen", seen).where(F.col("ts") < F.col("_seen")).drop("_seen")
+    """Rows that come, in order of ``arrival`` (a number), after a later one of their entity."""
+    return running_max(obs, "entity_id", (arrival,), F.col(arrival), "ts", "_seen").where(F.col("ts") < F.col("_seen")).drop("_seen")
 
 
 #: Parts by hash of the id into which a table is dealt; up to so many ids are looked for by name.
