@@ -25,8 +25,8 @@ def weighted_mean(obs: DataFrame) -> DataFrame:
     return s.select("entity_id", F.when(real, F.degrees(F.atan2("z", flat))).alias("lat"), F.when(real, F.degrees(F.atan2("y", "x"))).alias("lon"), F.sqrt(1 / F.col("w")).alias("sigma_m"), "n")
 
 
-#: Observations of an entity in one block, when each is compared with all others.
-BLOCK = 512
+#: Observations of an entity in one block, when each is compared with all others; from how many on bounds come first; cells along an entity's extent.
+BLOCK, LARGE, ACROSS = 512, 2048, 16
 
 
 def _apart(p: str, q: str) -> Column:
@@ -35,27 +35,68 @@ def _apart(p: str, q: str) -> Column:
     return F.asin(F.least(F.lit(1.0), F.sqrt(d("x") * d("x") + d("y") * d("y") + d("z") * d("z")) / 2)) * (2 * geo.EARTH_M)
 
 
+def _chord(o: Column) -> Column:
+    """From a row's unit vector to another's."""
+    d = [F.col(k) - o[k] for k in "xyz"]
+    return F.sqrt(sum((v * v for v in d[1:]), d[0] * d[0]))
+
+
+def _costs(some: DataFrame, packed: DataFrame) -> DataFrame:
+    """Rows of ``some`` with ``cost``: metres to all observations of their entity, in deviations of those.
+
+    A row goes to each block of its entity and adds up its distances there. The join is by entity and block, so the comparisons
+    of a large entity are dealt by block.
+    """
+    add = lambda total, o: total + F.asin(F.least(F.lit(1.0), _chord(o) / 2)) * (2 * geo.EARTH_M) / F.sqrt(o["var"])
+    each = some.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / BLOCK))))
+    met = each.join(packed, ["entity_id", "block"]).select("entity_id", "observation_id", "x", "y", "z", "var", F.aggregate("others", F.lit(0.0), add).alias("cost"))
+    return met.groupBy("entity_id", "observation_id").agg(*[F.first(c).alias(c) for c in ("x", "y", "z", "var")], F.sum("cost").alias("cost"))
+
+
+def _bounded(large: DataFrame) -> DataFrame:
+    """Rows of large entities with ``least``, which their cost can't be under.
+
+    An entity's observations stand in cells; from a row to those of a cell it is at least as far as to their weighted mean, taken
+    so many times as they weigh (a distance is convex, and a chord isn't longer than its arc). Cells of an entity are some
+    hundreds; they are handed to as many parts of its rows as it has ten thousands.
+    """
+    w = 1 / F.sqrt("var")
+    own = large.select("entity_id", "observation_id", "x", "y", "z", "var", "n", F.floor(F.col("n") / 10_000).alias("parts"))
+    box = own.groupBy("entity_id").agg(F.first("parts").alias("parts"), *[f(k).alias(f"{p}{k}") for k in "xyz" for p, f in (("lo", F.min), ("hi", F.max))])
+    step = F.greatest(*[F.col(f"hi{k}") - F.col(f"lo{k}") for k in "xyz"], F.lit(1e-12)) / ACROSS
+    placed = own.join(box.select("entity_id", "lox", "loy", "loz", step.alias("step")), "entity_id")
+    cell = [F.floor((F.col(k) - F.col(f"lo{k}")) / F.col("step")).alias(f"c{k}") for k in "xyz"]
+    cells = placed.groupBy("entity_id", *cell).agg(F.sum(w).alias("w"), *[(F.sum(w * F.col(k)) / F.sum(w)).alias(k) for k in "xyz"], F.first("parts").alias("parts"))
+    packed = cells.groupBy("entity_id").agg(F.collect_list(F.struct("x", "y", "z", "w")).alias("cells"), F.first("parts").alias("parts"))
+    packed = packed.select("entity_id", "cells", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"))
+    own = own.withColumn("part", F.pmod(F.xxhash64("observation_id"), F.col("parts") + 1))
+    least = F.aggregate("cells", F.lit(0.0), lambda total, c: total + _chord(c) * c["w"]) * geo.EARTH_M
+    return own.join(packed, ["entity_id", "part"]).select("entity_id", "observation_id", "x", "y", "z", "var", "n", least.alias("least"))
+
+
 def _medoids(own: DataFrame) -> DataFrame:
     """entity_id, cx, cy, cz, sigma: of each entity's observations the one nearest to all, in deviations; the smallest id of several.
 
-    An entity's observations stand in blocks of about ``BLOCK``; every observation meets each
-    block once and adds up its distances there. The join is by entity and block, so an entity with very many is spread over tasks.
+    In an entity with more than LARGE observations only those are compared with all others whose bound isn't above the cost of
+    the one with the least bound, which is a cost that the medoid can't exceed.
     """
     counts = own.groupBy("entity_id").agg(F.count("*").alias("n"))
-    own = own.join(counts, "entity_id")
+    own = written(own.join(counts, "entity_id").select("entity_id", "observation_id", "x", "y", "z", "var", "n"), "medoid-rows")
     block = F.pmod(F.xxhash64("observation_id"), F.floor(F.col("n") / BLOCK) + 1).alias("block")
-    packed = own.groupBy("entity_id", block).agg(F.collect_list(F.struct("x", "y", "z", "var")).alias("others"))
-
-    def add(total: Column, o: Column) -> Column:
-        d = [F.col(k) - o[k] for k in "xyz"]
-        return total + F.asin(F.least(F.lit(1.0), F.sqrt(sum((v * v for v in d[1:]), d[0] * d[0])) / 2)) * (2 * geo.EARTH_M) / F.sqrt(o["var"])
-
-    # a row goes to each block of its entity, so the comparisons of a large one are dealt by block
-    each = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / BLOCK))))
-    met = each.join(packed, ["entity_id", "block"]).select("entity_id", "observation_id", "x", "y", "z", "var", F.aggregate("others", F.lit(0.0), add).alias("cost"))
-    each = met.groupBy("entity_id", "observation_id").agg(*[F.first(c).alias(c) for c in ("x", "y", "z", "var")], F.sum("cost").alias("cost"))
-    best = each.groupBy("entity_id").agg(F.min_by(F.struct("x", "y", "z", "var"), F.struct(F.round("cost", 6), "observation_id")).alias("m"))
-    return best.select("entity_id", *[F.col(f"m.{k}").alias(f"c{k}") for k in "xyz"], F.sqrt("m.var").alias("sigma"))
+    packed = written(own.groupBy("entity_id", block).agg(F.collect_list(F.struct("x", "y", "z", "var")).alias("others")), "medoid-blocks")
+    some, held = own.where(F.col("n") <= LARGE), [own, packed]
+    large = own.where(F.col("n") > LARGE)
+    if not large.isEmpty():
+        bound = written(_bounded(large), "medoid-bounds")
+        first = bound.groupBy("entity_id").agg(F.min_by(F.struct("observation_id", "x", "y", "z", "var", "n"), F.struct("least", "observation_id")).alias("m")).select("entity_id", "m.*")
+        most = _costs(first, packed).groupBy("entity_id").agg(F.min("cost").alias("most"))
+        some = some.unionByName(bound.join(most, "entity_id").where(F.col("least") <= F.col("most") * (1 + 1e-9) + 1e-3).drop("least", "most"))
+        held.append(bound)
+    best = _costs(some, packed).groupBy("entity_id").agg(F.min_by(F.struct("x", "y", "z", "var"), F.struct(F.round("cost", 6), "observation_id")).alias("m"))
+    out = written(best.select("entity_id", *[F.col(f"m.{k}").alias(f"c{k}") for k in "xyz"], F.sqrt("m.var").alias("sigma")), "fusion-centres")
+    for table in held:
+        drop(table)
+    return out
 
 
 def _means(kept: DataFrame, *more: Column) -> DataFrame:
@@ -78,7 +119,7 @@ def fusion(obs: DataFrame, k_sigma: float = 3.0, rounds: int = 10) -> tuple[Data
     var = geo.variance_m2(F.col("uncertainty_m"), F.col("confidence"))
     places = zip("xyz", geo.xyz(F.col("lat"), F.col("lon")), strict=True)
     rows = written(obs.select("entity_id", "observation_id", *[v.alias(k) for k, v in places], var.alias("var"), "confidence", F.lit(False).alias("out")), "fusion-rows")
-    centres = written(_medoids(rows), "fusion-centres")
+    centres = _medoids(rows)
     for turn in range(rounds):
         far = _apart("", "c") > k_sigma * F.sqrt(F.col("var") + F.col("sigma") * F.col("sigma"))
         seen = rows.join(centres, "entity_id", "left").withColumn("far", F.coalesce(far, F.lit(False)))
