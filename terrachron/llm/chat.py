@@ -31,12 +31,14 @@ def unescaped(text: Column) -> Column:
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> conv_id, formatted, segments.
+    """(conv_id, turn, role, text) -> conv_id, formatted, segments, mask.
 
-    ``segments`` are the string's parts in order with the loss mask: ``loss`` is true
-    on exactly the texts of assistant turns. Turns are ordered by turn, then role, then
+    ``segments`` are the string's parts in order, ``loss`` true on exactly the texts of assistant
+    turns; ``mask`` is the loss mask by itself, a flag for each text that stands in the string between
+    control strings, in order. Turns are ordered by turn, then role, then
     text, nulls first; repeated rows stay. Null text and null role are empty; rows with a null conv_id
-    form one conversation. A conversation is one row of the result, so it is in one task.
+    form one conversation. Further columns are ignored, whatever their names; no rows give no
+    conversations. A conversation is one row of the result, so it is in one task.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     one = F.struct(F.col("turn").cast("long").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
@@ -53,8 +55,9 @@ def formatted(turns: DataFrame) -> DataFrame:
         texts = F.transform(r["texts"], lambda x, i: F.array(plain(before(i)), F.struct(escaped(x).alias("text"), (r["role"] == LEARNT).alias("loss"))))
         return F.concat(F.flatten(texts), F.array(plain(F.lit(END))))
 
-    per = per.select("conv_id", F.flatten(F.transform("runs", parts)).alias("segments"))
-    return per.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    mask = F.flatten(F.transform("runs", lambda r: F.transform(r["texts"], lambda _: r["role"] == LEARNT)))
+    per = per.select("conv_id", F.flatten(F.transform("runs", parts)).alias("segments"), mask.alias("mask"))
+    return per.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "mask")
 
 
 def read_turns(text: Column) -> Column:
@@ -65,8 +68,18 @@ def read_turns(text: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.transform(F.split(body(r), r"<\|next\|>", -1), lambda x: F.struct(role(r).alias("role"), unescaped(x).alias("text")))))
 
 
+def read_loss(text: Column, mask: Column) -> Column:
+    """The texts of a formatted string under its mask, cut out between control strings and unescaped, in order."""
+    between = F.split(text, r"(?:<\|end\|>\n)?<\|start\|>[^\n]*\n|<\|next\|>|<\|end\|>\n", -1)
+    inside = F.slice(between, F.lit(2), F.size(between) - 2)
+    return F.transform(F.filter(F.arrays_zip(inside.alias("text"), mask.alias("loss")), lambda x: x["loss"]), lambda x: unescaped(x["text"]))
+
+
 def digests(chats: DataFrame) -> DataFrame:
-    """Output of :func:`formatted` -> conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from it."""
-    out = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])).alias("learnt"))
+    """Output of :func:`formatted` -> conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the string and its mask.
+
+    An empty text counts nothing; conversations with one id each have a row; no rows give no rows.
+    """
+    out = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("mask")).alias("learnt"))
     out = out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("all"), F.array_join("learnt", "").alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return out.select("conv_id", "n_turns", F.sha2("all", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

@@ -244,6 +244,6 @@ def text_media(docs: DataFrame) -> DataFrame:
     Grey maps, NPY tiles and difference hashes are stored first; all columns come from
     the table that is read back. ``tile_sha256`` is of the stored tile's pixels, ``feature`` the
     stored difference hash. Null text is empty: one row of 64 zero samples. Equal texts
-    have equal values; repeated rows each have a row; other columns are ignored.
+    have equal values; repeated rows each have a row; other columns are ignored, whatever their names; no rows give no rows.
     """
     return read_media(store_media(docs))

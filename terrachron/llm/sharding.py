@@ -62,7 +62,7 @@ def assigned(docs: DataFrame, shards: int = 40, per_bucket: int | None = None) -
     UTF-8 bytes plus 16 (null text: 16, CRC of nothing). Slots are gapless from 0 in
     each shard: rows are numbered inside salt buckets of about ``per_bucket`` rows (the root of the largest shard's count) and
     the counts of earlier buckets are added, so no window holds a whole shard. Equal
-    rows take slots of their own.
+    rows take slots of their own; further columns are ignored, whatever their names; no rows give no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(F.col("doc_id").cast("long"))

@@ -285,7 +285,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts, and texts without words, score as the labelled share of toxic
     rows (under 0.5). The score depends on the text alone, so equal texts and repeated rows have equal
-    scores. Bytes that are not UTF-8 are read as U+FFFD. Other columns are ignored. The
+    scores. Bytes that are not UTF-8 are read as U+FFFD. Other columns are ignored, no rows give no rows. The
     model is broadcast; it grows with the fit's sample alone.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -7,10 +7,11 @@ counts and suffix statistics: how often labelled URLs of the same top-level doma
 blocked, and the same for the last words of the host's labels (``-bets`` of
 ``m.free-bets.example.com``), of which the highest counts. Both are smoothed; an unseen suffix is neutral.
 
-No table labels URLs, so :func:`labelled_urls` makes a bounded table by rule: sites are
-named after words that advertising and trap hosts use or machine-made, or after words of ordinary life or
-invented syllables; everything else (scheme, prefix, domain, path, query, fragment) is drawn from one
-distribution for both classes, so a query string says nothing by itself.
+No table labels URLs, so :func:`labelled_urls` makes a bounded table by rule, and a default model can
+only know what that rule says: names that are chained from several words, end in numbers or look machine-made
+are blocked more often than single words and invented names, and so are some words of advertising and fraud. It
+is a prior on the shape of names, no knowledge of sites; everything else (scheme, prefix, domain, path, query,
+fragment) is drawn from one distribution for both classes. ``fit`` takes any labelled table instead.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 #: Fixed rules of the contract: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: What names are made of: words of advertising and trap hosts, words of ordinary life, syllables.
+#: What names are made of: words of advertising and fraud, words of ordinary life, syllables.
 TRAP = (
-    "ads adult affiliate bet bets bonus cams cash casino cheap clicks coupons crack crypto dating deals diet discount escorts farm fast forex free gambling gifts hot jackpot keygen links loans lottery lucky "
-    "meds millions money offers payday pharmacy pills poker porn prize profit promo replica rich sale seo sex sexy slots spam spins track tracker traffic viagra warez win winner x xxx"
+    "affiliate bet bonus cams cash clicks coupons crack crypto dating deals diet discount escorts fast forex gambling gifts hot jackpot keygen links loans lottery lucky "
+    "meds millions money offers payday pharmacy poker porn prize profit promo replica rich sale seo sex sexy slots spins traffic viagra warez winner xxx"
 ).split()
 ORDINARY = (
     "archive art bakery band books bridge castle choir church city clinic club college cooking council dance energy family ferry film forest forum garden guide harbor health history hotel house institute journal "
@@ -85,14 +86,17 @@ def labelled_urls(spark: SparkSession, rows: int = 4000, seed: int = 10) -> Data
     blocked = F.col("id") % 2 == 1
     digits = F.when(draw(1, 10) == 0, draw(2, 1000).cast("string")).otherwise("")
     junk = F.lower(F.hex(F.xxhash64("id", F.lit(seed))))  # machine-made names
-    trap = F.when(draw(3, 8) == 0, F.concat(pick(4, TRAP), digits)).when(draw(3, 8) == 1, F.concat_ws("-", pick(4, TRAP), pick(5, ORDINARY + TRAP), pick(6, TRAP))).when(draw(3, 8) < 4, F.concat(F.substr(junk, F.lit(1), F.lit(4) + draw(22, 4)), F.lit("-"), F.substr(junk, F.lit(9), F.lit(3) + draw(23, 5)))).otherwise(F.concat(pick(4, TRAP + ORDINARY), F.lit("-"), pick(5, TRAP), digits))
+    word = lambda k, l: F.when(draw(k + 50, 3) == 0, pick(k, TRAP)).when(draw(k + 50, 3) == 1, pick(k, ORDINARY)).otherwise(F.concat(pick(k, SYLLABLES), pick(l, SYLLABLES), pick(k + 100, SYLLABLES)))
+    chained = F.concat(F.concat_ws("-", word(4, 30), word(5, 31), F.when(draw(6, 3) == 0, word(33, 32))), digits)
+    coded = F.concat(F.substr(junk, F.lit(1), F.lit(4) + draw(22, 4)), F.when(draw(24, 2) == 0, "-").otherwise(""), F.substr(junk, F.lit(9), F.lit(3) + draw(23, 5)))
+    trap = F.when(draw(3, 8) == 0, F.concat(pick(4, TRAP), digits)).when(draw(3, 8) < 3, coded).otherwise(chained)
     made = F.concat(pick(7, SYLLABLES), pick(8, SYLLABLES), F.when(draw(9, 3) > 0, pick(10, SYLLABLES)).otherwise(""), F.when(draw(9, 3) > 1, pick(11, SYLLABLES)).otherwise(""))
-    plain = F.when(draw(3, 8) == 0, F.concat_ws("-", pick(4, ORDINARY), pick(5, ORDINARY))).when(draw(3, 8) < 4, F.concat(pick(4, ORDINARY), digits)).otherwise(F.concat(made, digits))
-    host = F.concat(pick(12, ["", "", "www.", "m.", "blog.", "shop."]), F.when(blocked, trap).otherwise(plain), pick(13, [".example.com", ".example.org", ".example.net", ".test", ".invalid"]))
+    plain = F.when(draw(3, 16) == 0, F.concat_ws("-", pick(4, ORDINARY), pick(5, ORDINARY))).when(draw(3, 16) < 8, F.concat(pick(4, ORDINARY), F.when(draw(25, 4) == 0, digits).otherwise(""))).otherwise(made)
+    host = F.concat(pick(12, ["", "", "www.", "web.", "home.", "my."]), F.when(blocked, trap).otherwise(plain), pick(13, [".test", ".invalid", ".co.test", ".info.invalid", ".localhost"]))
     number = draw(14, 100_000).cast("string")
-    path = F.concat(pick(15, ["", "/a", "/en", "/fr", "/b/c", "/p/q/r"]), F.lit("/"), number, pick(16, ["", "", "/", ".html", "/page"]))
-    query = F.when(draw(17, 2) == 0, "").otherwise(F.concat(pick(18, ["?id=", "?page=2&ref=", "?utm_source=feed&n=", "?a=1&b=2&c="]), draw(19, 1000).cast("string")))
-    url = F.concat(pick(20, ["http://", "https://"]), host, path, query, pick(21, ["", "", "", "#top"]))
+    path = F.concat(pick(15, ["", "/a", "/x/y", "/k", "/b/c", "/p/q/r"]), F.lit("/"), number, pick(16, ["", "", "/", ".htm", "/all"]))
+    query = F.when(draw(17, 2) == 0, "").otherwise(F.concat(pick(18, ["?id=", "?k=2&v=", "?from=list&n=", "?a=1&b=2&c="]), draw(19, 1000).cast("string")))
+    url = F.concat(pick(20, ["http://", "https://"]), host, path, query, pick(21, ["", "", "", "#part"]))
     return spark.range(rows).select(url.alias("url"), blocked.cast("double").alias("blocked"))
 
 
@@ -154,7 +158,7 @@ def judged(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]]
     """One row per page: page_id, host, path, rule, verdict.
 
     Null and odd URLs have an empty host and path, fit no rule, and are judged by the
-    model like any other. Repeated rows stay.
+    model like any other. Repeated rows stay, further columns are ignored, whatever their names; no rows give no rows.
     """
     own = with_parts(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")))
     rule, verdict = rule_of(rules)

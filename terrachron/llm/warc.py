@@ -37,9 +37,9 @@ def _clean(value: str) -> str:
     return re.sub(r"[^\x21-\x7e]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
 
 
-def member(kind: str, date: str, fields: list[tuple[str, str]], body: bytes) -> bytes:
-    """A gzip member with one record: type, a record id of its own, date, further fields, block."""
-    all_ = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), *fields]
+def member(kind: str, date: str, fields: list[tuple[str, str]], body: bytes, name: str | None = None) -> bytes:
+    """A gzip member with one record: type, record id (``name``, or one of its own), date, further fields, block."""
+    all_ = [("WARC-Type", kind), ("WARC-Record-ID", name or f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), *fields]
     all_ += [("WARC-Block-Digest", f"sha256:{hashlib.sha256(body).hexdigest()}"), ("Content-Length", str(len(body)))]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in all_) + "\r\n").encode() + body + b"\r\n\r\n") + packer.flush()
@@ -49,15 +49,24 @@ def warcinfo(date: str) -> bytes:
     return member("warcinfo", date, [("Content-Type", "application/warc-fields")], b"software: terrachron\r\nformat: WARC File Format 1.1\r\n")
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, date: str) -> bytes:
-    """A response record, or a revisit record (HTTP header only) if ``refers`` is given. The page ids stand in fields of our own."""
+def response_id(page: int, digest: str) -> str:
+    """Record id of a page's response, which its revisits can name without having met it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page}/{digest}')}>"
+
+
+def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, date: str, refers_url: str | None = None) -> bytes:
+    """A response record, or a revisit record (HTTP header only) if ``refers`` is given, which names the original's record id, URI and date. Page ids stand in fields of our own as well.
+
+    Of a page whose rows repeat, the responses are one record, written as often, with one id.
+    """
     head = HTTP % len(payload)
     fields = [("WARC-Target-URI", _clean(url or "about:blank")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if page is not None:
         fields.append(("X-Page-ID", str(page)))
     if refers is None:
-        return member("response", date, fields, head + payload)
-    return member("revisit", date, [*fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-ID", str(refers))], head)
+        return member("response", date, fields, head + payload, None if page is None else response_id(page, digest))
+    original = [("WARC-Refers-To", response_id(refers, digest)), ("WARC-Refers-To-Target-URI", _clean(refers_url or "about:blank")), ("WARC-Refers-To-Date", date)]
+    return member("revisit", date, [*fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *original, ("X-Refers-To-Page-ID", str(refers))], head)
 
 
 def members(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -108,7 +117,7 @@ def payload_of(body: bytes) -> tuple[bytes, int]:
 
 
 def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, url, html) -> page_id, url, html, digest, refers_to (null: response); url and html as bytes.
+    """(page_id, url, html) -> page_id, url, html, digest, refers_to (null: response), refers_url (the original's); urls and html as bytes.
 
     Of equal payloads of at least ``least`` bytes the smallest page_id is the response;
     rows that repeat that page_id too are responses as well. A null page_id is never
@@ -119,12 +128,13 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").cast("binary").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    counted = own.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    repeated = written(counted.where("n > 1").select("digest", "first"), "warc-repeated")
-    if repeated.count() <= _FEW:
+    counted = own.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first_url"), F.count("*").alias("n"))
+    repeated = written(counted.where("n > 1").select("digest", "first", "first_url"), "warc-repeated")
+    few = repeated.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("first_url")), F.lit(0))).first()
+    if few[0] <= _FEW and few[1] <= _FEW * 100:
         repeated = F.broadcast(repeated)
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return own.join(repeated, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    return own.join(repeated, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("first_url")).alias("refers_url"))
 
 
 def write_archives(rows: DataFrame, date: str | None = None) -> DataFrame:
@@ -144,8 +154,8 @@ def write_archives(rows: DataFrame, date: str | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["archive", "block", "data"])
 
         for b in batches:
-            for page, url, html, digest, refers in zip(*(b.column(i) for i in range(5)), strict=True):
-                out.append(record(page.as_py(), (url.as_py() or b"").decode("utf-8", "replace"), html.as_py(), digest.as_py(), refers.as_py(), when))
+            for page, url, html, digest, refers, original in zip(*(b.column(i) for i in range(6)), strict=True):
+                out.append(record(page.as_py(), (url.as_py() or b"").decode("utf-8", "replace"), html.as_py(), digest.as_py(), refers.as_py(), when, (original.as_py() or b"").decode("utf-8", "replace")))
                 size += len(out[-1])
                 if size >= _BLOCK:
                     yield flush()

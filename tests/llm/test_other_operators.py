@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from terrachron.llm import chat, media, packing, queries, sharding, toxicity, urlfilter, warc
+from terrachron.llm import chat, media, packing, queries, secrets, sharding, toxicity, urlfilter, warc
 
 DOCS = "doc_id long, text string, uid string, length string, shard string"
 
@@ -179,6 +179,10 @@ def test_warc(spark, tmp_path, monkeypatch, few):
         refers = 3 if h == big and i != 3 else None
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if refers else "response", refers))
     assert got == sorted(want, key=key)
+    told = [warc.parse(m)[0] for r in archives.collect() for m in warc.members(iter([r.data]))]
+    names = {f["warc-record-id"]: f for f in told if f["warc-type"] == "response"}
+    revisits = [f for f in told if f["warc-type"] == "revisit"]
+    assert len(revisits) == 2 and all(f["warc-refers-to-target-uri"] == names[f["warc-refers-to"]]["warc-target-uri"] == "http://b" and f["warc-payload-digest"] == names[f["warc-refers-to"]]["warc-payload-digest"] for f in revisits)
     warc.save_archives(archives, str(tmp_path)).collect()
     again = warc.load_archives(spark.read.format("binaryFile").load(f"{tmp_path}/*.warc.gz"))
     assert sorted((tuple(r) for r in again.collect()), key=key) == got
@@ -213,6 +217,20 @@ def test_chat(spark):
         learnt = "".join(x for _, _, r, x in turns if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in turns).encode()).hexdigest())
         assert (got[c].loss_chars, got[c].loss_sha256, got[c].formatted_chars) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), lengths[c])
+    masks = {r.conv_id: (r.mask, [s.loss for s in r.segments if s.text == "" or not s.text.startswith("<|")]) for r in chats.collect()}
+    assert all(m == s for m, s in masks.values())
+    moved = chats.withColumn("mask", F.concat(F.slice("mask", 2, 1 << 30), F.slice("mask", 1, 1)))  # a wrong mask shows
+    assert sum(r.loss_sha256 != got[r.conv_id].loss_sha256 for r in chat.digests(moved).collect()) > 10
+
+
+def test_empty_tables(spark):
+    none = lambda kinds: spark.createDataFrame([], kinds)
+    pages = none("page_id long, url string, html string")
+    assert secrets.secret_spans(none(DOCS), F.col("text"), F.col("uid")).count() == 0
+    assert media.text_media(none(DOCS)).count() == 0
+    assert warc.read_archives(warc.write_archives(warc.with_revisits(pages))).count() == 0
+    assert chat.digests(chat.formatted(none("conv_id long, turn long, role string, text string"))).count() == 0
+    assert urlfilter.judged(pages, urlfilter.fit(urlfilter.labelled_urls(spark, 200))).count() == 0
 
 
 def jump(key, n):
@@ -285,11 +303,12 @@ def walk(node, x):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    """Fitted without any site name of the pages table."""
-    names = ("casino-win", "cheap-pills", "free-bets", "spam-farm", "ads-track", "adult-x")
+    """Fitted on made names that hold no word of a site name of the pages table."""
+    words = "casino win cheap pills free bets spam farm ads track adult x".split()
     rows = urlfilter.labelled_urls(spark)
+    assert not set(words) & {*urlfilter.TRAP, *urlfilter.ORDINARY}
     assert rows.count() == 4000 and rows.where("blocked = 1").count() == 2000
-    return urlfilter.fit(rows.where(~F.col("url").rlike("|".join(names))))
+    return urlfilter.fit(rows.where(~F.col("url").rlike(rf"[/.-]({'|'.join(words)})[0-9]*[.-]")))
 
 
 def test_verdicts_equal_the_trees_walked_in_plain_python(spark, model):
@@ -302,7 +321,7 @@ def test_verdicts_equal_the_trees_walked_in_plain_python(spark, model):
 
 
 def test_url_model_on_pages_it_never_saw(spark, model):
-    """Hosts of the table that are named after traps, by a list the fit doesn't know, against all others; with and without a query."""
+    """Hosts of the table that are named after traps, of no word that the fit knows, against all others; with and without a query."""
     traps = "casino-win|cheap-pills|free-bets|spam-farm|ads-track|adult-x"
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
     got = model.score(urlfilter.lexical(urlfilter.with_parts(pages)))
@@ -310,6 +329,15 @@ def test_url_model_on_pages_it_never_saw(spark, model):
         assert r.blocked >= 0.9 if r.trap else r.blocked <= 0.05
 
 
+def test_url_model_on_names_of_no_list(spark, model):
+    """Names made by hand: chained words and numbers are mostly blocked, single words mostly not. It is the shape that decides, so coded names without a hyphen pass."""
+    chained = "lotto-king megawin-slot777 www.crack-serial hot-singles buy-viagra-now quick-cash-advance best-watches-4u luxury-bags-outlet a9f3-77bc fat-burner-tea instant-followers top-10-vpn movies-hd-stream click-2-earn no-risk-profit hack-tool-pro singles-near-me weight-loss-24".split()
+    single = "x wikipedia stadtwerke bbc nytimes mit arxiv python kernel berlin recetas jardin biblio opensource nasa smithsonian gutenberg lemonde elpais www.louvre".split()
+    rows = spark.createDataFrame([(f"https://{w}.example.com/en/12", float(k)) for k, names in ((1, chained), (0, single)) for w in names], "url string, named double")
+    got = {r.named: r.p for r in model.score(urlfilter.lexical(urlfilter.with_parts(rows))).groupBy("named").agg(F.avg("prediction").alias("p")).collect()}
+    assert got[1.0] >= 0.9 and got[0.0] <= 0.1
+
+
 def test_url_model_on_held_out_labels(spark, model):
     for seed in (3, 4):
         got = model.score(urlfilter.lexical(urlfilter.with_parts(urlfilter.labelled_urls(spark, 1000, seed))))
