@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrachron.llm import decontam, neardup, packing, queries, secrets, toxicity
-from terrachron.plans.tables import written
+from terrachron.plans.tables import drop, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,17 +34,26 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of the benchmark occurs go; null and empty texts stay, an empty benchmark takes nothing."""
+    """Documents in which a window of the benchmark occurs go; null and empty texts stay, an empty benchmark takes nothing.
+
+    Repeated rows share their fate, further columns are handed on, no rows give no rows.
+    """
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; every secret in a text becomes [SECRET], and n_chars follows. Null texts stay null."""
+    """All documents stay; every secret in a text becomes [SECRET], and n_chars follows. Null texts stay null.
+
+    Repeated rows each stay and are changed alike, further columns are handed on, no rows give no rows.
+    """
     return secrets.redacted(docs, queries.repo(), queries.owner())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces with their places in sequences of 2048 tokens; null and empty texts are one piece of one token."""
+    """All documents as pieces with their places in sequences of 2048 tokens; null and empty texts are one piece of one token.
+
+    Repeated rows have pieces of their own, further columns end here, no rows give no rows.
+    """
     return packing.pack(packing.token_pieces(docs, queries.TOKENIZER, queries.RANKS))
 
 
@@ -64,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; returns the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        drop(before)  # what the stage before wrote; documents stay
     return docs
