@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrachron.operators.ranks import at_ranks
 from terrachron.plans.tables import written
 
 
@@ -46,8 +47,8 @@ class Split:
     right: Split | int
 
 
-def kd_tree(obs: DataFrame, n: int, accuracy: int = 1000) -> Split | int:
-    """Alternating splits at quantiles, in proportion to the partitions on each side.
+def kd_tree(obs: DataFrame, n: int, accuracy: int = 1000, exact: bool = False) -> Split | int:
+    """Alternating splits at quantiles, in proportion to the partitions on each side; ``exact``: at values found by rank, else by sketches.
 
     Each level of the tree is one aggregation over the data (a quantile sketch per node), so
     there are log2(n) scans of two columns and only cuts come to the driver.
@@ -69,6 +70,14 @@ def kd_tree(obs: DataFrame, n: int, accuracy: int = 1000) -> Split | int:
     while todo := open_nodes(1, n):
         at = kd_partition(built(1, n, 0, 0))
         column = ("lat", "lon")[depth % 2]
+        if exact:
+            own = obs.select(at.alias("node"), F.col(column).alias("v"))
+            kinds = sorted({(parts // 2) / parts for _, parts in todo})  # two at most: sizes of a level differ by one
+            told = {(r.node, r.slot): r.v for r in at_ranks(own, "node", "v", F.array(*[F.floor(F.col("n") * share) for share in kinds])).collect()}
+            for node, parts in todo:
+                cuts[node] = told.get((-node - 1, kinds.index((parts // 2) / parts)), 0.0)
+            depth += 1
+            continue
         row = obs.agg(*[F.approx_percentile(F.when(at == -node - 1, F.col(column)), (parts // 2) / parts, accuracy).alias(str(node)) for node, parts in todo]).first()
         for node, _ in todo:
             cuts[node] = row[str(node)] if row[str(node)] is not None else 0.0

@@ -455,12 +455,29 @@ def weighted_mean_location(obs):
     return trust.weighted_mean(obs).select("entity_id", _r("lat", 6), _r("lon", 6), _r("sigma_m", 6), "n")
 
 
-@query()
+def _fusion_sql(rounds: int = 10, k_sigma: float = 3.0) -> str:
+    """Medoids, then rounds of flags (k) and centres (c); a round that changes no flag gives what the one before gave."""
+    apart = lambda a, b: f"2 * {_d(geo.EARTH_M)} * asin(least({_d(1.0)}, sqrt(pow({a}x - {b}x, 2) + pow({a}y - {b}y, 2) + pow({a}z - {b}z, 2)) / 2))"
+    steps = [
+        f"o AS MATERIALIZED (SELECT entity_id, observation_id, cos(radians(lat)) * cos(radians(lon)) x, cos(radians(lat)) * sin(radians(lon)) y, sin(radians(lat)) z, {_V} v, confidence FROM obs)",
+        f"costs AS (SELECT a.entity_id, a.observation_id, any_value(a.x) x, any_value(a.y) y, any_value(a.z) z, any_value(a.v) v, round(sum({apart('a.', 'b.')} / sqrt(b.v)), 6) c FROM o a JOIN o b ON a.entity_id = b.entity_id GROUP BY 1, 2)",
+        "c0 AS MATERIALIZED (SELECT entity_id, x, y, z, sqrt(v) sigma FROM costs QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY c, observation_id) = 1)",
+    ]
+    for t in range(rounds):
+        steps.append(f"k{t} AS MATERIALIZED (SELECT entity_id, observation_id, x, y, z, v, confidence, far AND count(*) OVER w > 2 AND 2 * count(*) FILTER (far) OVER w < count(*) OVER w flag FROM (SELECT o.*, coalesce({apart('o.', 'c.')} > {_d(k_sigma)} * sqrt(o.v + c.sigma * c.sigma), false) far FROM o LEFT JOIN c{t} c ON c.entity_id = o.entity_id) WINDOW w AS (PARTITION BY entity_id))")
+        steps.append(f"c{t + 1} AS MATERIALIZED (SELECT entity_id, CASE WHEN len > w * 1e-12 THEN sx / len END x, CASE WHEN len > w * 1e-12 THEN sy / len END y, CASE WHEN len > w * 1e-12 THEN sz / len END z, sqrt(1 / w) sigma, confidence, kept FROM (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) len FROM (SELECT entity_id, sum(x / v) sx, sum(y / v) sy, sum(z / v) sz, sum(1 / v) w, 1 - product(1 - confidence) confidence, count(*) kept FROM k{t} WHERE NOT flag GROUP BY 1)))")
+    return ", " + ", ".join(steps)
+
+
+_FUSED = _fusion_sql()
+
+
+@query("SELECT c.entity_id, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) lat, round(degrees(atan2(y, x)), 6) lon, round(sigma, 6) sigma_m, round(confidence, 6) confidence, n, n - kept n_outliers FROM c10 c JOIN (SELECT entity_id, count(*) n FROM o GROUP BY 1) a ON a.entity_id = c.entity_id", _FUSED)
 def fused_location(obs):
-    return trust.fuse_locations(obs)
+    return trust.fuse_locations(obs).select("entity_id", _r("lat", 6), _r("lon", 6), _r("sigma_m", 6), _r("confidence", 6), "n", "n_outliers")
 
 
-@query()
+@query("SELECT entity_id, observation_id, flag outlier FROM k9", _FUSED)
 def fused_evidence(obs):
     return trust.fusion(obs)[1]
 
@@ -539,10 +556,19 @@ def quadtree_cells(obs):
     return layout.quadtree(obs, 100).groupBy("level").agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.max("n").alias("largest"))
 
 
-@query()
+def _kd_sql(levels: int = 4) -> str:
+    """Each level cuts a node where half of its rows lie below, latitudes and longitudes in turn."""
+    steps = ["k0 AS (SELECT lat, lon, 0 node FROM obs)"]
+    for t in range(levels):
+        c = ("lat", "lon")[t % 2]
+        steps.append(f"k{t + 1} AS MATERIALIZED (SELECT lat, lon, 2 * node + CAST({c} >= cut AS INTEGER) node FROM (SELECT *, max(CASE WHEN r = n // 2 THEN {c} END) OVER (PARTITION BY node) cut FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY {c}) - 1 r, count(*) OVER (PARTITION BY node) n FROM k{t})))")
+    return ", " + ", ".join(steps)
+
+
+@query("SELECT max(n) largest, min(n) smallest, count(*) FILTER (n = 0) empty, round(max(n) / avg(n), 6) imbalance FROM (SELECT p.node, count(k.node) n FROM (SELECT CAST(unnest(range(16)) AS INTEGER) node) p LEFT JOIN k4 k ON k.node = p.node GROUP BY 1)", _kd_sql())
 def partition_imbalance(obs):
-    tree = layout.kd_tree(obs, 16)
-    return layout.imbalance(layout.partition_sizes(obs, layout.kd_partition(tree), 16))
+    tree = layout.kd_tree(obs, 16, exact=True)
+    return layout.imbalance(layout.partition_sizes(obs, layout.kd_partition(tree), 16)).withColumn("imbalance", F.round("imbalance", 6))
 
 
 @query(f"SELECT count(*) n, CAST(sum(CASE WHEN lat >= {_d(40.7)} AND lon < {_d(-73.95)} THEN 0 ELSE 1 END) AS BIGINT) survive FROM obs WHERE {_NEAR}")
