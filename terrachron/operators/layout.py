@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -112,6 +113,7 @@ def read_box(table: DataFrame, pids: list[int], south: float, north: float, west
 
 #: Levels of a quadtree at most, and cells that a tree kept beside a table may have.
 DEPTH, MOST_CELLS = 16, 1_000_000
+_STEP = 4
 
 
 def _half(v: Column) -> Column:
@@ -130,20 +132,19 @@ def z_order(lat: Column, lon: Column) -> Column:
 def quadtree(obs: DataFrame, capacity: int) -> DataFrame:
     """level, code, n: the cells of a quadtree in which no cell holds more than ``capacity`` rows, unless it is of level DEPTH; empty cells have no row.
 
-    Rows are counted once, in the smallest cells; four counts at a time make those of the level above. A cell is split while
+    Rows are counted once, in the smallest cells; those counts make those of the levels above. A cell is split while
     it holds more than ``capacity``, so a leaf is one that doesn't and whose parent does.
     """
-    counts = obs.select(z_order(F.col("lat"), F.col("lon")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    levels = [written(counts.select(F.lit(DEPTH).alias("level"), "code", "n"), "quadtree")]
-    for level in range(DEPTH - 1, -1, -1):
-        up = levels[-1].groupBy(F.shiftright("code", 2).alias("code")).agg(F.sum("n").alias("n"))
-        levels.append(written(up.select(F.lit(level).alias("level"), "code", "n"), "quadtree"))
-    leaves = levels[-1].where(F.col("n") <= capacity)  # the whole world
-    for own, parents in zip(levels[:-1], levels[1:], strict=True):
-        full = parents.where(F.col("n") > capacity).select(F.col("code").alias("_up"))
-        split = own.join(full, F.shiftright("code", 2) == F.col("_up")).drop("_up")
-        leaves = leaves.unionByName(split.where((F.col("n") <= capacity) | (F.col("level") == DEPTH)))
-    return leaves
+    counts = obs.select(F.lit(DEPTH).alias("level"), z_order(F.col("lat"), F.col("lon")).alias("code")).groupBy("level", "code").agg(F.count(F.lit(1)).alias("n"))
+    tables = [written(counts, "quadtree")]
+    for base in range(DEPTH, 0, -_STEP):  # _STEP levels come from one, so the rows that are counted again get fewer fast
+        up = F.explode(F.array(*[F.struct(F.lit(base - k).alias("level"), F.shiftright("code", 2 * k).alias("code")) for k in range(1, _STEP + 1)]))
+        above = tables[-1].where(F.col("level") == base).select(up.alias("_c"), "n").groupBy("_c.level", "_c.code").agg(F.sum("n").alias("n"))
+        tables.append(written(above, "quadtree"))
+    cells = reduce(DataFrame.unionByName, tables)
+    full = cells.where(F.col("n") > capacity).select((F.col("level") + 1).alias("_level"), F.col("code").alias("_up"))
+    split = cells.join(full, (F.col("level") == F.col("_level")) & (F.shiftright("code", 2) == F.col("_up"))).drop("_level", "_up")
+    return cells.where((F.col("level") == 0) & (F.col("n") <= capacity)).unionByName(split.where((F.col("n") <= capacity) | (F.col("level") == DEPTH)))
 
 
 def _first() -> Column:
