@@ -81,17 +81,19 @@ def _medoids(own: DataFrame) -> DataFrame:
     the one with the least bound, which is a cost that the medoid can't exceed.
     """
     counts = own.groupBy("entity_id").agg(F.count("*").alias("n"))
-    own = written(own.join(counts, "entity_id").select("entity_id", "observation_id", "x", "y", "z", "var", "n"), "medoid-rows")
+    crowded = not counts.where(F.col("n") > LARGE).isEmpty()
+    own = own.join(counts, "entity_id").select("entity_id", "observation_id", "x", "y", "z", "var", "n")
+    own = written(own, "medoid-rows") if crowded else own
     block = F.pmod(F.xxhash64("observation_id"), F.floor(F.col("n") / BLOCK) + 1).alias("block")
-    packed = written(own.groupBy("entity_id", block).agg(F.collect_list(F.struct("x", "y", "z", "var")).alias("others")), "medoid-blocks")
-    some, held = own.where(F.col("n") <= LARGE), [own, packed]
-    large = own.where(F.col("n") > LARGE)
-    if not large.isEmpty():
-        bound = written(_bounded(large), "medoid-bounds")
+    packed = own.groupBy("entity_id", block).agg(F.collect_list(F.struct("x", "y", "z", "var")).alias("others"))
+    some, held = own.where(F.col("n") <= LARGE), []
+    if crowded:
+        packed = written(packed, "medoid-blocks")
+        bound = written(_bounded(own.where(F.col("n") > LARGE)), "medoid-bounds")
         first = bound.groupBy("entity_id").agg(F.min_by(F.struct("observation_id", "x", "y", "z", "var", "n"), F.struct("least", "observation_id")).alias("m")).select("entity_id", "m.*")
         most = _costs(first, packed).groupBy("entity_id").agg(F.min("cost").alias("most"))
         some = some.unionByName(bound.join(most, "entity_id").where(F.col("least") <= F.col("most") * (1 + 1e-9) + 1e-3).drop("least", "most"))
-        held.append(bound)
+        held = [own, packed, bound]
     best = _costs(some, packed).groupBy("entity_id").agg(F.min_by(F.struct("x", "y", "z", "var"), F.struct(F.round("cost", 6), "observation_id")).alias("m"))
     out = written(best.select("entity_id", *[F.col(f"m.{k}").alias(f"c{k}") for k in "xyz"], F.sqrt("m.var").alias("sigma")), "fusion-centres")
     for table in held:
