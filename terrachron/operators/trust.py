@@ -45,10 +45,11 @@ def _costs(some: DataFrame, packed: DataFrame) -> DataFrame:
     """Rows of ``some`` with ``cost``: metres to all observations of their entity, in deviations of those.
 
     A row goes to each block of its entity and adds up its distances there. The join is by entity and block, so the comparisons
-    of a large entity are dealt by block.
+    of a large entity are dealt by block; the number of parts is given, as few bytes are much work here and would be merged.
     """
+    parts = max(int(some.sparkSession.conf.get("spark.sql.shuffle.partitions")), some.sparkSession.sparkContext.defaultParallelism)
     add = lambda total, o: total + F.asin(F.least(F.lit(1.0), _chord(o) / 2)) * (2 * geo.EARTH_M) / F.sqrt(o["var"])
-    each = some.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / BLOCK))))
+    each = some.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / BLOCK)))).repartition(parts, "entity_id", "block")
     met = each.join(packed, ["entity_id", "block"]).select("entity_id", "observation_id", "x", "y", "z", "var", F.aggregate("others", F.lit(0.0), add).alias("cost"))
     return met.groupBy("entity_id", "observation_id").agg(*[F.first(c).alias(c) for c in ("x", "y", "z", "var")], F.sum("cost").alias("cost"))
 
