@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from terrachron.plans.tables import drop, written
 
 #: Bytes of text in a shard, bits of a filter (16 MB) as a power of two, salts of a language's best phrases.
-SHARD, FILTER_BITS, SALTS = 8 << 20, 27, 32
+SHARD, FILTER_BITS, SALTS = 4 << 20, 27, 32
 #: Marks between pieces become a line feed, white space inside them a blank, A-Z lower case.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _BREAK = b"\n"
