@@ -48,23 +48,23 @@ def within_polygon(obs: DataFrame, ring: geo.Ring) -> DataFrame:
     return obs.where(geo.in_ring(ring))
 
 
-def nearest(obs: DataFrame, lat: float, lon: float, k: int, first_m: float = 100.0) -> DataFrame:
+def nearest(obs: DataFrame, lat: float, lon: float, k: int, first_m: float = 200.0) -> DataFrame:
     """The k nearest by (distance, id), with distance_m.
 
-    Circles from ``first_m`` on, each four times as wide, are tried until one holds k rows, which then holds the k nearest; a try
-    counts no further than k. All these scans have the circle's box as a range of lat and lon, so
-    files and row groups elsewhere aren't opened; only where all data has fewer than k rows is everything read.
+    A circle that holds k rows holds the k nearest. One is looked for from ``first_m`` on: a try counts no further than k, and how
+    many rows it found says how much wider the next one is, two to sixteen times. All these scans have the circle's box as a range
+    of lat and lon, so files and row groups elsewhere aren't opened; only where all data has fewer than k rows is everything read.
     """
     if k <= 0:
         return obs.withColumn("distance_m", F.lit(0.0)).limit(0)
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))
-    near, reach = obs, first_m
-    while reach < math.pi * geo.EARTH_M:
-        tried = radius(obs, lat, lon, reach)
-        if tried.select(F.lit(1)).limit(k).count() == k:
-            near = tried
+    near, reach = radius(obs, lat, lon, first_m), first_m
+    while (found := near.select(F.lit(1)).limit(k).count()) < k:
+        reach *= min(16.0, max(2.0, 1.5 * math.sqrt(k / max(found, 0.01))))
+        if reach >= math.pi * geo.EARTH_M:
+            near = obs
             break
-        reach *= 4
+        near = radius(obs, lat, lon, reach)
     return near.withColumn("distance_m", d).orderBy("distance_m", "observation_id").limit(k)
 
 
