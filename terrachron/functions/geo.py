@@ -98,6 +98,15 @@ def metric_cell(lat: Column, lon: Column, cell_m: float) -> tuple[Column, Column
     return row, F.pmod(F.floor((lon + 180.0) / (F.lit(360.0) / around)), around)
 
 
+def tight_cell(lat: Column, lon: Column, cell_m: float) -> tuple[Column, Column]:
+    """(row, column) of cells at most ``cell_m`` high and wide, so any two points of one are at most twice that apart, at any latitude."""
+    step = math.degrees(cell_m / EARTH_M)
+    row = F.floor(lat / step)
+    widest = F.least(F.greatest(row, -(row + 1)) * step, F.lit(90.0))
+    columns = F.greatest(F.lit(1).cast("long"), F.ceil(F.cos(F.radians(widest)) * (2 * math.pi * EARTH_M / cell_m)))
+    return row, _column(lon, columns)
+
+
 def seconds(span: timedelta) -> Column:
     """A span of time as an interval, whole microseconds."""
     return F.make_dt_interval(F.lit(span.days), F.lit(0), F.lit(0), F.lit(Decimal(span.seconds) + Decimal(span.microseconds) / 1_000_000).cast("decimal(18,6)"))

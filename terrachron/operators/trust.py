@@ -1,4 +1,4 @@
-"""Fusion, association and patterns."""
+"""Fusion and patterns."""
 
 from __future__ import annotations
 
@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrachron.functions import geo
-from terrachron.operators.joins import neighbour_pairs
 from terrachron.operators.ordered import lagged
 from terrachron.operators.search import ORDER
-from terrachron.plans.components import components
 from terrachron.plans.tables import drop, written
 
 
@@ -148,13 +146,6 @@ def fuse_locations(obs: DataFrame, k_sigma: float = 3.0, rounds: int = 10) -> Da
     return fusion(obs, k_sigma, rounds)[0]
 
 
-def associate(obs: DataFrame, radius_m: float, window: timedelta) -> DataFrame:
-    """observation_id, event: observations joined by chains of near ones; an event is named by its smallest id."""
-    pairs = neighbour_pairs(obs, radius_m, window, other_entities=False).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    label = components(pairs, "associate").select(F.col("node").alias("observation_id"), "label")
-    return obs.select("observation_id").join(label, "observation_id", "left").select("observation_id", F.coalesce("label", "observation_id").alias("event"))
-
-
 def precursors(obs: DataFrame, target: str, lookback: timedelta) -> DataFrame:
     """event_type, fraction: of all target events, those that the same entity's event of the type preceded within the lookback."""
     goals = obs.where(F.col("event_type") == target).select("entity_id", F.col("observation_id").alias("goal"), F.col("ts").alias("goal_ts"))

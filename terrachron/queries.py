@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrachron.functions import geo
-from terrachron.operators import aggregate, graph, joins, layout, regions, search, trust
+from terrachron.operators import aggregate, events, graph, joins, layout, regions, search, trust
 from terrachron.sources import observations
 from terrachron.streaming import ingest
 
@@ -442,7 +442,7 @@ def shortest_path(obs):
     _PAIRS.replace(", near", ", RECURSIVE near") + ", both_ AS (SELECT a_id a, b_id b FROM near UNION SELECT b_id, a_id FROM near), reach AS (SELECT observation_id a, observation_id b FROM obs UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON e.a = r.b)",
 )
 def associate(obs):
-    return trust.associate(obs, 500.0, timedelta(minutes=30))
+    return events.associate(obs, 500.0, timedelta(minutes=30))
 
 
 _V = "(pow(greatest(uncertainty_m, 1), 2) / greatest(confidence, CAST(0.001 AS DOUBLE)))"
