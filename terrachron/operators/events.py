@@ -44,7 +44,7 @@ def _blocks(keyed: DataFrame) -> DataFrame:
 def _linked_by_ends(blocks: DataFrame, radius_m: float, window: timedelta) -> DataFrame:
     """(a, b) nodes of blocks of which outermost rows are near; a cell of the join holds a bounded number of them. Exact for blocks without further rows."""
     ends = blocks.select("node", F.explode("ends").alias("e")).select(F.col("node").alias("observation_id"), F.col("node").alias("entity_id"), "e.lat", "e.lon", "e.ts")
-    return joins.neighbour_pairs(ends, radius_m, window, other_entities=False).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return joins.neighbour_pairs(ends, radius_m, window, other_entities=False, even=True).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def _undecided(blocks: DataFrame, radius_m: float) -> DataFrame:

@@ -33,23 +33,55 @@ def _spread(df: DataFrame, radius_m: float, tick: Column, ticks: tuple[int, ...]
     return geo.spread_cells(df, radius_m, steps).withColumn("tick", tick + F.col("_on")).drop("_on")
 
 
+#: A cell is crowded from so many rows on, and from four times the mean of its hash bucket on, so there are fewer than BUCKETS / 4 crowded buckets.
+CROWDED, BUCKETS = 20_000, 1 << 20
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("row", "column", "tick"), F.lit(BUCKETS))
+
+
+def _crowded(placed: DataFrame) -> DataFrame | None:
+    """(_bucket, _parts) of the hash buckets that hold a crowded cell; None where there is none. Counts are combined before the shuffle to a row a bucket."""
+    counts = placed.groupBy(_bucket().alias("_bucket")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))  # one row
+    most = F.greatest(F.lit(float(CROWDED)), F.col("_all") * (4 / BUCKETS))
+    found = counts.join(F.broadcast(total)).where(F.col("_n") > most).select("_bucket", F.ceil(F.col("_n") / most).alias("_parts"))
+    rows = found.collect()  # fewer than BUCKETS / 4
+    return placed.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
+def _dealt(df: DataFrame, crowd: DataFrame, ident: str, own: str, other: str) -> DataFrame:
+    """Rows of crowded buckets dealt to parts ``own`` by id and repeated for every part ``other``, so two sides meet once for each pair of parts; all other rows once."""
+    out = df.withColumn("_bucket", _bucket()).join(F.broadcast(crowd), "_bucket", "left")  # a row a crowded bucket
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    out = out.withColumn(own, F.pmod(F.xxhash64(ident), parts)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return out.drop("_bucket", "_parts")
+
+
 #: Half of a neighbourhood: rows of latitude up, ticks on, and whether both rows look for each other.
 _AHEAD = [("_up", "_on", "same"), (1, -1, False), (1, 0, False), (1, 1, False), (0, 1, False), (0, 0, True)]
 
 
-def neighbour_pairs(obs: DataFrame, radius_m: float, window: timedelta, other_entities: bool = True) -> DataFrame:
+def neighbour_pairs(obs: DataFrame, radius_m: float, window: timedelta, other_entities: bool = True, even: bool = False) -> DataFrame:
     """Pairs of observations at most ``radius_m`` and ``window`` apart, each once: a_/b_ id, entity, ts; a's id is the smaller.
 
     Cells are as wide as the radius in their own row of latitude, columns wrap at the
     antimeridian, and only rows near a pole have a single column. A row looks for partners in half
     of its neighbourhood: in the next row of latitude, in the next tick of its own row, and
-    in its own tick and row those with a larger id.
+    in its own tick and row those with a larger id. Crowded cells are dealt to parts, and each pair
+    of parts is compared on its own; ``even`` says that no cell can be crowded, and saves the count.
     """
     own = obs.select(F.col("observation_id").alias("id"), F.col("entity_id").alias("entity"), "ts", "lat", "lon")
     tick = _tick(window)
     side = lambda df, p, *more: df.select("row", "column", "tick", *more, *[F.col(c).alias(p + c) for c in ("id", "entity", "ts", "lat", "lon")])
     looking = geo.spread_cells(own, radius_m, _AHEAD).withColumn("tick", tick + F.col("_on"))
-    pairs = side(_placed(own, radius_m, tick), "p_").join(side(looking, "q_", "same"), ["row", "column", "tick"])
+    placed, looking, key = side(_placed(own, radius_m, tick), "p_"), side(looking, "q_", "same"), ["row", "column", "tick"]
+    crowd = None if even else _crowded(placed)
+    if crowd is not None:
+        placed, looking = _dealt(placed, crowd, "p_id", "_p", "_q"), _dealt(looking, crowd, "q_id", "_q", "_p")
+        key += ["_p", "_q"]
+    pairs = placed.join(looking, key)
     apart = F.abs(F.unix_micros("p_ts") - F.unix_micros("q_ts")) <= _micros(window)
     near = geo.haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon"))
     pairs = pairs.where(F.when(F.col("same"), F.col("p_id") < F.col("q_id")).otherwise(F.col("p_id") != F.col("q_id")) & apart & (near <= radius_m))
