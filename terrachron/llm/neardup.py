@@ -178,12 +178,10 @@ def _linked(pairs: DataFrame, sketches: DataFrame, k: int, share: tuple[int, int
     return out
 
 
-def _labelled(lists: DataFrame, links: DataFrame, hot: int | None) -> DataFrame:
-    """Lists with each member's component so far; lists that lie in one component are done and go."""
-    labels = components(links, "neardup-cc").select(F.col("node").alias("uid"), "label")
-    out = lists.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    open_ = out.groupBy("v").agg(F.first("df").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("v", "df")
-    return _met(out, open_, hot)
+def _open(lists: DataFrame, hot: int | None) -> DataFrame:
+    """Of written lists with each member's component so far, those that don't lie in one component."""
+    open_ = lists.groupBy("v").agg(F.first("df").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("v", "df")
+    return _met(lists, open_, hot)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (75, 100), k: int = SKETCH) -> DataFrame:
@@ -231,13 +229,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (75
     drop(rays)
     links = links.union(star.where((F.col("a") != F.col("b")) & _enough(F.col("i"), F.col("na"), F.col("nb"), share)).select("a", "b"))
 
-    at = _labelled(lists, links, hot).join(star.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "i"), ["hub", "uid"])
+    # each step that reads its rows twice or oftener reads a written table: one plan of all of them would be several hundred operators in the driver
+    labels = components(links, "neardup-cc").select(F.col("node").alias("uid"), "label")
+    labelled = written(lists.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid")), "neardup-labelled")
+    drop(lists)
+    at = _open(labelled, hot).join(star.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "i"), ["hub", "uid"])
     # a value that the hub has but doesn't retain may seem a member's own
-    at = at.select("v", "df", "all", "uid", "label", "n", "i", F.when(F.col("hub_n") <= WIDE, F.col("own")).otherwise(0).alias("own"))
-    main = at.groupBy("v", "label").agg(F.first("df").alias("df"), F.count("*").alias("c")).groupBy("v").agg(F.first("df").alias("df"), F.max_by("label", F.struct("c", "label")).alias("main"))
-    at = _met(at, main, hot)
+    rest = written(at.select("v", "df", "all", "uid", "label", "n", "i", F.when(F.col("hub_n") <= WIDE, F.col("own")).otherwise(0).alias("own")), "neardup-at")
+    drop(labelled)
+    main = rest.groupBy("v", "label").agg(F.first("df").alias("df"), F.count("*").alias("c")).groupBy("v").agg(F.first("df").alias("df"), F.max_by("label", F.struct("c", "label")).alias("main"))
+    mains = written(_met(rest, main, hot), "neardup-mains")
     # a pair is taken in the first of the lists that both stand in
-    at = written(at.join(at.groupBy("uid").agg(F.array_sort(F.collect_set("v")).alias("vs")), "uid"), "neardup-open")
+    at = written(mains.join(mains.groupBy("uid").agg(F.array_sort(F.collect_set("v")).alias("vs")), "uid"), "neardup-open")
+    drop(rest)
+    drop(mains)
     # what two members have in common lies in the hub or outside it; outside, what is a member's own isn't shared with one that retains its whole set
     salts = F.floor(F.col("all") / SALTED) + 1
     side = lambda p, salt: at.select("v", "main", salt.alias("salt"), *[F.col(c).alias(p + c) for c in ("uid", "label", "n", "i", "own", "vs")])

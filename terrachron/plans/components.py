@@ -1,10 +1,11 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges and labels stay in DataFrames. Each step is one partial aggregation (the
-smallest neighbour of a node) and one join, so a node with very many edges is
+Edges and labels stay in DataFrames. An edge (a, b) has a > b throughout. Each step is one
+partial aggregation (the smallest smaller neighbour of a node) and one join, so a node with very many edges is
 pre-aggregated before the shuffle and its join rows can be split by AQE; no
 neighbour list is ever collected. The number of steps grows with the logarithm of
-the longest path.
+the longest path. A round of two steps reads its edges four times, so its plan stays small
+in the driver.
 """
 
 from __future__ import annotations
@@ -15,18 +16,17 @@ from pyspark.sql import functions as F
 from terrachron.plans.tables import drop, written
 
 
-def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """Every node's larger (large star) or not larger (small star) neighbours go to its smallest one."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if not large:
-        both = both.where(F.col("b") < F.col("a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = both.join(least, "a")
-    if large:
-        out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours go to its smallest neighbour, or to itself if it has no smaller one."""
+    least = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+    return edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours go to the smallest one."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    both = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+    return edges.join(least, "a").select(F.explode(both).alias("e")).select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct()
 
 
 def components(edges: DataFrame, tag: str = "components", most: int = 60) -> DataFrame:
@@ -38,7 +38,7 @@ def components(edges: DataFrame, tag: str = "components", most: int = 60) -> Dat
     now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
     seen = None
     for _ in range(most):
-        nxt = written(_step(_step(now, True), False), tag)
+        nxt = written(_small_star(_large_star(now)), tag)
         drop(now)
         now = nxt
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
