@@ -107,26 +107,35 @@ def nearby_entities(obs: DataFrame, entity: str, t: datetime, radius_m: float, w
     return pairs.groupBy(F.col("o_entity").alias("entity_id")).agg(best).select("entity_id", F.col("m.d").alias("distance_m"), F.col("m.e_id").alias("own_id"), F.col("m.o_id").alias("other_id"))
 
 
-def _hits(obs: DataFrame, queries: DataFrame) -> DataFrame:
-    """qi and observation_id of every hit. Queries of like radius share one size of cells; points are keyed once for each size asked for, of which there are at most a dozen."""
+#: Columns that make a place, and a circle.
+_PLACE, _CIRCLE = ["lat", "lon"], ["lat", "lon", "radius_m"]
+
+
+def _hits(points: DataFrame, circles: DataFrame, of_circle: list[str], of_point: list[str]) -> DataFrame:
+    """These columns of every circle and point in it. Circles of like radius share one size of cells; points are keyed once for each size asked for, of which there are at most a dozen."""
     size = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.col("radius_m"), F.lit(1.0))) / F.lit(math.log(CLASS)))).cast("int")
-    asked = queries.where("radius_m >= 0").select("qi", "lat", "lon", "radius_m", size.alias("size"))
+    asked = circles.where("radius_m >= 0").withColumn("size", size)
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     found, none = None, F.lit(0)
     for (k,) in asked.select("size").distinct().orderBy("size").collect():
         cell = min(CLASS**k, math.pi * geo.EARTH_M)
-        points = _placed(obs, cell, none).select("row", "column", "observation_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-        hits = points.join(_spread(asked.where(F.col("size") == k), cell, none, ticks=(0,)), ["row", "column"]).where(d <= F.col("radius_m")).select("qi", "observation_id")
+        own = _placed(points, cell, none).select("row", "column", *of_point, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+        # merged by name: a size told from the file counts none of the cells of a circle
+        hits = own.hint("merge").join(_spread(asked.where(F.col("size") == k), cell, none, ticks=(0,)), ["row", "column"]).where(d <= F.col("radius_m")).select(*of_circle, *of_point)
         found = hits if found is None else found.unionByName(hits)
-    return found if found is not None else queries.select("qi").limit(0).withColumn("observation_id", F.lit(None).cast("string"))
+    return found if found is not None else circles.limit(0).select(*of_circle).join(points.limit(0).select(*of_point))
 
 
 def batch_radius(obs: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (qi, lat, lon, radius_m) -> qi, n for all queries in one pass, those without a hit included; counts are combined before they shuffle."""
-    hits = _hits(obs, queries).groupBy("qi").agg(F.count("*").alias("n"))
-    return queries.select("qi").join(hits, "qi", "left").select("qi", F.coalesce("n", F.lit(0)).alias("n"))
+    """queries (qi, lat, lon, radius_m) -> qi, n for all queries in one pass, those without a hit included; a repeated qi is one query of several circles.
+
+    Observations at one place are one row with their number, and equal circles are asked once; counts are combined before they shuffle.
+    """
+    places = obs.groupBy(*_PLACE).agg(F.count("*").alias("_here"))
+    hits = _hits(places, queries.select(*_CIRCLE).distinct(), _CIRCLE, ["_here"]).groupBy(*_CIRCLE).agg(F.sum("_here").alias("n"))
+    return queries.select("qi", *_CIRCLE).join(hits, _CIRCLE, "left").groupBy("qi").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
 
 
 def batch_radius_ids(obs: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (qi, lat, lon, radius_m) -> qi, observation_id: a row per hit."""
-    return _hits(obs, queries)
+    return _hits(obs, queries, ["qi"], ["observation_id"])

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from terrachron import queries
-from terrachron.operators import regions
+from terrachron.operators import joins, regions
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +60,20 @@ def test_counts_of_odd_regions(spark):
     got = regions.counts_inside(obs, table)
     assert got.schema["n"].dataType == want.schema["n"].dataType and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
     assert regions.counts_inside(obs, table.limit(0)).count() == regions.counts_inside(obs.limit(0), table).count() == 0
+
+
+def test_many_circles_of_few_kinds(spark, tmp_path):
+    query = queries.QUERIES["batch_radius_counts"]
+    (one, few), (ten, many) = joined(query(spark, SF)), joined(query(spark, copied(spark, tmp_path, 10)))
+    assert len(ten) == 10 * len(one) and sum(r[1] for r in ten) == 100 * sum(r[1] for r in one) > 0 and many < 3 * few + len(ten)
+
+
+CIRCLES, PLACES = "qi long, lat double, lon double, radius_m double", "observation_id string, lat double, lon double"
+
+
+def test_counts_of_odd_circles(spark):
+    """Repeated numbers are one row, as the SQL groups them; circles and places may be equal, null or nowhere."""
+    obs = spark.createDataFrame([("a", 0.0, 1.0), ("b", -0.0, 1.0), ("b", 0.0, 1.0), (None, 0.0, 1.0), ("c", 0.001, 1.0), ("d", None, 1.0), ("e", 40.0, 1.0)], PLACES)
+    asked = spark.createDataFrame([(1, 0.0, 1.0, 10.0), (1, 0.001, 1.0, 10.0), (2, -0.0, 1.0, 10.0), (3, 0.0, 1.0, 200.0), (4, None, 1.0, 10.0), (5, 0.0, 1.0, None), (6, 0.0, 1.0, -1.0), (7, -40.0, 1.0, 5.0)], CIRCLES)
+    out = joins.batch_radius(obs, asked)
+    assert dict(out.dtypes) == {"qi": "bigint", "n": "bigint"} and sorted(map(tuple, out.collect())) == [(1, 5), (2, 4), (3, 5), (4, 0), (5, 0), (6, 0), (7, 0)]
