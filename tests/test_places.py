@@ -77,3 +77,19 @@ def test_counts_of_odd_circles(spark):
     asked = spark.createDataFrame([(1, 0.0, 1.0, 10.0), (1, 0.001, 1.0, 10.0), (2, -0.0, 1.0, 10.0), (3, 0.0, 1.0, 200.0), (4, None, 1.0, 10.0), (5, 0.0, 1.0, None), (6, 0.0, 1.0, -1.0), (7, -40.0, 1.0, 5.0)], CIRCLES)
     out = joins.batch_radius(obs, asked)
     assert dict(out.dtypes) == {"qi": "bigint", "n": "bigint"} and sorted(map(tuple, out.collect())) == [(1, 5), (2, 4), (3, 5), (4, 0), (5, 0), (6, 0), (7, 0)]
+
+
+def test_hits_are_made_of_lists(spark, monkeypatch):
+    """Equal circles and places are compared once for a list of each, and every hit is still a row."""
+    rng = random.Random(6)
+    obs = [(f"o{i // 2}" if i % 13 else None, rng.choice([0.0, -0.0, 0.001, 40.0, None]), rng.choice([1.0, 1.001])) for i in range(200)]
+    asked = [(i // 3, rng.choice([0.0, -0.0, 0.001, None]), 1.0, rng.choice([0.0, 130.0, 900.0, -1.0, None])) for i in range(150)]
+    out = lambda: joins.batch_radius_ids(spark.createDataFrame(obs, PLACES), spark.createDataFrame(asked, CIRCLES))
+    plain = joins._hits(spark.createDataFrame(obs, PLACES), spark.createDataFrame(asked, CIRCLES), ["qi"], ["observation_id"])
+    want = sorted(map(str, plain.collect()))
+    got, made = joined(out())
+    assert dict(out().dtypes) == {"qi": "bigint", "observation_id": "string"} and sorted(map(str, out().collect())) == want
+    assert len(got) == len(want) > 2000 and made < 600
+    monkeypatch.setattr(joins, "LISTED", 4)
+    lists = joins._listed(spark.createDataFrame(obs, PLACES), ["lat", "lon"], "observation_id", "ids").collect()
+    assert len(lists) > 16 and max(len(r.ids) for r in lists) < 30 and sorted(map(str, out().collect())) == want
